@@ -1,0 +1,111 @@
+"""Spark query vs DuckDB oracle comparison (mirrors the driver's check).
+
+Usage: python tests/oracle_check.py [sf_dir] [key ...]
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import os
+import sys
+import time
+
+import duckdb
+import pandas as pd
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        p = os.path.join(sf_dir, f"{t}.parquet")
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return None
+        return repr(round(v, 9))
+    if hasattr(v, "item"):
+        return _norm(v.item())
+    return repr(v)
+
+
+def frame_hash(df: pd.DataFrame) -> tuple[int, str]:
+    cols = sorted(df.columns)
+    rows = sorted(
+        "|".join(str(_norm(x)) for x in rec) for rec in df[cols].itertuples(index=False, name=None)
+    )
+    return len(rows), hashlib.sha1("\n".join(rows).encode()).hexdigest()
+
+
+def compare(spark, con, key, fn, sql, sf_dir):
+    t = time.time()
+    sdf = fn(spark, sf_dir)
+    s = sdf.toPandas()
+    ts = time.time() - t
+    if sql is None:
+        return dict(key=key, rows=len(s), check="rows-only", sec=round(ts, 2))
+    o = con.execute(sql).df()
+    out = dict(key=key, spark_rows=len(s), oracle_rows=len(o), sec=round(ts, 2))
+    out["cols_equal"] = sorted(s.columns) == sorted(o.columns)
+    if not out["cols_equal"]:
+        out["spark_cols"] = sorted(set(s.columns) - set(o.columns))
+        out["oracle_cols"] = sorted(set(o.columns) - set(s.columns))
+        out["match"] = False
+        return out
+    hs, ho = frame_hash(s), frame_hash(o)
+    out["match"] = hs == ho
+    if not out["match"]:
+        cols = sorted(s.columns)
+        a = s[cols].astype(str).sort_values(cols).reset_index(drop=True)
+        b = o[cols].astype(str).sort_values(cols).reset_index(drop=True)
+        if len(a) == len(b):
+            diff = [c for c in cols if not (a[c] == b[c]).all()]
+            out["diff_cols"] = diff
+            if diff:
+                c = diff[0]
+                i = (a[c] != b[c]).idxmax()
+                out["example"] = (c, a.loc[i, c], b.loc[i, c])
+    return out
+
+
+def main(argv):
+    sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
+    only = set(argv[2:])
+    from hourcast.session import get_session
+    import __spark_entry__ as E
+
+    spark = get_session("local[8]", **{"spark.sql.shuffle.partitions": "8"})
+    con = duck(sf_dir)
+    qs, sqls = E.queries(), E.oracle_sql()
+    bad = 0
+    for k, fn in qs.items():
+        if only and k not in only:
+            continue
+        try:
+            r = compare(spark, con, k, fn, sqls.get(k), sf_dir)
+        except Exception as e:  # report and continue
+            r = dict(key=k, error=f"{type(e).__name__}: {str(e)[:400]}")
+        if r.get("match") is False or "error" in r:
+            bad += 1
+        print(r, flush=True)
+    print("FAILED" if bad else "ALL OK", bad)
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv))
