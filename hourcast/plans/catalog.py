@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hourcast.config import BOOL_COLS, PLAIN_NUM_FEATURES, QUOTE_CAT_FEATURES
 from hourcast.functions.text import money_to_num, norm_token, to_bool01, to_num
-from hourcast.operators import explore, features, master, rollup, sales
+from hourcast.operators import explore, features, master, rollup, sales, training
 from hourcast.session import tune_session
 from hourcast.sources import fixtures
 from hourcast.sources.tables import upload_log_tail
@@ -205,6 +205,31 @@ def q_overview_counts(spark, sf):
     return explore.overview_counts(master_table(spark, sf))
 
 
+def training_split(spark: SparkSession, sf: str) -> DataFrame:
+    return training.exact_split(training.training_long(master_table(spark, sf)))
+
+
+def q_training_long(spark, sf):
+    long = training.training_long(master_table(spark, sf))
+    return long.select("project_id", "upload_seq", "row_idx", "target", "hours")
+
+
+def q_feature_coverage(spark, sf):
+    return training.feature_coverage(training.training_long(master_table(spark, sf)))
+
+
+def q_exact_split(spark, sf):
+    return training_split(spark, sf).select("project_id", "row_idx", "target", "is_test")
+
+
+def q_impute_values(spark, sf):
+    return _rounded(training.impute_values(training_split(spark, sf)))
+
+
+def q_holdout_metrics(spark, sf):
+    return _rounded(training.holdout_baseline(training_split(spark, sf)))
+
+
 def _tuned(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return fn(tune_session(spark), sf)
@@ -242,6 +267,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "robots_vs_hours": q_robots_vs_hours,
     "category_values": q_category_values,
     "overview_counts": q_overview_counts,
+    "training_long": q_training_long,
+    "feature_coverage": q_feature_coverage,
+    "exact_split": q_exact_split,
+    "impute_values": q_impute_values,
+    "holdout_metrics": q_holdout_metrics,
 }
 
 QUERIES = {k: _tuned(fn) for k, fn in _QUERIES.items()}

@@ -348,3 +348,81 @@ SELECT category, value, CAST(row_number() OVER (PARTITION BY category ORDER BY v
 ORACLES["overview_counts"] = f"""
 {MASTER_CTES}
 SELECT count(*) AS projects FROM master"""
+
+
+# --- training frame -------------------------------------------------------------
+
+_FEATS = QUOTE_NUM_FEATURES + QUOTE_CAT_FEATURES
+_LONG = f"""
+lg0 AS (
+  SELECT * FROM (
+    UNPIVOT (SELECT project_id, upload_seq, row_idx, {', '.join(_FEATS)}, {', '.join(TARGETS)} FROM master)
+    ON {', '.join(TARGETS)} INTO NAME target VALUE hours)
+  WHERE hours > 0),
+lg AS (SELECT * FROM lg0 WHERE target IN (SELECT target FROM lg0 GROUP BY target HAVING count(*) >= 5)),
+sp AS (
+  SELECT *,
+         row_number() OVER (PARTITION BY target
+                            ORDER BY md5(target || '|' || coalesce(CAST(project_id AS VARCHAR), '<null>') || '|42'), row_idx)
+           <= ceil(0.25 * count(*) OVER (PARTITION BY target)) AS is_test
+  FROM lg)"""
+TRAIN_CTES = MASTER_CTES + "," + _LONG
+
+ORACLES["training_long"] = f"""
+{TRAIN_CTES}
+SELECT project_id, upload_seq, row_idx, target, hours FROM lg"""
+
+ORACLES["feature_coverage"] = f"""
+{TRAIN_CTES},
+fl(feature) AS (VALUES {', '.join(f"('{c}')" for c in _FEATS)}),
+tg AS (SELECT target, count(*) AS n_rows FROM lg GROUP BY target),
+nn AS (
+  SELECT target, feature, count(*) AS n_nonnull FROM (
+    UNPIVOT (SELECT target, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _FEATS)} FROM lg)
+    ON {', '.join(_FEATS)} INTO NAME feature VALUE v)
+  GROUP BY target, feature)
+SELECT tg.target, fl.feature, coalesce(nn.n_nonnull, 0) AS n_nonnull, tg.n_rows
+FROM tg CROSS JOIN fl LEFT JOIN nn ON nn.target = tg.target AND nn.feature = fl.feature"""
+
+ORACLES["exact_split"] = f"""
+{TRAIN_CTES}
+SELECT project_id, row_idx, target, is_test FROM sp"""
+
+_NUMS = list(QUOTE_NUM_FEATURES)
+_CATS = list(QUOTE_CAT_FEATURES)
+ORACLES["impute_values"] = f"""
+{TRAIN_CTES},
+trn AS (SELECT * FROM sp WHERE NOT is_test),
+tg AS (SELECT DISTINCT target FROM trn),
+nf(feature) AS (VALUES {', '.join(f"('{c}')" for c in _NUMS)}),
+cf(feature) AS (VALUES {', '.join(f"('{c}')" for c in _CATS)}),
+med AS (
+  SELECT target, feature, median(v) AS num_value FROM (
+    UNPIVOT (SELECT target, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _NUMS)} FROM trn)
+    ON {', '.join(_NUMS)} INTO NAME feature VALUE v)
+  GROUP BY target, feature),
+cc AS (
+  SELECT target, feature, v, count(*) AS c FROM (
+    UNPIVOT (SELECT target, {', '.join(_CATS)} FROM trn) ON {', '.join(_CATS)} INTO NAME feature VALUE v)
+  GROUP BY target, feature, v),
+md AS (
+  SELECT target, feature, v AS cat_value FROM (
+    SELECT *, row_number() OVER (PARTITION BY target, feature ORDER BY c DESC, v) AS rn FROM cc)
+  WHERE rn = 1)
+SELECT tg.target, nf.feature, round(med.num_value, {R}) AS num_value, CAST(NULL AS VARCHAR) AS cat_value
+FROM tg CROSS JOIN nf LEFT JOIN med ON med.target = tg.target AND med.feature = nf.feature
+UNION ALL
+SELECT tg.target, cf.feature, CAST(NULL AS DOUBLE) AS num_value, md.cat_value
+FROM tg CROSS JOIN cf LEFT JOIN md ON md.target = tg.target AND md.feature = cf.feature"""
+
+ORACLES["holdout_metrics"] = f"""
+{TRAIN_CTES},
+means AS (SELECT target, avg(hours) AS prediction FROM sp WHERE NOT is_test GROUP BY target),
+te AS (SELECT sp.target, sp.hours, means.prediction FROM sp JOIN means USING (target) WHERE sp.is_test),
+agg AS (
+  SELECT target, count(*) AS rows, avg(abs(hours - prediction)) AS mae,
+         sum((hours - prediction) * (hours - prediction)) AS sse, var_pop(hours) * count(*) AS sst
+  FROM te GROUP BY target)
+SELECT target, rows, round(mae, {R}) AS mae,
+       round(CASE WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sse / sst END, {R}) AS r2
+FROM agg"""
