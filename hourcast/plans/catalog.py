@@ -8,6 +8,9 @@ DuckDB oracles in ``plans.oracle`` compare equal despite summation order.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,8 @@ from pyspark.sql import functions as F
 from hourcast.config import BOOL_COLS, PLAIN_NUM_FEATURES, QUOTE_CAT_FEATURES
 from hourcast.functions.text import money_to_num, norm_token, to_bool01, to_num
 from hourcast.operators import explore, features, master, rollup, sales, training
-from hourcast.session import tune_session
+from hourcast.operators import scoring
+from hourcast.session import scratch_path, tune_session
 from hourcast.sources import fixtures
 from hourcast.sources.tables import upload_log_tail
 
@@ -230,6 +234,80 @@ def q_holdout_metrics(spark, sf):
     return _rounded(training.holdout_baseline(training_split(spark, sf)))
 
 
+# --- model-backed queries (rows-only checks) ----------------------------------------
+
+# Forest used by the registered model queries; the library default is the
+# source's 400 trees (``config.FOREST_TREES``), this keeps the driver's
+# per-query check short while exercising the identical code path.
+QUERY_FOREST = {"trees": 30, "max_depth": 8}
+
+
+_ACTIVE_MODELS: dict[tuple, str] = {}
+
+
+def models_for(spark: SparkSession, sf: str, forest: dict | None = None, fresh: bool = False) -> str:
+    """Train (once per data folder and forest setting) and return the models folder.
+
+    Models and their metrics live under the shared checkpoint folder; a
+    later query on the same data reuses them (the master is deterministic
+    for a given data folder).  ``fresh`` trains into a new folder.
+    """
+    forest = dict(forest or QUERY_FOREST)
+    key = (os.path.abspath(sf), tuple(sorted(forest.items())))
+    if not fresh and key in _ACTIVE_MODELS:
+        return _ACTIVE_MODELS[key]
+    tag = hashlib.md5(repr(key).encode()).hexdigest()[:12]
+    if fresh:
+        tag += "-" + uuid.uuid4().hex[:8]
+    base = scratch_path(spark, f"models-{tag}")
+    metrics_path = os.path.join(base, "metrics")
+    if fresh or not os.path.exists(os.path.join(metrics_path, "_SUCCESS")):
+        metrics = training.train_all(master_table(spark, sf), base, **forest)
+        metrics.write.mode("overwrite").parquet(metrics_path)
+    _ACTIVE_MODELS[key] = base
+    return base
+
+
+def _metrics(spark, sf):
+    return spark.read.parquet(os.path.join(models_for(spark, sf), "metrics"))
+
+
+def _scored_wide(spark, sf):
+    models = scoring.load_models(spark, models_for(spark, sf))
+    quotes = quote_batch(spark, sf).withColumnRenamed("row_idx", "quote_id")
+    return scoring.score_wide(quotes, models)
+
+
+def q_train_metrics(spark, sf):
+    return _metrics(spark, sf).select("target", "version", "rows", "mae", "r2")
+
+
+def q_overview_models(spark, sf):
+    return explore.overview_models(_metrics(spark, sf))
+
+
+def q_model_registry(spark, sf):
+    return scoring.list_models(spark, models_for(spark, sf)).drop("model_path")
+
+
+def q_score_batch_wide(spark, sf):
+    return _scored_wide(spark, sf)
+
+
+def q_score_quotes_long(spark, sf):
+    return scoring.wide_to_long(_scored_wide(spark, sf))
+
+
+def q_scored_bucket_rollup(spark, sf):
+    return rollup.rollup_buckets(scoring.wide_to_long(_scored_wide(spark, sf)))
+
+
+def q_drivers(spark, sf):
+    models = scoring.load_models(spark, models_for(spark, sf))
+    sample = features.prepare_quotes(quote_batch(spark, sf))
+    return scoring.drivers(models[0], sample)
+
+
 def _tuned(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return fn(tune_session(spark), sf)
@@ -272,6 +350,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exact_split": q_exact_split,
     "impute_values": q_impute_values,
     "holdout_metrics": q_holdout_metrics,
+    "train_metrics": q_train_metrics,
+    "overview_models": q_overview_models,
+    "model_registry": q_model_registry,
+    "score_batch_wide": q_score_batch_wide,
+    "score_quotes_long": q_score_quotes_long,
+    "scored_bucket_rollup": q_scored_bucket_rollup,
+    "drivers": q_drivers,
 }
 
 QUERIES = {k: _tuned(fn) for k, fn in _QUERIES.items()}
