@@ -1 +1,5 @@
-"""Structured Streaming entry points (row-local scoring, foreachBatch merge)."""
+"""Structured Streaming entry points (foreachBatch scoring and upload merge)."""
+
+from hourcast.streaming.jobs import read_text_stream, score_stream, upload_stream
+
+__all__ = ["read_text_stream", "score_stream", "upload_stream"]
