@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from hourcast.config import (
     operation_of,
 )
 from hourcast.functions.text import to_num
-from hourcast.session import checkpoint_dir
+from hourcast.session import scratch_path
 from hourcast.sources.tables import METRICS_SCHEMA
 
 KEY_COLS = ("project_id", "upload_seq", "row_idx")
@@ -199,10 +200,25 @@ def _sql_str(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def category_vocabulary(split: DataFrame) -> DataFrame:
+    """Per target and categorical feature, the sorted distinct values seen in
+    the training split (the one-hot slots).  ``collect_set`` holds distinct
+    category values only, so it is bounded by the feature's cardinality."""
+    cats = [c for c in QUOTE_CAT_FEATURES if c in split.columns]
+    train = split.filter(~F.col("is_test"))
+    return train.groupBy("target").agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cats])
+
+
+def feature_names(num: dict[str, float], cat: dict[str, str], vocab: dict[str, list[str]]) -> list[str]:
+    """Names of the assembled vector's slots, in slot order."""
+    return [f"num__{c}" for c in num] + [f"cat__{c}_{v}" for c in cat for v in vocab.get(c, [])]
+
+
 def build_pipeline(
     target: str,
     num: dict[str, float],
     cat: dict[str, str],
+    vocab: dict[str, list[str]] | None = None,
     trees: int = FOREST_TREES,
     max_depth: int = 12,
     max_bins: int = 64,
@@ -211,29 +227,28 @@ def build_pipeline(
     """M3 + M4 for one target, column names namespaced by the operation so the
     twelve fitted pipelines can run one after another on the same rows.
 
-    Imputation is baked in as literal ``coalesce`` (exact train-split median /
-    mode); categories are indexed alphabetically with an extra "unknown" slot
-    that ``dropLast`` removes, so an unseen category encodes as all zeros.
+    Preprocessing is one SQL projection: numerics imputed with the exact
+    train-split median, categoricals imputed with the mode and one-hot
+    encoded over the training vocabulary in alphabetical order (an unseen
+    value encodes as all zeros).  Everything stays codegen-able; the only
+    non-SQL steps are the vector assembly and the forest.
     """
     op = operation_of(target)
-    imputed = [
-        f"coalesce(CAST(`{c}` AS DOUBLE), CAST({v!r} AS DOUBLE)) AS `{_op_cols(op, c)}`" for c, v in num.items()
-    ] + [f"coalesce(CAST(`{c}` AS STRING), {_sql_str(v)}) AS `{_op_cols(op, c)}`" for c, v in cat.items()]
-    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(imputed)} FROM __THIS__")]
-    cat_in = [_op_cols(op, c) for c in cat]
-    idx = [f"{c}__idx" for c in cat_in]
-    ohe = [f"{c}__ohe" for c in cat_in]
-    if cat_in:
-        stages.append(
-            StringIndexer(inputCols=cat_in, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc")
-        )
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
-    stages.append(
-        VectorAssembler(
-            inputCols=[_op_cols(op, c) for c in num] + ohe, outputCol=f"__{op}__features", handleInvalid="keep"
-        )
-    )
-    stages.append(
+    vocab = vocab or {}
+    exprs, cols = [], []
+    for i, (c, v) in enumerate(num.items()):
+        name = f"__{op}__n{i}"
+        exprs.append(f"coalesce(CAST(`{c}` AS DOUBLE), CAST({v!r} AS DOUBLE)) AS `{name}`")
+        cols.append(name)
+    for i, (c, mode) in enumerate(cat.items()):
+        x = f"coalesce(CAST(`{c}` AS STRING), {_sql_str(mode)})"
+        for j, value in enumerate(vocab.get(c, [])):
+            name = f"__{op}__c{i}_{j}"
+            exprs.append(f"CASE WHEN {x} = {_sql_str(value)} THEN 1.0 ELSE 0.0 END AS `{name}`")
+            cols.append(name)
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__"),
+        VectorAssembler(inputCols=cols, outputCol=f"__{op}__features", handleInvalid="keep"),
         RandomForestRegressor(
             featuresCol=f"__{op}__features",
             labelCol="hours",
@@ -247,8 +262,8 @@ def build_pipeline(
             subsamplingRate=1.0,
             bootstrap=True,
             seed=seed,
-        )
-    )
+        ),
+    ]
     return Pipeline(stages=stages)
 
 
@@ -264,19 +279,28 @@ def fit_target(
     cat: dict[str, str],
     models_dir: str,
     version: str = MODEL_VERSION,
+    vocab: dict[str, list[str]] | None = None,
     **forest,
 ) -> dict:
     """M4 + M5 + S11: fit on the training split, score the test split, save."""
     rows = split.filter(F.col("target") == target)
     train = rows.filter(~F.col("is_test"))
     test = rows.filter(F.col("is_test"))
-    model = build_pipeline(target, num, cat, **forest).fit(train)
+    model = build_pipeline(target, num, cat, vocab, **forest).fit(train)
     op = operation_of(target)
     scored = model.transform(test).select("target", "hours", F.col(f"__{op}__prediction").alias("prediction"))
     m = regression_metrics(scored, "target", "hours", "prediction").first()
     n = rows.count()
     path = model_path(models_dir, target, version)
     model.write().overwrite().save(path)
+    from hourcast.operators.scoring import OpModel, save_leaf_values  # scoring imports this module
+
+    spark = split.sparkSession
+    save_leaf_values(spark, OpModel(target, path, model))
+    names = feature_names(num, cat, vocab or {})
+    spark.createDataFrame(list(enumerate(names)), "idx int, feature string").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/feature_names")
     return {
         "target": target,
         "version": version,
@@ -297,21 +321,27 @@ def train_all(
     """M6 + U5: train every target that has enough rows; returns the metrics
     table (target order).  Skipped targets keep any older artefact.
 
-    The long training frame is checkpointed (lineage cut, survives executor
-    loss) and shared by all fits.
+    The split training frame is written once to the shared checkpoint folder
+    (lineage cut, survives executor loss) and shared by all fits, which run
+    as concurrent Spark jobs.
     """
     spark = master.sparkSession
     long = training_long(master)
     split = exact_split(long)
-    checkpoint_dir(spark)
-    split = split.checkpoint(eager=True)
+    # lineage cut: a written table in the shared folder, read back by all
+    # fits (one pass; an eager checkpoint() would compute the split twice)
+    path = scratch_path(spark, f"training-split-{uuid.uuid4().hex}")
+    split.write.parquet(path)
+    split = spark.read.parquet(path)
     stats = impute_values(split).collect()  # <= 12 x 39 rows: the imputation table
+    vocab_rows = {r["target"]: r.asDict() for r in category_vocabulary(split).collect()}  # <= 12 rows
     present = [r["target"] for r in split.select("target").distinct().collect()]  # <= 12 rows
     targets = [t for t in TARGETS if t in present]
 
     def run(t: str) -> dict:
         num, cat = model_features(stats, t)
-        return fit_target(split, t, num, cat, models_dir, version, **forest)
+        vocab = {c: list(vocab_rows.get(t, {}).get(c) or []) for c in cat}
+        return fit_target(split, t, num, cat, models_dir, version, vocab=vocab, **forest)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(run, targets))

@@ -54,6 +54,23 @@ def master_table(spark: SparkSession, sf: str) -> DataFrame:
     return master.merge_master(None, trainable(spark, sf))
 
 
+_STORED: dict[str, str] = {}
+
+
+def stored_master(spark: SparkSession, sf: str) -> DataFrame:
+    """The master as a stored parquet table, like the source's explorer,
+    training and driver views read it.  Written once per data folder into the
+    shared checkpoint folder (this also cuts the mapping/merge lineage, so
+    branching queries do not recompute it)."""
+    key = os.path.abspath(sf)
+    path = _STORED.get(key)
+    if path is None or not os.path.exists(os.path.join(path, "_SUCCESS")):
+        path = scratch_path(spark, f"master-{hashlib.md5(key.encode()).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}")
+        master_table(spark, sf).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
 def quote_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose normalised dataset_role is 'quote' (the scoring input)."""
     raw = raw_projects(spark, sf)
@@ -180,46 +197,46 @@ def q_melt_hours(spark, sf):
 
 
 def q_explorer_filter(spark, sf):
-    return _rounded(explore.listing(explore.explorer_filter(master_table(spark, sf)), 50))
+    return _rounded(explore.listing(explore.explorer_filter(stored_master(spark, sf)), 50))
 
 
 def q_explorer_count(spark, sf):
-    return explore.explorer_filter(master_table(spark, sf)).agg(F.count(F.lit(1)).alias("projects"))
+    return explore.explorer_filter(stored_master(spark, sf)).agg(F.count(F.lit(1)).alias("projects"))
 
 
 def q_similar_projects(spark, sf):
     lo, hi = SIMILAR_ROBOTS
-    sim = explore.similar_projects(master_table(spark, sf), industry=SIMILAR_INDUSTRY, min_robots=lo, max_robots=hi)
+    sim = explore.similar_projects(stored_master(spark, sf), industry=SIMILAR_INDUSTRY, min_robots=lo, max_robots=hi)
     return explore.listing(sim, 50)
 
 
 def q_hours_by_project(spark, sf):
-    return explore.hours_by_project(master_table(spark, sf), HOURS_TARGET)
+    return explore.hours_by_project(stored_master(spark, sf), HOURS_TARGET)
 
 
 def q_robots_vs_hours(spark, sf):
-    return explore.robots_vs_hours(master_table(spark, sf), HOURS_TARGET)
+    return explore.robots_vs_hours(stored_master(spark, sf), HOURS_TARGET)
 
 
 def q_category_values(spark, sf):
-    return explore.category_values(master_table(spark, sf))
+    return explore.category_values(stored_master(spark, sf))
 
 
 def q_overview_counts(spark, sf):
-    return explore.overview_counts(master_table(spark, sf))
+    return explore.overview_counts(stored_master(spark, sf))
 
 
 def training_split(spark: SparkSession, sf: str) -> DataFrame:
-    return training.exact_split(training.training_long(master_table(spark, sf)))
+    return training.exact_split(training.training_long(stored_master(spark, sf)))
 
 
 def q_training_long(spark, sf):
-    long = training.training_long(master_table(spark, sf))
+    long = training.training_long(stored_master(spark, sf))
     return long.select("project_id", "upload_seq", "row_idx", "target", "hours")
 
 
 def q_feature_coverage(spark, sf):
-    return training.feature_coverage(training.training_long(master_table(spark, sf)))
+    return training.feature_coverage(training.training_long(stored_master(spark, sf)))
 
 
 def q_exact_split(spark, sf):
@@ -262,7 +279,7 @@ def models_for(spark: SparkSession, sf: str, forest: dict | None = None, fresh:
     base = scratch_path(spark, f"models-{tag}")
     metrics_path = os.path.join(base, "metrics")
     if fresh or not os.path.exists(os.path.join(metrics_path, "_SUCCESS")):
-        metrics = training.train_all(master_table(spark, sf), base, **forest)
+        metrics = training.train_all(stored_master(spark, sf), base, **forest)
         metrics.write.mode("overwrite").parquet(metrics_path)
     _ACTIVE_MODELS[key] = base
     return base

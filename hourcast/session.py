@@ -23,9 +23,14 @@ DEFAULT_CONF = {
 # Runtime SQL settings applied to any session the package is handed (the
 # driver's included).  Constraint propagation infers filters from every
 # alias of a wide projection; on the ~100-column project plans it costs
-# minutes of planning for nothing, so it is switched off.
+# minutes of planning for nothing, so it is switched off.  Scoring is CPU
+# bound per row (trees x operations), so AQE may not merge small shuffle
+# outputs below 128 KB per task - otherwise a small batch of quotes lands in
+# one or two tasks.  Large inputs are unaffected (their partitions are far
+# above the minimum).
 RUNTIME_CONF = {
     "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

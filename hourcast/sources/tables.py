@@ -31,9 +31,24 @@ METRICS_SCHEMA = T.StructType(
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One parquet table of a test-data folder."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    """One parquet table of a test-data folder.
+
+    ``balance``: a scan that yields fewer splits than the cluster has cores
+    (a small file written as one row group) is spread round-robin so the
+    work above it runs in parallel.  Large inputs have many splits and are
+    left alone - the check never adds a shuffle at scale.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return balanced(df) if balance else df
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def require_columns(df: DataFrame, required: list[str], what: str = "input") -> None:
@@ -64,15 +79,17 @@ def read_projects(spark: SparkSession, path: str, upload_seq: int, fmt: str = "c
     reader = spark.read.option("header", True).option("inferSchema", False)
     df = reader.format(fmt).load(path)
     df = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    return df.withColumn("upload_seq", F.lit(upload_seq).cast("bigint")).withColumn(
+    # positions are taken in file order, before any spreading of the rows
+    df = df.withColumn("upload_seq", F.lit(upload_seq).cast("bigint")).withColumn(
         "row_idx", F.monotonically_increasing_id()
     )
+    return balanced(df)
 
 
 def read_quotes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """A batch of quotes, all columns as text (S4); coerced later by ``prepare_quotes``."""
     df = spark.read.option("header", True).option("inferSchema", False).format(fmt).load(path)
-    return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    return balanced(df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]))
 
 
 def read_master(spark: SparkSession, path: str | None, schema: T.StructType | None = None) -> DataFrame | None:
