@@ -257,6 +257,9 @@ def q_holdout_metrics(spark, sf):
 # source's 400 trees (``config.FOREST_TREES``), this keeps the driver's
 # per-query check short while exercising the identical code path.
 QUERY_FOREST = {"trees": 30, "max_depth": 8}
+# bumped whenever the saved-model layout changes, so artefacts written by an
+# older layout in a persistent checkpoint folder are never reused
+MODEL_FORMAT = 2
 
 
 _ACTIVE_MODELS: dict[tuple, str] = {}
@@ -270,7 +273,7 @@ def models_for(spark: SparkSession, sf: str, forest: dict | None = None, fresh:
     for a given data folder).  ``fresh`` trains into a new folder.
     """
     forest = dict(forest or QUERY_FOREST)
-    key = (os.path.abspath(sf), tuple(sorted(forest.items())))
+    key = (os.path.abspath(sf), tuple(sorted(forest.items())), MODEL_FORMAT)
     if not fresh and key in _ACTIVE_MODELS:
         return _ACTIVE_MODELS[key]
     tag = hashlib.md5(repr(key).encode()).hexdigest()[:12]
