@@ -10,12 +10,10 @@ interleaves their stages.
 
 from __future__ import annotations
 
-import math
-import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +32,7 @@ from hourcast.config import (
     operation_of,
 )
 from hourcast.functions.text import to_num
+from hourcast.operators.scoring import OpModel, model_path, save_leaf_values
 from hourcast.session import scratch_path
 from hourcast.sources.tables import METRICS_SCHEMA
 
@@ -267,11 +266,6 @@ def build_pipeline(
     return Pipeline(stages=stages)
 
 
-def model_path(models_dir: str, target: str, version: str = MODEL_VERSION) -> str:
-    """One folder per (target, version); retraining replaces it."""
-    return os.path.join(models_dir, f"{target}_{version}")
-
-
 def fit_target(
     split: DataFrame,
     target: str,
@@ -293,8 +287,6 @@ def fit_target(
     n = rows.count()
     path = model_path(models_dir, target, version)
     model.write().overwrite().save(path)
-    from hourcast.operators.scoring import OpModel, save_leaf_values  # scoring imports this module
-
     spark = split.sparkSession
     save_leaf_values(spark, OpModel(target, path, model))
     names = feature_names(num, cat, vocab or {})
@@ -335,7 +327,7 @@ def train_all(
     split = spark.read.parquet(path)
     stats = impute_values(split).collect()  # <= 12 x 39 rows: the imputation table
     vocab_rows = {r["target"]: r.asDict() for r in category_vocabulary(split).collect()}  # <= 12 rows
-    present = [r["target"] for r in split.select("target").distinct().collect()]  # <= 12 rows
+    present = {r["target"] for r in stats}
     targets = [t for t in TARGETS if t in present]
 
     def run(t: str) -> dict:
@@ -348,9 +340,3 @@ def train_all(
     return spark.createDataFrame(results, METRICS_SCHEMA)
 
 
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
-def ceil_test(n: int, test_size: float = TEST_SIZE) -> int:
-    return int(math.ceil(n * test_size))
