@@ -160,8 +160,13 @@ def conform_quotes(df: DataFrame, id_col: str = "quote_id") -> DataFrame:
     and ``has_robotics`` 1, ``complexity_score_1_5`` 3, others 0); a null in
     one of the six categorical fields fails the job (``raise_error``), like
     record validation.  ``i_o_points_est`` is not a quote field, so the
-    controls index loses that term on this path, as in the source.
+    controls index loses that term on this path, as in the source.  C16: a
+    plain ``estimated_materials_cost`` field becomes ``log1p(cost)`` when no
+    log cost is given.
     """
+    if "estimated_materials_cost" in df.columns and LOG_COST not in df.columns:
+        cost = to_num(F.col("estimated_materials_cost"), df.schema["estimated_materials_cost"].dataType)
+        df = df.withColumn(LOG_COST, F.log1p(cost))
     exprs: list[Column] = [F.col(id_col)] if id_col in df.columns else []
     for c in QUOTE_CAT_FEATURES:
         if c not in df.columns:

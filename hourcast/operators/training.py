@@ -274,6 +274,7 @@ def fit_target(
     models_dir: str,
     version: str = MODEL_VERSION,
     vocab: dict[str, list[str]] | None = None,
+    n_rows: int | None = None,
     **forest,
 ) -> dict:
     """M4 + M5 + S11: fit on the training split, score the test split, save."""
@@ -284,7 +285,7 @@ def fit_target(
     op = operation_of(target)
     scored = model.transform(test).select("target", "hours", F.col(f"__{op}__prediction").alias("prediction"))
     m = regression_metrics(scored, "target", "hours", "prediction").first()
-    n = rows.count()
+    n = rows.count() if n_rows is None else n_rows
     path = model_path(models_dir, target, version)
     model.write().overwrite().save(path)
     spark = split.sparkSession
@@ -327,13 +328,13 @@ def train_all(
     split = spark.read.parquet(path)
     stats = impute_values(split).collect()  # <= 12 x 39 rows: the imputation table
     vocab_rows = {r["target"]: r.asDict() for r in category_vocabulary(split).collect()}  # <= 12 rows
-    present = {r["target"] for r in stats}
-    targets = [t for t in TARGETS if t in present]
+    sizes = {r["target"]: r["n"] for r in split.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+    targets = [t for t in TARGETS if t in sizes]  # <= 12 rows above
 
     def run(t: str) -> dict:
         num, cat = model_features(stats, t)
         vocab = {c: list(vocab_rows.get(t, {}).get(c) or []) for c in cat}
-        return fit_target(split, t, num, cat, models_dir, version, vocab=vocab, **forest)
+        return fit_target(split, t, num, cat, models_dir, version, vocab=vocab, n_rows=sizes[t], **forest)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(run, targets))

@@ -87,3 +87,10 @@ def test_conform_quotes_defaults_and_validation(spark):
         features.conform_quotes(bad).collect()
     with pytest.raises(ValueError):
         features.conform_quotes(df.drop("vision_type"))
+
+
+def test_quote_record_materials_cost(spark):
+    base = {c: "x" for c in QUOTE_CAT_FEATURES}
+    df = spark.createDataFrame([dict(base, quote_id=1, estimated_materials_cost=999.0)])
+    out = features.conform_quotes(df).first()
+    assert out["log_quoted_materials_cost"] == pytest.approx(math.log1p(999.0))
