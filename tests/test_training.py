@@ -154,3 +154,15 @@ def test_drivers_importances(spark, trained, small_master):
     assert "num__robot_count" in names
     assert any(n.startswith("cat__industry_segment_") for n in names)
     assert len(scoring.drivers(m, small_master).collect()) <= 15
+
+
+def test_oversized_forest_uses_join_path(spark, trained, small_master):
+    d, _ = trained
+    models = scoring.load_models(spark, d, strict=False)[:2]
+    quotes = small_master.withColumnRenamed("row_idx", "quote_id")
+    fast = {r.quote_id: r for r in scoring.score_wide(quotes, models).collect()}
+    slow = {r.quote_id: r for r in scoring.score_wide(quotes, models, max_shipped_leaves=0).collect()}
+    assert fast.keys() == slow.keys()
+    for q, r in fast.items():
+        for c in ("me10_p50", "me10_p10", "me10_p90", "me10_std", "total_p50"):
+            assert slow[q][c] == pytest.approx(r[c], abs=1e-9), c
