@@ -32,7 +32,7 @@ from hourcast.config import (
     operation_of,
 )
 from hourcast.functions.text import to_num
-from hourcast.operators.scoring import OpModel, model_path, save_leaf_values
+from hourcast.operators.scoring import OpModel, model_path, remember, save_leaf_values
 from hourcast.session import scratch_path
 from hourcast.sources.tables import METRICS_SCHEMA
 
@@ -289,6 +289,7 @@ def fit_target(
     path = model_path(models_dir, target, version)
     model.write().overwrite().save(path)
     spark = split.sparkSession
+    remember(spark, path, model)
     save_leaf_values(spark, OpModel(target, path, model))
     names = feature_names(num, cat, vocab or {})
     spark.createDataFrame(list(enumerate(names)), "idx int, feature string").coalesce(1).write.mode(
