@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ from hourcast.config import BOOL_COLS, PLAIN_NUM_FEATURES, QUOTE_CAT_FEATURES
 from hourcast.functions.text import money_to_num, norm_token, to_bool01, to_num
 from hourcast.operators import explore, features, master, rollup, sales, training
 from hourcast.operators import scoring
-from hourcast.session import scratch_path, tune_session
+from hourcast.session import path_exists, scratch_path, tune_session
 from hourcast.sources import fixtures
 from hourcast.sources.tables import upload_log_tail
 
@@ -55,6 +56,8 @@ def master_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STORED: dict[str, str] = {}
+# queries may be called from several threads; materialisations happen once
+_BUILD_LOCK = threading.RLock()
 
 
 def stored_master(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,11 +66,12 @@ def stored_master(spark: SparkSession, sf: str) -> DataFrame:
     shared checkpoint folder (this also cuts the mapping/merge lineage, so
     branching queries do not recompute it)."""
     key = os.path.abspath(sf)
-    path = _STORED.get(key)
-    if path is None or not os.path.exists(os.path.join(path, "_SUCCESS")):
-        path = scratch_path(spark, f"master-{hashlib.md5(key.encode()).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}")
-        master_table(spark, sf).write.parquet(path)
-        _STORED[key] = path
+    with _BUILD_LOCK:
+        path = _STORED.get(key)
+        if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
+            path = scratch_path(spark, f"master-{hashlib.md5(key.encode()).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}")
+            master_table(spark, sf).write.parquet(path)
+            _STORED[key] = path
     return spark.read.parquet(path)
 
 
@@ -274,18 +278,19 @@ def models_for(spark: SparkSession, sf: str, forest: dict | None = None, fresh:
     """
     forest = dict(forest or QUERY_FOREST)
     key = (os.path.abspath(sf), tuple(sorted(forest.items())), MODEL_FORMAT)
-    if not fresh and key in _ACTIVE_MODELS:
-        return _ACTIVE_MODELS[key]
-    tag = hashlib.md5(repr(key).encode()).hexdigest()[:12]
-    if fresh:
-        tag += "-" + uuid.uuid4().hex[:8]
-    base = scratch_path(spark, f"models-{tag}")
-    metrics_path = os.path.join(base, "metrics")
-    if fresh or not os.path.exists(os.path.join(metrics_path, "_SUCCESS")):
-        metrics = training.train_all(stored_master(spark, sf), base, **forest)
-        metrics.write.mode("overwrite").parquet(metrics_path)
-    _ACTIVE_MODELS[key] = base
-    return base
+    with _BUILD_LOCK:
+        if not fresh and key in _ACTIVE_MODELS:
+            return _ACTIVE_MODELS[key]
+        tag = hashlib.md5(repr(key).encode()).hexdigest()[:12]
+        if fresh:
+            tag += "-" + uuid.uuid4().hex[:8]
+        base = scratch_path(spark, f"models-{tag}")
+        metrics_path = os.path.join(base, "metrics")
+        if fresh or not path_exists(spark, f"{metrics_path}/_SUCCESS"):
+            metrics = training.train_all(stored_master(spark, sf), base, **forest)
+            metrics.write.mode("overwrite").parquet(metrics_path)
+        _ACTIVE_MODELS[key] = base
+        return base
 
 
 def _metrics(spark, sf):

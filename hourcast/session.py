@@ -76,3 +76,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check on any Hadoop filesystem (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourcast.config import ALL_FEATURES, REQUIRED_TRAINING_COLS
+from hourcast.session import path_exists
 
 UPLOAD_LOG_SCHEMA = T.StructType(
     [
@@ -94,7 +95,7 @@ def read_quotes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 def read_master(spark: SparkSession, path: str | None, schema: T.StructType | None = None) -> DataFrame | None:
     """The master table (S1); ``None`` when it does not exist yet."""
-    if not path or not os.path.exists(path):
+    if not path or not path_exists(spark, path):
         return None
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
@@ -102,14 +103,14 @@ def read_master(spark: SparkSession, path: str | None, schema: T.StructType | No
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Per-target model metrics (S2); empty frame when absent."""
-    if not os.path.exists(path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], METRICS_SCHEMA)
     return spark.read.schema(METRICS_SCHEMA).option("header", True).csv(path)
 
 
 def read_upload_log(spark: SparkSession, path: str) -> DataFrame:
     """Append-only upload log (D4); empty frame when absent."""
-    if not os.path.exists(path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], UPLOAD_LOG_SCHEMA)
     return spark.read.schema(UPLOAD_LOG_SCHEMA).parquet(path)
 
