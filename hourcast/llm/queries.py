@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourcast.llm import exact_dedup, mixing, secrets, sharding, simhash
+from hourcast.llm import bpe, exact_dedup, mixing, secrets, sharding, simhash
 from hourcast.llm.common import table
 
 
@@ -21,6 +21,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _over_documents(secrets.op1_secret_scan),
+    "op3_trie_bpe": _over_documents(bpe.op3_trie_bpe),
     "op7_exact_dedup": _over_documents(exact_dedup.op7_exact_dedup),
     "op8_simhash": _over_documents(simhash.op8_simhash),
     "op9_entropy_mix": _over_documents(mixing.op9_entropy_mix),
