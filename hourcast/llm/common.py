@@ -5,8 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hourcast.session import scratch_path
 
@@ -72,19 +72,17 @@ class Scratch:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
-def offsets(cells: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """``cells`` with the sum of ``value`` over the cells before each, within ``group``.
+def offsets(cells: DataFrame, group: list[str], coarse: str, fine: str, value: str, out: str, whole: bool = True) -> DataFrame:
+    """``cells`` with the sum of ``value`` over the cells before each, in the order coarse, fine, within ``group``.
 
-    For tables of cells whose number is bounded by parameters (arcs, bins), not for rows.
+    Summed in two steps, so that no task gets all cells of a group: within each
+    coarse cell, and over the coarse cells (left out with ``whole`` false).
     """
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return cells.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
-
-
-def to_hex(doubles: Column) -> Column:
-    return F.lower(F.hex(doubles))
-
-
-LONG, STRING, DOUBLE, BOOL = T.LongType(), T.StringType(), T.DoubleType(), T.BooleanType()
+    coarsely = [*group, coarse]
+    before = lambda by, order: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    within = cells.withColumn(out, F.coalesce(F.sum(value).over(before(coarsely, fine)), F.lit(0)))
+    if not whole:
+        return within
+    total = cells.groupBy(*coarsely).agg(F.sum(value).alias("all_"))
+    total = total.withColumn("start_", F.coalesce(F.sum("all_").over(before(group, coarse)), F.lit(0))).drop("all_")
+    return within.join(total, coarsely).withColumn(out, F.col(out) + F.col("start_")).drop("start_")

@@ -113,7 +113,7 @@ def balance(spark: SparkSession, rows: DataFrame, per: DataFrame, s: Scratch) ->
 def running(rows: DataFrame, value: str, out: str) -> DataFrame:
     """``rows`` with the sum of ``value`` over the rows before each in its source, in the order class, bin, size, hash."""
     cell = ["s", "klass", "bin"]
-    cells = offsets(rows.groupBy(*cell).agg(F.sum(value).alias("v")), ["s"], ["klass", "bin"], "v", "before").drop("v")
+    cells = offsets(rows.groupBy(*cell).agg(F.sum(value).alias("v")), ["s"], "klass", "bin", "v", "before").drop("v")
     inside = W.partitionBy(*cell).orderBy("size", "h", "row").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("in_cell", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(cells, cell).withColumn(out, F.col("before") + F.col("in_cell")).drop("before", "in_cell")
 
@@ -143,7 +143,7 @@ def rounded(spark: SparkSession, rows: DataFrame, solved: DataFrame, s: Scratch)
     d = d.join(missing, "s")
     other_way = (F.col("size") > 0) & (F.col("fraction") > 0) & F.when(F.col("missing") > 0, F.col("copies") == F.col("least")).otherwise(F.col("copies") > F.col("least"))
     d = running(d.withColumn("spare", F.when(other_way, F.col("size")).otherwise(0)), "spare", "upto")
-    turned = (F.col("spare") > 0) & (F.col("upto") + F.col("spare") <= F.abs("missing"))
+    turned = (F.col("spare") > 0) & (F.col("upto") + F.expr("spare div 2") < F.abs("missing"))
     return d.select("row", "doc_id", "size", "source_size", "target", (F.col("copies") + F.when(turned, F.signum("missing")).otherwise(0)).cast("long").alias("copies"))
 
 

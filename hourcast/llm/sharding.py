@@ -23,9 +23,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,6 +42,14 @@ def ring(n: int, vnodes: int) -> tuple[list[int], list[int]]:
     return [p for p, _ in nodes], [s for _, s in nodes]
 
 
+def arc_of(key: Column, places: list[int]) -> Column:
+    """The index of the first place at or after the key, by halving; past the last place comes the first."""
+    held = F.array(*[F.lit(p).cast("long") for p in places])
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(len(places).bit_length()))])
+    before = F.aggregate(halves, F.lit(0), lambda at, h: F.when((at + h <= len(places)) & (F.get(held, at + h - 1) < key), at + h).otherwise(at))
+    return before % len(places)
+
+
 def cut(loads: list[int], owners: list[int], n: int, load: float) -> list[tuple[int, int, int, int]]:
     """(arc, from, to, shard): the ranges of bytes of each arc that each shard takes."""
     room = [int(sum(loads) * load / n) + 1] * n
@@ -70,14 +76,10 @@ def assign(spark: SparkSession, docs: DataFrame, n: int = SHARDS, vnodes: int =
     """(row, doc_id, size, text_crc32, shard, slot) of every row."""
     places, owners = ring(n, vnodes)
 
-    @F.pandas_udf("int")
-    def arc_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(places), key.to_numpy(), side="left") % len(places), dtype="int32")
-
     s = Scratch(spark, "ring")
     text = F.coalesce("text", F.lit(""))
     d = narrow(docs).select("row", "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("place"))
-    rows = s.keep(d.withColumn("arc", arc_of("place")), "rows")
+    rows = s.keep(d.withColumn("arc", arc_of(F.col("place"), places)), "rows")
     bins = LEAST_BINS + rows.count() // ROWS_PER_BIN
     rows = rows.withColumn("bin", F.pmod(F.xxhash64("doc_id", "place"), F.lit(bins).cast("long")))
 
@@ -87,7 +89,7 @@ def assign(spark: SparkSession, docs: DataFrame, n: int = SHARDS, vnodes: int =
     ranges = cut(loads, owners, n, load) if any(loads) else []
     cuts = spark.createDataFrame(ranges, "arc int, lo long, hi long, shard int")  # at most n x vnodes + 2n rows
 
-    cells = offsets(rows.groupBy("arc", "bin").agg(F.sum("size").alias("b")), ["arc"], ["bin"], "b", "before").drop("b")
+    cells = offsets(rows.groupBy("arc", "bin").agg(F.sum("size").alias("b")), [], "arc", "bin", "b", "before", whole=False).drop("b")
     order = W.partitionBy("arc", "bin").orderBy("place", "doc_id", "row")
     placed = (
         rows.withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -97,7 +99,7 @@ def assign(spark: SparkSession, docs: DataFrame, n: int = SHARDS, vnodes: int =
         .select("row", "doc_id", "size", "text_crc32", "place", "arc", "bin", "shard")
     )
     placed = s.keep(placed, "placed")
-    first = offsets(placed.groupBy("shard", "arc", "bin").agg(F.count(F.lit(1)).alias("n")), ["shard"], ["arc", "bin"], "n", "first").drop("n")
+    first = offsets(placed.groupBy("shard", "arc", "bin").agg(F.count(F.lit(1)).alias("n")), ["shard"], "arc", "bin", "n", "first").drop("n")
     in_cell = F.row_number().over(W.partitionBy("shard", "arc", "bin").orderBy("place", "doc_id", "row"))
     return (
         placed.withColumn("k", in_cell)
