@@ -40,6 +40,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from hourcast.llm.common import ship
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words and token pairs that a worker remembers before it starts afresh.
 WORDS_KEPT, PAIRS_KEPT = 300_000, 2_000_000
@@ -280,6 +282,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 done += len(run)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, ids array<int>")
 
 
@@ -292,6 +295,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [coder.decode(x.as_py() or []) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
+    ship(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(each, "doc_id long, decoded string")
 
 
@@ -325,6 +329,7 @@ def op3_trie_bpe(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    ship(spark)
     return docs.select("doc_id", "text").mapInArrow(each, OUT)
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+import hourcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,6 +49,22 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n).cast("long"))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once an application, where their search path lacks it."""
+    package, app = Path(hourcast.__file__).parent, spark.sparkContext.applicationId
+    if app in _SHIPPED or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    packed = Path(tempfile.mkdtemp(prefix="hourcast-")) / "hourcast.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(packed))
+    _SHIPPED.add(app)
+
+
 class Scratch:
     """Tables written once to the shared folder, so that lineage is cut there.
 
@@ -52,6 +73,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
         self._fs, self._path = self._open(self.root)
         self._fs.mkdirs(self._path(self.root))

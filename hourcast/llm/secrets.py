@@ -31,6 +31,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from hourcast.llm.common import ship
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -171,6 +173,7 @@ def find(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "kinds", "starts", "ends"],
             )
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(each, FOUND)
 
 
