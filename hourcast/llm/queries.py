@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourcast.llm import bpe, exact_dedup, lm, mixing, near_dedup, secrets, sharding, simhash
+from hourcast.llm import bpe, exact_dedup, language, lm, mixing, near_dedup, quality, secrets, sharding, simhash
 from hourcast.llm.common import table
 
 
@@ -21,8 +21,10 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _over_documents(secrets.op1_secret_scan),
+    "op2_byte_cnn": _over_documents(language.op2_byte_cnn),
     "op3_trie_bpe": _over_documents(bpe.op3_trie_bpe),
     "op4_bottom_k": _over_documents(near_dedup.op4_bottom_k),
+    "op5_random_indexing": lambda spark, sf_dir: quality.op5_random_indexing(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_kneser_ney": _over_documents(lm.op6_kneser_ney),
     "op7_exact_dedup": _over_documents(exact_dedup.op7_exact_dedup),
     "op8_simhash": _over_documents(simhash.op8_simhash),
