@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from hourcast.llm import bpe, exact_dedup, language, lm, mixing, near_dedup, quality, secrets, sharding, simhash
@@ -15,10 +15,6 @@ def _over_documents(f: Callable[[SparkSession, DataFrame], DataFrame]) -> Callab
     return lambda spark, sf_dir: f(spark, table(spark, sf_dir, "documents"))
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _over_documents(secrets.op1_secret_scan),
     "op2_byte_cnn": _over_documents(language.op2_byte_cnn),
@@ -30,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": _over_documents(simhash.op8_simhash),
     "op9_entropy_mix": _over_documents(mixing.op9_entropy_mix),
     "op10_bounded_ring": _over_documents(sharding.op10_bounded_ring),
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
