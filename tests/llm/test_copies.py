@@ -1,0 +1,120 @@
+"""Exact and near duplicates against brute force."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from hourcast.llm import exact_dedup, near_dedup, words
+
+
+def shingle_set(text, width):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def brute_components(texts, width, percent):
+    sets = {i: shingle_set(t, width) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in ids}, {i: len(s) for i, s in sets.items()}
+
+
+def test_near_groups_of_the_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want, sizes = brute_components({r["doc_id"]: r["text"] for r in docs.collect()}, 3, 85)
+    got = {r["doc_id"]: r for r in near_dedup.op4_bottom_k(spark, docs).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {i: r["n_shingles"] for i, r in got.items()} == sizes
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_chains_and_large_groups(spark, tmp_path):
+    """A group of near copies of which few pairs are linked directly, chains, and a passage that all share."""
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    base = [f"b{k}" for k in range(120)]
+    for _ in range(150):  # each differs from the base in a few places
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        texts.append(t)
+    chain = [f"c{k}" for k in range(100)]
+    for k in range(0, 30, 3):  # only neighbours are alike enough
+        texts.append([*(f"y{m}" for m in range(k)), *chain[k:]])
+    for _ in range(60):  # mostly the passage, with words of their own
+        texts.append(passage + [f"o{rng.randrange(10**6)}" for _ in range(rng.randint(3, 25))])
+    for n in (1, 2, 3, 4, 20, 21, 22):
+        texts.append([f"s{k}" for k in range(n)])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    for width, percent in ((3, 85), (5, 80)):
+        want, _ = brute_components(dict(rows), width, percent)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(spark, docs, width, percent).collect()}
+        assert got == want
+
+
+def test_shared_bound():
+    assert near_dedup.shared(64, 85) <= 0.85 * 64
+    rng = np.random.default_rng(2)
+    least = 64
+    for _ in range(2000):  # unions of 600 with a likeness of 0.85
+        order = rng.permutation(600)
+        least = min(least, int((order[:64] < 510).sum()))
+    assert least >= near_dedup.shared(64, 85)
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    texts = ["A b\tC  a", None, "", "b", " É é ", "x" * 70_000]
+    (_, _, data, bounds), = words.runs(pa.array(texts))
+    h, firsts = words.word_hashes(data, bounds)
+    assert np.diff(firsts).tolist() == [4, 0, 0, 1, 2, 1]
+    assert h[0] == h[3] and h[1] == h[4] and h[5] != h[6] and len(set(h.tolist())) == 6
+
+
+def test_exact_groups_of_the_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    by = defaultdict(list)
+    for r in docs.collect():
+        by[re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")].append((-len(r["text"] or ""), r["doc_id"]))
+    want = {i: (min(g)[1], len(g), i == min(g)[1], hashlib.sha256(t.encode()).hexdigest()) for t, g in by.items() for _, i in g}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.op7_exact_dedup(spark, docs).collect()}
+    assert got == want
+
+
+def test_perfect_hash_is_minimal():
+    packed = b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(5000))
+    parts = exact_dedup.build_mph(packed)
+    at = exact_dedup.slots(exact_dedup._words(packed), *parts)
+    assert sorted(at.tolist()) == list(range(5000))
+
+
+def test_against_earlier_digests(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    early = exact_dedup.history(exact_dedup.digests(docs.where("doc_id % 2 = 0")))
+    out = exact_dedup.dedup(spark, docs, early)
+    kept = {r["digest"] for r in out.where("kept").select(F.hex("digest").alias("digest")).collect()}
+    old = {r[0] for r in early.select(F.hex("digest")).collect()}
+    every = {r[0] for r in exact_dedup.digests(docs).select(F.hex("digest")).collect()}
+    assert kept == every - old and out.count() == docs.count()
