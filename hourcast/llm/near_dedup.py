@@ -16,13 +16,18 @@ the smallest doc_id in it.
    enters those lists only.  A document with more values of its own than that
    has no link at all.  So a passage that many documents share matters only
    to documents which consist of such passages.
-4. Rounds over the lists link documents to a pivot of each list, a different
-   one each round, so a group of n near copies costs some n comparisons, not
-   n * n.  The union-sketch estimate filters pairs, the full sets decide.
-   Lists that lie within one component are done.  After PIVOT_ROUNDS, and at
-   once for lists of up to SMALL documents, all pairs of a list that lie in
-   different components and weren't compared yet are: no link is lost.
-5. Components come from hooking each onto its least neighbour and jumping.
+4. Rounds over the lists link documents to a pivot of each list, the one whose
+   shingles are the commonest and so the nearest to the middle of its group: a
+   group of n near copies costs some n comparisons, not n * n.  Of lists of up
+   to SMALL documents all pairs are compared.  The union-sketch estimate
+   filters pairs, the full sets decide.  Lists within one component are done.
+5. What is still open in longer lists is settled on full sets: two sets that
+   are alike enough share one of their rarest shingles, so many of them that
+   the rest could not make up the likeness.  A set's shingles that no other
+   open set has bound what it can share with any set, so documents far from
+   the middle meet no one.  All pairs that are left, lie in different
+   components and weren't compared yet are: no link is lost.
+6. Components come from hooking each onto its least neighbour and jumping.
 
 Null ids come last when a group is named; repeated rows are copies, and just
 one of them is kept by ``stage``.  Texts without words are kept.  An empty
@@ -37,6 +42,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +51,7 @@ from hourcast.llm.common import Scratch, fresh, narrow
 
 K = 64
 #: Rounds with one pivot a list; lists of which all pairs are compared at once.
-PIVOT_ROUNDS, SMALL = 8, 8
+PIVOT_ROUNDS, SMALL = 2, 8
 #: A linked pair is missed with less than this chance.
 MISS = 1e-9
 
@@ -102,7 +108,8 @@ def inverted(reps: DataFrame, s: Scratch, k: int, percent: int) -> DataFrame:
     needed = F.when(F.col("n") * 100 <= k * percent, small).otherwise(F.lit(shared(k, percent)))
     # values that no one else has come first of all
     length = held - needed + 1 - (held - F.size("values"))
-    return s.keep(common.where(length > 0).select("sid", F.explode(F.slice("values", F.lit(1), length.cast("int"))).alias("x")).select("x.v", "sid"), "lists")
+    lists = common.where(length > 0).select("sid", F.explode(F.slice("values", F.lit(1), length.cast("int"))).alias("x"))
+    return s.keep(lists.select("x.v", "sid"), "lists")
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -117,10 +124,8 @@ def estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     return both.where(F.col("common") >= least).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, s: Scratch, name: str) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are alike enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sets = s.keep(full_sets(texts.join(ids, "sid", "left_semi"), width), f"{name}-sets")
     both = pairs.join(sets.withColumnRenamed("sid", "b").withColumnRenamed("whole", "y"), "b")
     both = both.join(sets.withColumnRenamed("sid", "a").withColumnRenamed("whole", "x"), "a")
     both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
@@ -128,6 +133,30 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, s: S
     return linked.select("a", "b")
 
 
+def ranked(sets: DataFrame) -> DataFrame:
+    """(sid, rare, middle): each set's shingles with their frequencies among ``sets``, the rarest first, and the sum of those."""
+    whole = sets.select("sid", F.explode("whole").alias("g"))
+    df = whole.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    return whole.join(df, "g").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("rare"), F.sum("df").alias("middle"))
+
+
+def rare_pairs(open_: DataFrame, rank: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components ``c`` that share a shingle rare enough, among the sets of ``open_`` (sid, c)."""
+    each = open_.join(rank, "sid").select("sid", "c", "rare", F.size("rare").alias("n"), F.size(F.filter("rare", lambda x: x["df"] == 1)).alias("own"))
+    # of a pair, the larger set shares percent of itself, the smaller 2 percent / (1 + percent)
+    probe = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
+    index = F.col("n") - F.expr(f"(n * {2 * percent} + {99 + percent}) div {100 + percent}") + 1
+    kept = each.withColumn("index", index).select("sid", "c", "n", "own", "index", F.posexplode(F.slice("rare", F.lit(1), probe.cast("int"))).alias("at", "x"))
+    # where two sets meet in the first shingle that they share, they share what comes from there on at most
+    kept = kept.where("at >= own").select("sid", "c", "n", (F.col("n") - F.col("at")).alias("most"), F.col("x.g").alias("g"), (F.col("at") < F.col("index")).alias("indexed"))
+    of = lambda k: kept.select("g", "indexed", *[F.col(c).alias(f"{c}{k}") for c in ("sid", "c", "n", "most")])
+    least = F.least("most1", "most2")
+    could = (least * 100 >= percent * (F.col("n1") + F.col("n2") - least)) & (F.col("n1") * 100 >= percent * F.col("n2"))
+    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("sid1") < F.col("sid2")))
+    met = of(1).where("indexed").drop("indexed").join(of(2).drop("indexed"), "g").where(ordered & could & (F.col("c1") != F.col("c2")))
+    return met.select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
+
+
 def components(edges: DataFrame, s: Scratch, name: str) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the least node that it reaches."""
     edges = s.keep(edges, f"{name}-e0")
@@ -156,37 +185,47 @@ def components(edges: DataFrame, s: Scratch, name: str) -> DataFrame:
 def link_lists(spark: SparkSession, lists: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, k: int, s: Scratch) -> DataFrame:
     """(sid, c): the component of every representative in the lists."""
     comp = s.keep(lists.select("sid").distinct().withColumn("c", F.col("sid")), "comp0")
+    # dealt by sid once, so that later joins with pairs move the pairs alone
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = full_sets(texts.join(comp, "sid", "left_semi"), width).repartition(n, "sid").persist(StorageLevel.DISK_ONLY)
+    # long lists: the middle of a group is where its commonest shingles are
+    long_sids = lists.join(lists.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > SMALL), "v").select("sid").distinct()
+    rank = s.keep(ranked(sets.join(long_sids, "sid", "left_semi")), "ranked")
+    lists = s.keep(lists.join(rank.select("sid", "middle"), "sid", "left"), "middles")
     tested = None
     for r in range(1, PIVOT_ROUNDS + 2):
-        last = r > PIVOT_ROUNDS
         named = lists.join(comp, "sid")
-        order = F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid", "c")
-        open_ = named.groupBy("v").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1")
-        lists_open = s.keep(named.join(open_.select("v", "f", F.col("p.sid").alias("pivot"), F.col("p.c").alias("pc")), "v"), f"open{r}")
-        all_pairs = lists_open if last else lists_open.where(F.col("f") <= SMALL)
-        x = all_pairs.select("v", F.col("sid").alias("a"), F.col("c").alias("ca"))
-        y = all_pairs.select("v", F.col("sid").alias("b"), F.col("c").alias("cb"))
-        pairs = x.join(y, "v").where("a < b and ca != cb").select("a", "b")
-        if not last:
-            star = lists_open.where((F.col("f") > SMALL) & (F.col("c") != F.col("pc")))
-            pairs = pairs.unionByName(star.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")))
+        order = F.struct("middle", "sid", "c")
+        open_ = named.groupBy("v").agg(F.max(order).alias("p"), F.count(F.lit(1)).alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1")
+        open_ = s.keep(named.join(open_.select("v", "f", F.col("p.c").alias("first_c")), "v"), f"open{r}")
+        long_ = open_.where(F.col("f") > SMALL)
+        if r <= PIVOT_ROUNDS:
+            # after the first round the pivot is one that the first pivot didn't reach
+            among = long_ if r == 1 else long_.where("c != first_c")
+            pivots = among.groupBy("v").agg(F.max(order).alias("p")).select("v", F.col("p.sid").alias("pivot"), F.col("p.c").alias("pc"))
+            star = long_.join(pivots, "v").where("c != pc")
+            pairs = star.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
+        else:
+            pairs = rare_pairs(long_.select("sid", "c").distinct(), rank, percent)
+        if r == 1:
+            of = lambda a: open_.where(F.col("f") <= SMALL).select("v", F.col("sid").alias(a))  # noqa: B023, E731
+            pairs = pairs.unionByName(of("a").join(of("b"), "v").where("a < b").select("a", "b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = s.keep(pairs, f"pairs{r}")
-        if pairs.limit(1).count():
-            near = s.keep(estimated(pairs, reps, k, percent), f"near{r}")
-            links = s.keep(confirmed(near, texts, width, percent, s, f"full{r}"), f"links{r}")
-            s.drop(f"full{r}-sets")
-            if links.limit(1).count():
-                # between components as they stand
-                of = lambda c: comp.select(F.col("sid").alias(c), F.col("c").alias(f"c{c}"))  # noqa: B023, E731
-                edges = links.join(of("a"), "a").join(of("b"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-                roots = components(edges, s, f"cc{r}")
-                comp = s.keep(comp.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sid", F.coalesce("root", "c").alias("c")), f"comp{r}")
-            tested = s.keep(pairs if tested is None else tested.unionByName(pairs), f"tested{r}")
-        if not lists_open.where(F.col("f") > SMALL).limit(1).count():
+        near = s.keep(estimated(pairs, reps, k, percent), f"near{r}")
+        links = s.keep(confirmed(near, sets, percent), f"links{r}")
+        # between components as they stand
+        of = lambda c: comp.select(F.col("sid").alias(c), F.col("c").alias(f"c{c}"))  # noqa: B023, E731
+        edges = s.keep(links.join(of("a"), "a").join(of("b"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), f"edges{r}")
+        if edges.limit(1).count():
+            roots = components(edges, s, f"cc{r}")
+            comp = s.keep(comp.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sid", F.coalesce("root", "c").alias("c")), f"comp{r}")
+        if not long_.limit(1).count():
             break
+        tested = pairs if tested is None else s.keep(tested.unionByName(pairs), f"tested{r}")
+    sets.unpersist()
     return comp
 
 
