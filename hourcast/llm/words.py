@@ -84,6 +84,6 @@ def shingles(words: np.ndarray, firsts: np.ndarray, k: int) -> Iterator[np.ndarr
         if b - a >= k:
             yield np.unique(whole[a : b - k + 1])
         elif b > a:
-            yield mix((words[a:b] * _powers(64)[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a) * END).view(np.int64)
+            yield mix((words[a:b] * _powers(64)[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.array([b - a], np.uint64) * END).view(np.int64)
         else:
             yield np.zeros(0, np.int64)
