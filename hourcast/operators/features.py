@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from hourcast.config import (
     ACTUALS_ROLE,
-    ALL_FEATURES,
     BOOL_COLS,
     INCLUDE_TOKENS,
     INDEX_INPUTS,
@@ -24,6 +23,8 @@ from hourcast.config import (
 )
 from hourcast.functions.text import money_to_num, norm_token, to_bool01, to_num
 
+#: Words that are flags in a quote record, besides whole numbers.
+FLAG_WORDS = ("yes", "no", "true", "false")
 LOG_COST = "log_quoted_materials_cost"
 RAW_COST = "quoted_materials_cost"
 
@@ -153,38 +154,71 @@ def prepare_quotes(df: DataFrame) -> DataFrame:
     return with_log_cost(df, by=None)
 
 
-def conform_quotes(df: DataFrame, id_col: str = "quote_id") -> DataFrame:
-    """One typed row per quote restricted to the 39 features.
-
-    Missing numeric fields take the quote-record defaults (``has_controls``
-    and ``has_robotics`` 1, ``complexity_score_1_5`` 3, others 0); a null in
-    one of the six categorical fields fails the job (``raise_error``), like
-    record validation.  ``i_o_points_est`` is not a quote field, so the
-    controls index loses that term on this path, as in the source.  C16: a
-    plain ``estimated_materials_cost`` field becomes ``log1p(cost)`` when no
-    log cost is given.
-    """
+def _with_record_cost(df: DataFrame) -> DataFrame:
+    """A plain ``estimated_materials_cost`` field stands for the log cost when none is given."""
     if "estimated_materials_cost" in df.columns and LOG_COST not in df.columns:
         cost = to_num(F.col("estimated_materials_cost"), df.schema["estimated_materials_cost"].dataType)
-        df = df.withColumn(LOG_COST, F.log1p(cost))
-    exprs: list[Column] = [F.col(id_col)] if id_col in df.columns else []
+        return df.withColumn(LOG_COST, F.log1p(cost))
+    return df
+
+
+def quote_faults(df: DataFrame) -> Column:
+    """C14: what a record validator refuses, as text; null for a valid record.
+
+    A null in one of the six text fields, a text that is no number in a
+    numeric field, and a flag that is neither yes/no, true/false nor a whole
+    number.  (The source's form sends flags as integers; batch files also
+    write them as words, which mean there what they mean in C1.)  A null
+    numeric field is one that was not given and takes its default.
+    """
+    schema = {f.name: f.dataType for f in df.schema.fields}
+    faults = []
     for c in QUOTE_CAT_FEATURES:
         if c not in df.columns:
             raise ValueError(f"quote record lacks required field {c!r}")
-        v = F.col(c).cast("string")
-        exprs.append(F.when(v.isNull(), F.raise_error(F.lit(f"quote field {c} is null"))).otherwise(v).alias(c))
+        faults.append(F.when(F.col(c).isNull(), F.lit(f"{c} is missing")))
+    for c in QUOTE_NUM_FEATURES:
+        if c in df.columns:
+            value = to_num(F.col(c), schema[c])
+            wrong = F.col(c).isNotNull() & value.isNull()
+            if c in BOOL_COLS:
+                wrong = (wrong | (value != F.floor(value))) & ~F.coalesce(norm_token(F.col(c)).isin(*FLAG_WORDS), F.lit(False))
+                faults.append(F.when(wrong, F.lit(f"{c} is no flag")))
+            else:
+                faults.append(F.when(wrong, F.lit(f"{c} is no number")))
+    text = F.concat_ws("; ", *faults)
+    return F.when(text != "", text)
+
+
+def rejected_quotes(df: DataFrame, id_col: str = "quote_id") -> DataFrame:
+    """C14: ``(id, reason)`` of the records that ``conform_quotes`` does not accept."""
+    return _with_record_cost(df).withColumn("reason", quote_faults(_with_record_cost(df))).filter(F.col("reason").isNotNull()).select(id_col, "reason")
+
+
+def conform_quotes(df: DataFrame, id_col: str = "quote_id") -> DataFrame:
+    """One typed row per valid quote restricted to the 39 features.
+
+    Numeric fields that are not given take the quote-record defaults
+    (``has_controls`` and ``has_robotics`` 1, ``complexity_score_1_5`` 3,
+    others 0).  Records that a validator refuses are left out, whatever
+    columns the consumer reads; ``rejected_quotes`` has them with the reason.
+    ``i_o_points_est`` is not a quote field, so the controls index loses that
+    term on this path, as in the source.
+    """
+    df = _with_record_cost(df)
+    df = df.filter(quote_faults(df).isNull())
+    exprs: list[Column] = [F.col(id_col)] if id_col in df.columns else []
+    exprs += [F.col(c).cast("string").alias(c) for c in QUOTE_CAT_FEATURES]
     schema = {f.name: f.dataType for f in df.schema.fields}
     for c in QUOTE_NUM_FEATURES:
         default = F.lit(float(QUOTE_DEFAULTS.get(c, 0.0)))
-        # flags are integer fields of the record, so 1 stays "1" for the flag parser
-        cast = "int" if c in BOOL_COLS else "double"
         value = F.coalesce(to_num(F.col(c), schema[c]), default) if c in df.columns else default
-        exprs.append(value.cast(cast).alias(c))
-    out = df.select(*exprs)
-    # the record then goes through the quote projection (indices recomputed)
-    return prepare_quotes(out)
-
-
-def feature_columns(df: DataFrame) -> list[str]:
-    """The quote-time features present in ``df``."""
-    return [c for c in ALL_FEATURES if c in df.columns]
+        if c in BOOL_COLS:
+            # a whole number is a flag as such: 1 stays "1" for the flag parser
+            word = F.col(c).isNotNull() & to_num(F.col(c), schema[c]).isNull() if c in df.columns else F.lit(False)
+            exprs.append(F.when(word, to_bool01(F.col(c)) if c in df.columns else F.lit(0)).otherwise(value.cast("int")).alias(c))
+        else:
+            exprs.append(value.cast("double").alias(c))
+    # the record then goes through the quote projection (indices recomputed);
+    # its log cost is never null, so C5 keeps it and needs no look at the table
+    return with_indices(clean_numbers(clean_flags(df.select(*exprs))))

@@ -77,9 +77,10 @@ def dedup_last(df: DataFrame, key: str = "project_id", order: tuple[str, ...] =
     """
     if key not in df.columns:
         return df
-    cols = df.columns
-    latest = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order]))
-    return df.groupBy(key).agg(latest.alias("_last")).select(*[F.col(f"_last.{c}").alias(c) for c in cols])
+    # Spark keeps the first row of each task's part of a key before the shuffle
+    # (a window group limit), so a hot key is one row per task
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order]))
+    return df.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
 
 
 def merge_master(master: DataFrame | None, *uploads: DataFrame) -> DataFrame:

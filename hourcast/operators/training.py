@@ -14,7 +14,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,14 +32,16 @@ from hourcast.config import (
     operation_of,
 )
 from hourcast.functions.text import to_num
-from hourcast.operators.scoring import OpModel, model_path, remember, save_leaf_values
-from hourcast.session import scratch_path
+from hourcast.operators.scoring import OpModel, new_run, publish, remember, save_leaf_values
+from hourcast.session import drop_path, scratch_path
 from hourcast.sources.tables import METRICS_SCHEMA
 
 KEY_COLS = ("project_id", "upload_seq", "row_idx")
 # hash-prefix bins of the exact split: 16**3 bins keep every ranking window
 # to ~1/4096 of a target's rows while the offsets table stays <= 12*4096 rows
 SPLIT_BIN_CHARS = 3
+# MLlib's own limit; the source's trees grow without one
+MAX_DEPTH = 30
 
 
 def training_long(master: DataFrame, min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
@@ -176,10 +178,6 @@ def holdout_baseline(split: DataFrame) -> DataFrame:
 # --- forest fitting -------------------------------------------------------------
 
 
-def _op_cols(op: str, feature: str) -> str:
-    return f"__{op}__{feature}"
-
-
 def model_features(impute_rows: list, target: str) -> tuple[dict[str, float], dict[str, str]]:
     """Numeric and categorical imputation values of one target (features with
     a null value are dropped)."""
@@ -199,54 +197,45 @@ def _sql_str(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def category_vocabulary(split: DataFrame) -> DataFrame:
-    """Per target and categorical feature, the sorted distinct values seen in
-    the training split (the one-hot slots).  ``collect_set`` holds distinct
-    category values only, so it is bounded by the feature's cardinality."""
-    cats = [c for c in QUOTE_CAT_FEATURES if c in split.columns]
-    train = split.filter(~F.col("is_test"))
-    return train.groupBy("target").agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cats])
-
-
-def feature_names(num: dict[str, float], cat: dict[str, str], vocab: dict[str, list[str]]) -> list[str]:
+def feature_names(num: dict[str, float], cat: dict[str, str], labels: list[list[str]]) -> list[str]:
     """Names of the assembled vector's slots, in slot order."""
-    return [f"num__{c}" for c in num] + [f"cat__{c}_{v}" for c in cat for v in vocab.get(c, [])]
+    return [f"num__{c}" for c in num] + [f"cat__{c}_{v}" for c, values in zip(cat, labels, strict=True) for v in values]
 
 
 def build_pipeline(
     target: str,
     num: dict[str, float],
     cat: dict[str, str],
-    vocab: dict[str, list[str]] | None = None,
     trees: int = FOREST_TREES,
-    max_depth: int = 12,
+    max_depth: int = MAX_DEPTH,
     max_bins: int = 64,
     seed: int = FOREST_SEED,
 ) -> Pipeline:
     """M3 + M4 for one target, column names namespaced by the operation so the
     twelve fitted pipelines can run one after another on the same rows.
 
-    Preprocessing is one SQL projection: numerics imputed with the exact
-    train-split median, categoricals imputed with the mode and one-hot
-    encoded over the training vocabulary in alphabetical order (an unseen
-    value encodes as all zeros).  Everything stays codegen-able; the only
-    non-SQL steps are the vector assembly and the forest.
+    Numerics are imputed with the exact train-split median and categoricals
+    with the mode in one SQL projection; categoricals are indexed in
+    alphabetical order and one-hot encoded as sparse vectors (an unseen value
+    encodes as all zeros).
     """
     op = operation_of(target)
-    vocab = vocab or {}
     exprs, cols = [], []
     for i, (c, v) in enumerate(num.items()):
-        name = f"__{op}__n{i}"
-        exprs.append(f"coalesce(CAST(`{c}` AS DOUBLE), CAST({v!r} AS DOUBLE)) AS `{name}`")
-        cols.append(name)
-    for i, (c, mode) in enumerate(cat.items()):
-        x = f"coalesce(CAST(`{c}` AS STRING), {_sql_str(mode)})"
-        for j, value in enumerate(vocab.get(c, [])):
-            name = f"__{op}__c{i}_{j}"
-            exprs.append(f"CASE WHEN {x} = {_sql_str(value)} THEN 1.0 ELSE 0.0 END AS `{name}`")
-            cols.append(name)
-    stages = [
-        SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__"),
+        exprs.append(f"coalesce(CAST(`{c}` AS DOUBLE), CAST({v!r} AS DOUBLE)) AS `__{op}__n{i}`")
+        cols.append(f"__{op}__n{i}")
+    texts = [f"__{op}__c{i}" for i in range(len(cat))]
+    exprs += [f"coalesce(CAST(`{c}` AS STRING), {_sql_str(mode)}) AS `{x}`" for x, (c, mode) in zip(texts, cat.items(), strict=True)]
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
+    if cat:
+        places, slots = [f"{x}_i" for x in texts], [f"{x}_v" for x in texts]
+        stages += [
+            StringIndexer(inputCols=texts, outputCols=places, stringOrderType="alphabetAsc", handleInvalid="keep"),
+            # the last category is the one of unseen values
+            OneHotEncoder(inputCols=places, outputCols=slots, dropLast=True),
+        ]
+        cols += slots
+    stages += [
         VectorAssembler(inputCols=cols, outputCol=f"__{op}__features", handleInvalid="keep"),
         RandomForestRegressor(
             featuresCol=f"__{op}__features",
@@ -256,6 +245,7 @@ def build_pipeline(
             numTrees=trees,
             maxDepth=max_depth,
             maxBins=max_bins,
+            maxMemoryInMB=1024,
             minInstancesPerNode=1,
             featureSubsetStrategy="all",
             subsamplingRate=1.0,
@@ -271,30 +261,28 @@ def fit_target(
     target: str,
     num: dict[str, float],
     cat: dict[str, str],
-    models_dir: str,
+    run: str,
     version: str = MODEL_VERSION,
-    vocab: dict[str, list[str]] | None = None,
     n_rows: int | None = None,
     **forest,
 ) -> dict:
-    """M4 + M5 + S11: fit on the training split, score the test split, save."""
+    """M4 + M5 + S11: fit on the training split, score the test split, save into the run's folder."""
     rows = split.filter(F.col("target") == target)
     train = rows.filter(~F.col("is_test"))
     test = rows.filter(F.col("is_test"))
-    model = build_pipeline(target, num, cat, vocab, **forest).fit(train)
+    model = build_pipeline(target, num, cat, **forest).fit(train)
     op = operation_of(target)
     scored = model.transform(test).select("target", "hours", F.col(f"__{op}__prediction").alias("prediction"))
     m = regression_metrics(scored, "target", "hours", "prediction").first()
     n = rows.count() if n_rows is None else n_rows
-    path = model_path(models_dir, target, version)
-    model.write().overwrite().save(path)
+    path = f"{run}/{target}_{version}"
+    model.write().save(path)
     spark = split.sparkSession
-    remember(spark, path, model)
+    remember(path, model)
     save_leaf_values(spark, OpModel(target, path, model))
-    names = feature_names(num, cat, vocab or {})
-    spark.createDataFrame(list(enumerate(names)), "idx int, feature string").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/feature_names")
+    labels = [list(x) for x in model.stages[1].labelsArray] if cat else []
+    names = feature_names(num, cat, labels)
+    spark.createDataFrame(list(enumerate(names)), "idx int, feature string").coalesce(1).write.parquet(f"{path}/feature_names")
     return {
         "target": target,
         "version": version,
@@ -315,30 +303,26 @@ def train_all(
     """M6 + U5: train every target that has enough rows; returns the metrics
     table (target order).  Skipped targets keep any older artefact.
 
-    The split training frame is written once to the shared checkpoint folder
-    (lineage cut, survives executor loss) and shared by all fits, which run
-    as concurrent Spark jobs.
+    The split training frame is written once to the shared folder, a folder a
+    target (so each fit reads its own part; lineage cut, survives executor
+    loss), and removed after the fits, which run as concurrent Spark jobs into
+    a new run folder.  The run is published when all are there.
     """
     spark = master.sparkSession
-    long = training_long(master)
-    split = exact_split(long)
-    # lineage cut: a written table in the shared folder, read back by all
-    # fits (one pass; an eager checkpoint() would compute the split twice)
     path = scratch_path(spark, f"training-split-{uuid.uuid4().hex}")
-    split.write.parquet(path)
+    exact_split(training_long(master)).write.partitionBy("target").parquet(path)
     split = spark.read.parquet(path)
     stats = impute_values(split).collect()  # <= 12 x 39 rows: the imputation table
-    vocab_rows = {r["target"]: r.asDict() for r in category_vocabulary(split).collect()}  # <= 12 rows
     sizes = {r["target"]: r["n"] for r in split.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
     targets = [t for t in TARGETS if t in sizes]  # <= 12 rows above
+    run = new_run(models_dir)
 
-    def run(t: str) -> dict:
+    def fit(t: str) -> dict:
         num, cat = model_features(stats, t)
-        vocab = {c: list(vocab_rows.get(t, {}).get(c) or []) for c in cat}
-        return fit_target(split, t, num, cat, models_dir, version, vocab=vocab, n_rows=sizes[t], **forest)
+        return fit_target(split, t, num, cat, run, version, n_rows=sizes[t], **forest)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(run, targets))
+        results = list(pool.map(fit, targets))
+    publish(spark, models_dir, {r["target"]: r["model_path"] for r in results}, version)
+    drop_path(spark, path)
     return spark.createDataFrame(results, METRICS_SCHEMA)
-
-

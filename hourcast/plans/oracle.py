@@ -13,6 +13,7 @@ from __future__ import annotations
 from hourcast.config import (
     BOOL_COLS,
     INDEX_TERMS,
+    MODEL_VERSION,
     PLAIN_NUM_FEATURES,
     QUOTE_CAT_FEATURES,
     QUOTE_DEFAULTS,
@@ -20,6 +21,8 @@ from hourcast.config import (
     SALES_BUCKET_MAP,
     SALES_BUCKETS,
     TARGETS,
+    TOP_DRIVERS,
+    operation_of,
 )
 from hourcast.sources.fixtures import TREES_SQL, duckdb_quoted_sql, projects_sql
 
@@ -210,25 +213,44 @@ ORACLES["prepare_quotes"] = f"""
 {MASTER_ROUNDED} FROM p1"""
 
 
+# A quote record: six texts that must be there, numbers (text that parses is
+# taken), flags as words or whole numbers; absent fields take the record's defaults.
 def _record_num(c: str) -> str:
     default = float(QUOTE_DEFAULTS.get(c, 0.0))
     if c in BOOL_COLS:
-        return f"{_flag(f'CAST(coalesce({_num(c)}, {default}) AS INTEGER)')} AS {c}"
+        return f"CASE {_tok(c)} WHEN 'yes' THEN 1 WHEN 'true' THEN 1 WHEN 'no' THEN 0 WHEN 'false' THEN 0 ELSE CASE WHEN coalesce({_num(c)}, {default}) = 1 THEN 1 ELSE 0 END END AS {c}"
     if c in INDEX_TERMS or c == "log_quoted_materials_cost":
         return f"CAST({default} AS DOUBLE) AS {c}"
     return f"coalesce({_num(c)}, {default}) AS {c}"
 
 
+def _faults() -> str:
+    out = [f"CASE WHEN {c} IS NULL THEN '{c} is missing' END" for c in QUOTE_CAT_FEATURES]
+    for c in _REC_BASE:
+        wrong = f"{c} IS NOT NULL AND {_num(c)} IS NULL"
+        if c in BOOL_COLS:
+            word = f"coalesce({_tok(c)} IN ('yes', 'no', 'true', 'false'), false)"
+            out.append(f"CASE WHEN ({wrong} OR {_num(c)} <> floor({_num(c)})) AND NOT {word} THEN '{c} is no flag' END")
+        elif c != "log_quoted_materials_cost":
+            out.append(f"CASE WHEN {wrong} THEN '{c} is no number' END")
+    return f"nullif(concat_ws('; ', {', '.join(out)}), '')"
+
+
 _REC_BASE = [c for c in QUOTE_NUM_FEATURES if c not in INDEX_TERMS]
-ORACLES["quote_records"] = f"""
+_JUDGED = f"""
 {_with(RAW_CTE)},
+judged AS (SELECT *, row_idx AS quote_id, {_faults()} AS reason FROM raw WHERE {_tok('dataset_role')} = 'quote')"""
+ORACLES["quote_records"] = f"""
+{_JUDGED},
 r0 AS (
-  SELECT row_idx AS quote_id, {', '.join(QUOTE_CAT_FEATURES)},
+  SELECT quote_id, {', '.join(QUOTE_CAT_FEATURES)},
          {', '.join(_record_num(c) for c in _REC_BASE)}, 0.0 AS i_o_points_est
-  FROM raw
-  WHERE {_tok('dataset_role')} = 'quote' AND {' AND '.join(f'{c} IS NOT NULL' for c in QUOTE_CAT_FEATURES)}),
+  FROM judged WHERE reason IS NULL),
 r1 AS (SELECT *, {', '.join(_index_exprs())} FROM r0)
 SELECT * REPLACE ({_round_idx()}) FROM r1"""
+ORACLES["quote_rejects"] = f"""
+{_JUDGED}
+SELECT quote_id, reason FROM judged WHERE reason IS NOT NULL"""
 
 ORACLES["trainable_rows"] = f"""
 {_with(RAW_CTE, ENG, TRAIN)}
@@ -238,6 +260,17 @@ ORACLES["merge_master"] = f"""
 {MASTER_CTES}
 {MASTER_ROUNDED} FROM master"""
 
+ORACLES["merge_uploads"] = f"""
+{_with(RAW_CTE, ENG, TRAIN)},
+uni AS (
+  SELECT * REPLACE (CASE WHEN upload_seq = 0 THEN NULL ELSE drive_count END AS drive_count,
+                    CASE WHEN upload_seq > 0 THEN NULL ELSE panel_count END AS panel_count) FROM tr),
+master AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY upload_seq DESC, row_idx DESC) AS rn FROM uni)
+  WHERE rn = 1)
+{MASTER_ROUNDED} FROM master"""
+
 _COUNTS = f"""
 {_with(RAW_CTE, ENG, TRAIN)},
 nr AS (SELECT upload_seq, count(*) AS rows_raw FROM raw GROUP BY upload_seq),
@@ -296,6 +329,12 @@ SELECT t.quote_id, round(t.total_p50, {R}) AS model_total, round(qt.quoted_total
             ELSE 'Quoted hours below model' END AS project_status
 FROM tot t LEFT JOIN qt USING (quote_id)"""
 
+ORACLES["project_totals_text"] = f"""
+WITH st AS ({ORACLES["project_status"]})
+SELECT quote_id, printf('%.1f h', model_total) AS model_total_text, printf('%.1f h', quoted_total) AS quoted_total_text,
+       printf('%.1f h', total_delta) AS delta_text, project_status
+FROM st"""
+
 ORACLES["sales_summary_total"] = f"""
 {SALES_CTES}
 SELECT quote_id, role, round(p50_hours, {R}) AS p50_hours, range_p10_p90, confidence_label,
@@ -327,15 +366,26 @@ SELECT project_id, industry_segment, system_category, robot_count, stations_coun
 FROM master WHERE industry_segment = 'BUILDING' AND robot_count BETWEEN 1 AND 3
 ORDER BY upload_seq, row_idx LIMIT 50"""
 
-ORACLES["hours_by_project"] = f"""
+ORACLES["similar_count"] = f"""
 {MASTER_CTES}
-SELECT project_id, me10_actual_hours FROM master
-WHERE project_id IS NOT NULL AND me10_actual_hours IS NOT NULL"""
+SELECT count(*) AS projects FROM master WHERE industry_segment = 'BUILDING' AND robot_count BETWEEN 1 AND 3"""
+
+# the explorer's charts: the filtered projects, each operation that can be chosen
+_FILTERED = f"""
+{MASTER_CTES},
+filtered AS (
+  SELECT * FROM master
+  WHERE (industry_segment IS NOT NULL OR NOT EXISTS (SELECT 1 FROM master WHERE industry_segment IS NOT NULL))
+    AND (system_category IS NOT NULL OR NOT EXISTS (SELECT 1 FROM master WHERE system_category IS NOT NULL)))"""
 
-ORACLES["robots_vs_hours"] = f"""
-{MASTER_CTES}
-SELECT robot_count, me10_actual_hours AS hours FROM master
-WHERE robot_count IS NOT NULL AND me10_actual_hours IS NOT NULL"""
+
+def _chart(c: str) -> str:
+    parts = [f"SELECT '{t}' AS target, {c}, {t} AS hours FROM filtered WHERE {c} IS NOT NULL AND {t} IS NOT NULL" for t in TARGETS]
+    return _FILTERED + "\n" + "\nUNION ALL\n".join(parts)
+
+
+ORACLES["hours_by_project"] = _chart("project_id")
+ORACLES["robots_vs_hours"] = _chart("robot_count")
 
 ORACLES["category_values"] = f"""
 {MASTER_CTES},
@@ -426,3 +476,47 @@ agg AS (
 SELECT target, rows, round(mae, {R}) AS mae,
        round(CASE WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sse / sst END, {R}) AS r2
 FROM agg"""
+
+# --- models: what is fixed of them ----------------------------------------------------
+
+_TARGET_ROWS = ", ".join(f"('{t}', '{operation_of(t)}')" for t in TARGETS)
+ORACLES["model_registry"] = f"""
+{TRAIN_CTES},
+t(target, operation) AS (VALUES {_TARGET_ROWS})
+SELECT target, operation, '{MODEL_VERSION}' AS version, target IN (SELECT target FROM lg) AS exists FROM t"""
+
+ORACLES["train_rows"] = f"""
+{TRAIN_CTES}
+SELECT target, '{MODEL_VERSION}' AS version, count(*) AS rows, true AS within_bounds FROM lg GROUP BY target"""
+
+ORACLES["overview_model_count"] = f"""
+{TRAIN_CTES}
+SELECT count(DISTINCT target) AS operations_with_models FROM lg"""
+
+_QUOTES = f"{_with(RAW_CTE)}, q AS (SELECT row_idx AS quote_id FROM raw WHERE {_tok('dataset_role')} = 'quote')"
+ORACLES["score_checks"] = f"""
+{_QUOTES},
+t(target, operation) AS (VALUES {_TARGET_ROWS})
+SELECT operation, (SELECT count(*) FROM q) AS quotes, CAST(0 AS BIGINT) AS bad_range, CAST(0 AS BIGINT) AS bad_std,
+       CAST(0 AS BIGINT) AS bad_mean
+FROM t"""
+
+ORACLES["bucket_checks"] = f"""
+{_QUOTES}
+SELECT count(*) AS quotes, CAST(0 AS BIGINT) AS off FROM q"""
+
+ORACLES["driver_checks"] = f"""
+{TRAIN_CTES}
+SELECT target, CAST({TOP_DRIVERS} AS BIGINT) AS listed, CAST({TOP_DRIVERS} AS INTEGER) AS last_rank, true AS sum_is_one
+FROM lg GROUP BY target"""
+
+ORACLES["sales_view"] = f"""
+{_JUDGED},
+ok AS (SELECT quote_id FROM judged WHERE reason IS NULL),
+quoted AS ({duckdb_quoted_sql().format(**TABLES)}),
+qb AS (
+  SELECT quote_id, sum(quoted_hours) AS quoted_hours
+  FROM quoted WHERE bucket IN ({', '.join(f"'{b}'" for b in SALES_BUCKETS)}) GROUP BY quote_id),
+n AS (SELECT quote_id, count(*) AS k FROM quoted GROUP BY quote_id)
+SELECT ok.quote_id, CAST(CASE WHEN n.k IS NULL THEN 9 ELSE 10 END AS BIGINT) AS rows, round(qb.quoted_hours, {R}) AS quoted_hours
+FROM ok LEFT JOIN qb USING (quote_id) LEFT JOIN n USING (quote_id)"""

@@ -3,8 +3,9 @@
 State lives in one folder (shared storage on a cluster)::
 
     <state>/master/v<seq>/      parquet, one version per accepted upload (S7)
-    <state>/uploads_log/        parquet, append-only (D4, S8)
-    <state>/models/<target>_v1  MLlib pipelines (S11)
+    <state>/uploads_log/        parquet, a folder for each upload's key (D4, S8)
+    <state>/models/runs/        MLlib pipelines of each training run (S11)
+    <state>/models/published/   pointers to the runs in use
     <state>/models/metrics_csv  per-target metrics, overwritten (S9)
 
 A new master version is written next to the old one instead of over it:
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from hourcast.operators.features import engineer_training
 from hourcast.operators.master import merge_master, with_any_hours
 from hourcast.operators.training import train_all
+from hourcast.session import path_exists
 from hourcast.sources.tables import UPLOAD_LOG_SCHEMA, require_training_columns, write_csv
 
 
@@ -32,28 +34,23 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return fs.exists(p)
-
-
 def master_versions(spark: SparkSession, state: str) -> list[int]:
     """Accepted upload sequence numbers that have a master version."""
     root = os.path.join(state, "master")
-    if not _exists(spark, root):
+    if not path_exists(spark, root):
         return []
     p, fs = _fs(spark, root)
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and _exists(spark, os.path.join(root, name, "_SUCCESS")):
+        if name.startswith("v") and name[1:].isdigit() and path_exists(spark, os.path.join(root, name, "_SUCCESS")):
             out.append(int(name[1:]))
     return sorted(out)
 
 
-def current_master(spark: SparkSession, state: str) -> DataFrame | None:
-    """The latest master version, ``None`` before the first accepted upload."""
-    versions = master_versions(spark, state)
+def current_master(spark: SparkSession, state: str, before: int | None = None) -> DataFrame | None:
+    """The latest master version (older than ``before``), ``None`` before the first accepted upload."""
+    versions = [v for v in master_versions(spark, state) if before is None or v < before]
     if not versions:
         return None
     return spark.read.parquet(os.path.join(state, "master", f"v{versions[-1]}"))
@@ -61,9 +58,9 @@ def current_master(spark: SparkSession, state: str) -> DataFrame | None:
 
 def read_log(spark: SparkSession, state: str) -> DataFrame:
     path = os.path.join(state, "uploads_log")
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], UPLOAD_LOG_SCHEMA)
-    return spark.read.schema(UPLOAD_LOG_SCHEMA).parquet(path)
+    return spark.read.schema(UPLOAD_LOG_SCHEMA).parquet(path).select(UPLOAD_LOG_SCHEMA.names)
 
 
 def next_upload_seq(spark: SparkSession, state: str) -> int:
@@ -76,16 +73,24 @@ def ingest_upload(
     raw: DataFrame,
     state: str,
     train: bool = True,
+    key: str | None = None,
     **forest,
 ) -> dict:
     """S5 -> C11 -> F3 -> (U1, U2, S7) -> S8 ->.
 
     ``raw`` is one upload (all-text columns; ``row_idx`` gives file order).
     An upload without trainable rows is logged and changes nothing else.
+    ``key`` names the upload where it may be repeated (a replayed micro-batch):
+    it then takes the number that it had, its master version and its log row
+    are written over, and nothing is counted twice.
     Returns the log record plus the metrics frame when models were trained.
     """
     require_training_columns(raw)
     seq = next_upload_seq(spark, state)
+    key = key or f"upload-{seq}"
+    logged = os.path.join(state, "uploads_log", f"key={key}")
+    if path_exists(spark, f"{logged}/_SUCCESS"):
+        seq = int(spark.read.schema(UPLOAD_LOG_SCHEMA).parquet(logged).first()["upload_seq"])
     if "row_idx" not in raw.columns:
         raw = raw.withColumn("row_idx", F.monotonically_increasing_id())
     raw = raw.withColumn("upload_seq", F.lit(seq).cast("bigint"))
@@ -93,7 +98,7 @@ def ingest_upload(
     # the log-cost rule is evaluated on this upload alone
     trainable = with_any_hours(engineer_training(raw, by=None)).persist()
     rows_train = trainable.count()
-    old = current_master(spark, state)
+    old = current_master(spark, state, before=seq)
     result: dict = {"upload_seq": seq, "rows_raw": rows_raw, "rows_train": rows_train, "metrics": None}
     if rows_train == 0:
         result["rows_master_total"] = 0 if old is None else old.count()
@@ -107,7 +112,7 @@ def ingest_upload(
     log_row = spark.createDataFrame(
         [(seq, result["rows_raw"], result["rows_train"], result["rows_master_total"])], UPLOAD_LOG_SCHEMA
     )
-    log_row.write.mode("append").parquet(os.path.join(state, "uploads_log"))
+    log_row.write.mode("overwrite").parquet(logged)
     if rows_train and train:
         metrics = train_all(master, os.path.join(state, "models"), **forest)
         if metrics.count() > 0:  # S9: only when at least one model trained

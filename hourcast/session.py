@@ -20,14 +20,11 @@ DEFAULT_CONF = {
 }
 
 
-# Runtime SQL settings applied to any session the package is handed (the
-# driver's included).  Constraint propagation infers filters from every
-# alias of a wide projection; on the ~100-column project plans it costs
-# minutes of planning for nothing, so it is switched off.  Scoring is CPU
-# bound per row (trees x operations), so AQE may not merge small shuffle
-# outputs below 128 KB per task - otherwise a small batch of quotes lands in
-# one or two tasks.  Large inputs are unaffected (their partitions are far
-# above the minimum).
+# Settings of the sessions that this package plans its own queries in.
+# Constraint propagation infers filters from every alias of a wide projection;
+# on the ~100-column project plans it costs minutes of planning for nothing.
+# Scoring is CPU bound per row (trees x operations), so AQE may not merge
+# small shuffle outputs below 128 KB per task.
 RUNTIME_CONF = {
     "spark.sql.constraintPropagation.enabled": "false",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
@@ -37,11 +34,20 @@ RUNTIME_CONF = {
 
 
 def tune_session(spark: SparkSession) -> SparkSession:
-    """Apply ``RUNTIME_CONF`` to an existing session (idempotent)."""
+    """A session of the same application with the caller's settings and ``RUNTIME_CONF``.
+
+    Frames keep the settings of the session they were made in, so the caller's
+    own session, and the plans made in it, stay as they are.
+    """
+    if all(spark.conf.get(k, None) == v for k, v in RUNTIME_CONF.items()):
+        return spark
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k) and own.conf.get(k, None) != v:
+            own.conf.set(k, v)
     for k, v in RUNTIME_CONF.items():
-        if spark.conf.get(k, None) != v:
-            spark.conf.set(k, v)
-    return spark
+        own.conf.set(k, v)
+    return own
 
 
 def get_session(master: str | None = None, app: str = "hourcast", **conf: str) -> SparkSession:
@@ -60,12 +66,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the launcher to shared storage and is only
-    read here.  When unset (local tests) a fresh scratch folder is created and
-    registered, so ``DataFrame.checkpoint()`` works.
+    read here.  When unset, a fresh scratch folder is created and registered
+    if all tasks run on this machine (a local master); anywhere else each
+    executor would write to its own disk, so that is an error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="hourcast-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -78,6 +87,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a written intermediate that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove ``path`` when the application ends (a result may still read it until then)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def content_key(spark: SparkSession, paths: list[str]) -> str:
+    """Names, sizes and modification times of the files under ``paths``, as one text."""
+    jvm, out = spark.sparkContext._jvm, []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            files = fs.listFiles(p, True)
+            while files.hasNext():
+                st = files.next()
+                out.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+    return "\n".join(sorted(out))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check on any Hadoop filesystem (local, HDFS, object stores)."""
     jvm = spark.sparkContext._jvm

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,24 +32,28 @@ METRICS_SCHEMA = T.StructType(
 )
 
 
+#: Inputs up to this size may be spread over the cores after the scan.
+SPREAD_BYTES = 64 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
-    """One parquet table of a test-data folder.
+    """One parquet table of a test-data folder."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    return balanced(df, path) if balance else df
 
-    ``balance``: a scan that yields fewer splits than the cluster has cores
-    (a small file written as one row group) is spread round-robin so the
-    work above it runs in parallel.  Large inputs have many splits and are
-    left alone - the check never adds a shuffle at scale.
-    """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return balanced(df) if balance else df
 
+def balanced(df: DataFrame, path: str) -> DataFrame:
+    """Spread the rows of a small input over the cores.
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    A small file is often one row group, which no split size can divide, so
+    the work above its scan would run in one task.  The bound is a number of
+    bytes, whatever the cluster's size: never more than that is shuffled.
+    """
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 def require_columns(df: DataFrame, required: list[str], what: str = "input") -> None:
@@ -71,26 +75,48 @@ def require_quote_columns(df: DataFrame) -> None:
     require_columns(df, ALL_FEATURES, "quote batch")
 
 
-def read_projects(spark: SparkSession, path: str, upload_seq: int, fmt: str = "csv") -> DataFrame:
+# The dialect of the source's files: quotes are doubled, text keeps its blanks.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_text(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+    """All columns as text.  ``multi_line`` reads line breaks inside quotes, a
+    file per task; without it large CSV files are split."""
+    reader = spark.read.options(**CSV, inferSchema=False, multiLine=multi_line) if fmt == "csv" else spark.read
+    return reader.format(fmt).load(path)
+
+
+def in_file_order(df: DataFrame, file: str = "_file", block: str = "_block") -> DataFrame:
+    """``df`` with ``row_idx``: the place of each row, by file name and then inside the file.
+
+    ``file`` and ``block`` hold where a row was read (they are dropped).  Spark
+    reads large files first, so ids alone don't follow file order; inside a
+    split they do.  The joined table has one row a split.
+    """
+    ided = df.withColumn("_id", F.monotonically_increasing_id())
+    splits = ided.groupBy(file, block).agg(F.min("_id").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = ided.join(F.broadcast(splits), [file, block])
+    return out.withColumn("row_idx", F.col("_before") + F.col("_id") - F.col("_lo")).drop(file, block, "_id", "_lo", "_before")
+
+
+def read_projects(spark: SparkSession, path: str, upload_seq: int, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """A raw project-hours upload, every column as text.
 
-    Adds ``upload_seq`` (given) and ``row_idx`` (position inside the file) so
-    that "last row wins" is defined without relying on file order.
+    Adds ``upload_seq`` (given) and ``row_idx`` (the position by file name and
+    inside the file), so that "last row wins" follows file order.
     """
-    reader = spark.read.option("header", True).option("inferSchema", False)
-    df = reader.format(fmt).load(path)
-    df = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    # positions are taken in file order, before any spreading of the rows
-    df = df.withColumn("upload_seq", F.lit(upload_seq).cast("bigint")).withColumn(
-        "row_idx", F.monotonically_increasing_id()
-    )
-    return balanced(df)
+    df = read_text(spark, path, fmt, multi_line)
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    df = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns] + where)
+    return balanced(in_file_order(df).withColumn("upload_seq", F.lit(upload_seq).cast("bigint")), path)
 
 
-def read_quotes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_quotes(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """A batch of quotes, all columns as text (S4); coerced later by ``prepare_quotes``."""
-    df = spark.read.option("header", True).option("inferSchema", False).format(fmt).load(path)
-    return balanced(df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]))
+    df = read_text(spark, path, fmt, multi_line)
+    return balanced(df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]), path)
 
 
 def read_master(spark: SparkSession, path: str | None, schema: T.StructType | None = None) -> DataFrame | None:
@@ -105,7 +131,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Per-target model metrics (S2); empty frame when absent."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], METRICS_SCHEMA)
-    return spark.read.schema(METRICS_SCHEMA).option("header", True).csv(path)
+    return spark.read.schema(METRICS_SCHEMA).options(**CSV).csv(path)
 
 
 def read_upload_log(spark: SparkSession, path: str) -> DataFrame:
@@ -116,8 +142,8 @@ def read_upload_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upload_log_tail(log: DataFrame, n: int = 10) -> DataFrame:
-    """The last ``n`` uploads (S3): a top-k on ``upload_seq``."""
-    return log.orderBy(F.col("upload_seq").desc()).limit(n)
+    """The last ``n`` uploads in file order (S3): a top-k on ``upload_seq``, oldest first."""
+    return log.orderBy(F.col("upload_seq").desc()).limit(n).orderBy("upload_seq")
 
 
 def preview(df: DataFrame, n: int = 5, order_by: tuple[str, ...] = ("upload_seq", "row_idx")) -> DataFrame:
@@ -133,6 +159,6 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """CSV export with header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV export with header (S9, S10): quotes doubled, blanks kept."""
+    df.write.mode("overwrite").options(**CSV).csv(path)
     return path

@@ -5,8 +5,8 @@ DataFrame and the batch operators apply unchanged - including the
 table-level log-cost rule (C5), which is defined per batch/upload and so
 cannot be a plain streaming projection.  Progress lives in the streaming
 checkpoint folder, so a restarted job resumes after the last committed
-micro-batch; output folders are written per batch id, which makes a replayed
-batch overwrite rather than duplicate its output.
+micro-batch; outputs are keyed by the stream and the batch id, so a replayed
+batch overwrites its output, master version and log row.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hourcast.operators import scoring
 from hourcast.operators.features import prepare_quotes
 from hourcast.plans.upload import ingest_upload
+from hourcast.sources.tables import CSV, in_file_order
 
 
 def text_schema(columns: list[str]) -> T.StructType:
@@ -29,8 +30,12 @@ def text_schema(columns: list[str]) -> T.StructType:
 
 
 def read_text_stream(spark: SparkSession, path: str, columns: list[str], fmt: str = "csv") -> DataFrame:
-    reader = spark.readStream.schema(text_schema(columns)).option("header", True)
-    return reader.format(fmt).load(path)
+    """All columns as text, and where each row was read (``_file``, ``_block``)."""
+    reader = spark.readStream.schema(text_schema(columns))
+    if fmt == "csv":
+        reader = reader.options(**CSV, multiLine=True)
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    return reader.format(fmt).load(path).select(*columns, *where)
 
 
 def score_stream(
@@ -46,7 +51,7 @@ def score_stream(
     models = scoring.load_models(spark, models_dir)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        scored = scoring.score_wide(prepare_quotes(batch), models, prepared=True)
+        scored = scoring.score_wide(prepare_quotes(batch.drop("_file", "_block")), models, prepared=True)
         scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             os.path.join(out_dir, f"batch_id={batch_id}")
         )
@@ -65,12 +70,15 @@ def upload_stream(
     available_now: bool = True,
     **forest,
 ) -> StreamingQuery:
-    """Each micro-batch of project rows is one upload (path A per batch)."""
+    """Each micro-batch of project rows is one upload (path A per batch), known
+    by the checkpoint folder's name and the batch id.  ``uploads`` comes from
+    ``read_text_stream``, so rows keep their file order."""
+    stream = os.path.basename(checkpoint.rstrip("/"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        ingest_upload(spark, batch.withColumn("row_idx", F.monotonically_increasing_id()), state, train=train, **forest)
+        ingest_upload(spark, in_file_order(batch), state, train=train, key=f"{stream}-{batch_id}", **forest)
 
     w = uploads.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

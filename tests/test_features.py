@@ -83,8 +83,9 @@ def test_conform_quotes_defaults_and_validation(spark):
     assert out["complexity_score_1_5"] == 3.0 and out["stations_count"] == 2.0
     assert out["stations_robot_index"] == 2.0 and out["log_quoted_materials_cost"] == 0.0
     bad = spark.createDataFrame([dict(base, quote_id=1, industry_segment=None)], schema=df.schema)
-    with pytest.raises(Exception):
-        features.conform_quotes(bad).collect()
+    # whatever the consumer reads, the record is not accepted
+    assert features.conform_quotes(bad).count() == 0 and features.conform_quotes(bad).select("stations_count").collect() == []
+    assert [tuple(r) for r in features.rejected_quotes(bad).collect()] == [(1, "industry_segment is missing")]
     with pytest.raises(ValueError):
         features.conform_quotes(df.drop("vision_type"))
 
@@ -94,3 +95,32 @@ def test_quote_record_materials_cost(spark):
     df = spark.createDataFrame([dict(base, quote_id=1, estimated_materials_cost=999.0)])
     out = features.conform_quotes(df).first()
     assert out["log_quoted_materials_cost"] == pytest.approx(math.log1p(999.0))
+
+
+def test_record_flags_keep_their_meaning(spark):
+    base = {c: "x" for c in QUOTE_CAT_FEATURES}
+    given = ["no", "Yes", " TRUE", "false", "0", "1", "1.0", "2", None, "y", "0.5", "n/a"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "quote_id int, has_controls string")
+    df = df.withColumns({c: F.lit(v) for c, v in base.items()}).withColumn("duplicate", F.col("has_controls"))
+    got = {r.quote_id: (r.has_controls, r.duplicate) for r in features.conform_quotes(df).collect()}
+    assert got == {0: (0, 0), 1: (1, 1), 2: (1, 1), 3: (0, 0), 4: (0, 0), 5: (1, 1), 6: (1, 1), 7: (0, 0), 8: (1, 0)}
+    reasons = {r.quote_id: r.reason for r in features.rejected_quotes(df).collect()}
+    assert reasons.keys() == {9, 10, 11} and "has_controls is no flag" in reasons[9]
+
+
+def test_unparsable_numbers_are_rejected(spark):
+    base = {c: "x" for c in QUOTE_CAT_FEATURES}
+    df = spark.createDataFrame([dict(base, quote_id=1, stations_count="many"), dict(base, quote_id=2, stations_count=" 3 ")])
+    assert [r.quote_id for r in features.conform_quotes(df).collect()] == [2]
+    assert features.rejected_quotes(df).first().reason == "stations_count is no number"
+
+
+def test_category_without_values_does_not_filter(spark):
+    from hourcast.operators import explore
+
+    df = spark.createDataFrame([(1, None, "a"), (2, None, None), (3, None, "b")], "id int, industry_segment string, system_category string")
+    assert {r.id for r in explore.explorer_filter(df).collect()} == {1, 3}
+    assert {r.id for r in explore.explorer_filter(df, systems=[]).collect()} == {1, 2, 3}
+    charts = df.withColumns({"project_id": F.col("id").cast("string"), "me10_actual_hours": F.lit(2.0), "ee20_actual_hours": F.lit(None).cast("double")})
+    rows = explore.hours_by_project(explore.explorer_filter(charts)).collect()
+    assert {tuple(r) for r in rows} == {("me10_actual_hours", "1", 2.0), ("me10_actual_hours", "3", 2.0)}

@@ -35,25 +35,48 @@ def test_feature_projection_is_one_codegen_stage(spark):
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_dedup_uses_partial_aggregation(spark):
+def test_dedup_keeps_a_row_per_task_and_key_before_the_shuffle(spark):
     plan = _plan(catalog.master_table(spark, SF))
-    assert "partial_max_by" in plan
-    assert "Window" not in plan  # no window sorts a whole project group
+    above, below = plan.split("Exchange hashpartitioning(project_id", 1)
+    assert "WindowGroupLimit" in below.split("Exchange")[0]
 
 
-def test_batch_scoring_has_no_exchange_or_python(spark, tmp_dir):
+def test_batch_scoring_has_no_exchange(spark, tmp_dir):
     from hourcast.operators import scoring
 
     models = scoring.load_models(spark, catalog.models_for(spark, SF))
     path = os.path.join(tmp_dir, "prepared")
-    quotes = catalog.quote_batch(spark, SF).withColumnRenamed("row_idx", "quote_id")
-    features.prepare_quotes(quotes).write.parquet(path)
+    features.prepare_quotes(catalog._records(spark, SF)).write.parquet(path)
     wide = scoring.score_wide(spark.read.parquet(path), models, prepared=True, truncate=False)
     spark.conf.set("spark.sql.maxPlanStringLength", str(10**8))
-    text = wide._jdf.queryExecution().executedPlan().toString()
-    assert "PythonUDF" not in text and "ArrowEvalPython" not in text and "BatchEvalPython" not in text
-    # subquery plans (the one-row leaf tables) are printed as ':'-prefixed
-    # children; the main scoring plan itself must be free of any exchange
-    main = [ln for ln in text.splitlines() if not ln.lstrip().startswith(":")]
-    assert not any("Exchange" in ln for ln in main), "\n".join(main)
-    assert any("FileScan parquet" in ln for ln in main)
+    # the forests, their statistics and the nine buckets: one scan, row by row
+    text = _plan(scoring.wide_to_buckets(wide))
+    assert "Exchange" not in text and "Subquery" not in text
+    assert "FileScan parquet" in text and "ArrowEvalPython" in text and "BatchEvalPython" not in text
+
+
+def test_session_of_the_caller_stays_as_it_is(spark):
+    from hourcast.session import tune_session
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.constraintPropagation.enabled", "true")
+    other.conf.set("spark.sql.shuffle.partitions", "3")
+    own = tune_session(other)
+    assert own.conf.get("spark.sql.constraintPropagation.enabled") == "false" and own.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert other.conf.get("spark.sql.constraintPropagation.enabled") == "true"
+
+
+def test_changed_tables_are_read_anew(spark, tmp_dir):
+    import shutil
+
+    import pyarrow.parquet as pq
+
+    sf = os.path.join(tmp_dir, "sf")
+    os.makedirs(sf)
+    for t in ("lineitem", "customer", "supplier"):
+        shutil.copy(os.path.join(SF, f"{t}.parquet"), sf)
+    orders = pq.read_table(os.path.join(SF, "orders.parquet"))
+    pq.write_table(orders, os.path.join(sf, "orders.parquet"))
+    first = catalog.stored_master(spark, sf).count()
+    pq.write_table(orders.slice(0, len(orders) // 2), os.path.join(sf, "orders.parquet"))
+    assert 0 < catalog.stored_master(spark, sf).count() < first

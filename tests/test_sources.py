@@ -45,3 +45,37 @@ def test_csv_round_trip_all_text(spark, tmp_dir):
     up = tables.read_projects(spark, src, upload_seq=3)
     r = up.first()
     assert r.upload_seq == 3 and r.row_idx is not None
+
+
+def test_csv_dialect_against_pandas(spark, tmp_dir):
+    import pandas as pd
+
+    rows = [('x "q" y', "l1\nl2", "  pad "), ("a,b", "", '"'), ("back\\slash", "é", "'")]
+    src = os.path.join(tmp_dir, "in.csv")
+    pd.DataFrame(rows, columns=["a", "b", "c"]).to_csv(src, index=False)
+    back = [tuple(r) for r in tables.read_quotes(spark, src).collect()]
+    assert sorted(back, key=str) == sorted([(a, b or None, c) for a, b, c in rows], key=str)
+    out = os.path.join(tmp_dir, "out")
+    tables.write_csv(spark.createDataFrame(rows, "a string, b string, c string").coalesce(1), out)
+    part = next(os.path.join(out, f) for f in os.listdir(out) if f.endswith(".csv"))
+    got = pd.read_csv(part, dtype=str, keep_default_na=False)
+    assert [tuple(r) for r in got.itertuples(index=False)] == rows
+
+
+def test_rows_keep_file_order(spark, tmp_dir):
+    import pandas as pd
+
+    src = os.path.join(tmp_dir, "files")
+    os.makedirs(src)
+    # the second file is the larger one, which Spark reads first
+    for k, n in enumerate((5, 5000)):
+        pd.DataFrame({"project_id": [f"{k}-{i}" for i in range(n)]}).to_csv(os.path.join(src, f"part-{k}.csv"), index=False)
+    got = [r.project_id for r in tables.read_projects(spark, src, 0).orderBy("row_idx").collect()]
+    assert got == [f"0-{i}" for i in range(5)] + [f"1-{i}" for i in range(5000)]
+    assert sorted(r.row_idx for r in tables.read_projects(spark, src, 0).collect()) == list(range(5005))
+
+
+def test_metrics_are_read_back(spark, tmp_dir):
+    rows = [("me10_actual_hours", "v1", 5, 1.5, 0.25, "/a b/c")]
+    tables.write_csv(spark.createDataFrame(rows, tables.METRICS_SCHEMA), os.path.join(tmp_dir, "m"))
+    assert [tuple(r) for r in tables.read_metrics(spark, os.path.join(tmp_dir, "m")).collect()] == rows

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from hourcast.config import ALL_FEATURES, TARGETS
 from hourcast.operators import scoring
 from hourcast.plans import catalog
-from hourcast.plans.upload import current_master, ingest_upload, read_log
+from hourcast.plans.upload import current_master, ingest_upload, master_versions, read_log
+from hourcast.sources.tables import in_file_order, read_text
 from hourcast.streaming import read_text_stream, score_stream, upload_stream
 
 SF = "/root/testdata/sf0.001"
@@ -56,8 +57,18 @@ def test_streams(spark, tmp_dir):
     ).csv(qsrc)
     qcols = spark.read.option("header", True).csv(qsrc).columns
     out = os.path.join(tmp_dir, "scores")
-    models = scoring.load_models(spark, models_dir, strict=False)
-    if len(models) == 12:
-        s = score_stream(spark, read_text_stream(spark, qsrc, qcols), models_dir, out, os.path.join(tmp_dir, "ck2"))
-        s.awaitTermination(600)
-        assert spark.read.parquet(out).count() == quotes.count()
+    # the same upload again, as a batch that is replayed: no second log row, no second master
+    log, versions = read_log(spark, state).collect(), master_versions(spark, state)
+    batch = in_file_order(read_text(spark, src).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")))
+    ingest_upload(spark, batch, state, train=False, key="ck1-0")
+    assert read_log(spark, state).collect() == log and master_versions(spark, state) == versions
+    # a target with too few rows in this upload has no model: give it the one of another
+    paths = scoring.published(spark, models_dir)
+    missing = [t for t in TARGETS if t not in paths]
+    if missing:
+        assert len(scoring.load_models(spark, models_dir, strict=False)) == 12 - len(missing)
+        everything = catalog.models_for(spark, SF)
+        scoring.publish(spark, models_dir, {t: scoring.published(spark, everything)[t] for t in missing})
+    s = score_stream(spark, read_text_stream(spark, qsrc, qcols), models_dir, out, os.path.join(tmp_dir, "ck2"))
+    s.awaitTermination(600)
+    assert spark.read.parquet(out).count() == quotes.count()

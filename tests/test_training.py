@@ -107,16 +107,17 @@ def test_strict_load_lists_missing(spark, trained):
 def test_per_tree_values_reproduce_forest_prediction(spark, trained, small_master):
     d, _ = trained
     m = scoring.load_models(spark, d, strict=False)[0]
-    lv = scoring.leaf_values(spark, m).select("lv").scalar()
-    m.forest.setPredictionCol("__me10__prediction")
-    out = m.model.transform(small_master).select(
-        F.col("__me10__prediction").alias("pred"), F.col("__me10__leaf"), lv.alias("lv")
-    )
-    out = out.select("pred", scoring.tree_values(F.col("__me10__leaf"), F.col("lv")).alias("trees"))
-    rows = out.collect()
-    for r in rows:
-        assert len(r.trees) == 8
-        assert abs(sum(r.trees) / 8 - r.pred) < 1e-9
+    values = {(r.tree, r.leaf): r.value for r in scoring.leaf_values(spark, m).collect()}
+    assert {t for t, _ in values} == set(range(8))
+    own = {r.row_idx: r for r in m.model.transform(small_master).collect()}
+    quotes = small_master.withColumnRenamed("row_idx", "quote_id")
+    for r in scoring.score_wide(quotes, [m]).collect():
+        trees = [values[t, int(leaf)] for t, leaf in enumerate(own[r.quote_id]["__me10__leaf"])]
+        assert r.me10_p50 == pytest.approx(own[r.quote_id]["__me10__prediction"], abs=1e-9)
+        assert r.me10_p50 == pytest.approx(np.mean(trees)) and r.me10_std == pytest.approx(np.std(trees))
+        assert [r.me10_p10, r.me10_p90] == pytest.approx(np.percentile(trees, [10, 90]).tolist())
+    checks = scoring.score_checks(quotes, [m]).first()
+    assert tuple(checks) == ("me10", 120, 0, 0, 0)
 
 
 def test_scoring_invariants(spark, trained, small_master):
@@ -143,26 +144,66 @@ def test_scoring_invariants(spark, trained, small_master):
     assert all(again[r.quote_id] == pytest.approx(r.me10_p50) for r in w)
 
 
-def test_drivers_importances(spark, trained, small_master):
+def test_drivers_importances(spark, trained):
     d, _ = trained
-    m = scoring.load_models(spark, d, strict=False)[0]
-    m.forest.setPredictionCol("")
-    dr = scoring.drivers(m, small_master, n=50).collect()
-    assert sum(r.importance for r in dr) == pytest.approx(1.0)
-    assert dr[0].importance >= dr[-1].importance
-    names = {r.feature for r in dr}
+    models = scoring.load_models(spark, d, strict=False)
+    every = [r for r in scoring.drivers(models, spark, n=1000).collect() if r.target == "me10_actual_hours"]
+    assert sum(r.importance for r in every) == pytest.approx(1.0)
+    assert [r["rank"] for r in every] == list(range(1, len(every) + 1))
+    assert every[0].importance >= every[-1].importance
+    names = {r.feature for r in every}
     assert "num__robot_count" in names
     assert any(n.startswith("cat__industry_segment_") for n in names)
-    assert len(scoring.drivers(m, small_master).collect()) <= 15
+    listed = scoring.drivers(models, spark).groupBy("target").count().collect()
+    assert len(listed) == 11 and all(r["count"] <= 15 for r in listed)
 
 
-def test_oversized_forest_uses_join_path(spark, trained, small_master):
+def test_scoring_leaves_the_model_alone(spark, trained, small_master):
+    d, _ = trained
+    m = scoring.load_models(spark, d, strict=False)[0]
+    scoring.score_wide(small_master.withColumnRenamed("row_idx", "quote_id"), [m]).count()
+    assert "__me10__prediction" in m.model.transform(small_master).columns
+
+
+def test_repeated_null_and_absent_ids(spark, trained, small_master):
     d, _ = trained
     models = scoring.load_models(spark, d, strict=False)[:2]
     quotes = small_master.withColumnRenamed("row_idx", "quote_id")
-    fast = {r.quote_id: r for r in scoring.score_wide(quotes, models).collect()}
-    slow = {r.quote_id: r for r in scoring.score_wide(quotes, models, max_shipped_leaves=0).collect()}
-    assert fast.keys() == slow.keys()
-    for q, r in fast.items():
-        for c in ("me10_p50", "me10_p10", "me10_p90", "me10_std", "total_p50"):
-            assert slow[q][c] == pytest.approx(r[c], abs=1e-9), c
+    want = {r.quote_id: r.me10_p50 for r in scoring.score_wide(quotes, models).collect()}
+    # all rows carry one of two ids or none; the place in the file tells them apart
+    odd = quotes.withColumn("at", F.col("quote_id")).withColumn("quote_id", F.when(F.col("at") % 3 == 0, F.lit(None)).otherwise(F.lit(7)))
+    got = {r["at"]: r.me10_p50 for r in scoring.score_wide(odd, models).collect()}
+    assert got == pytest.approx(want)
+    bare = scoring.score_wide(quotes.drop("quote_id", "project_id"), models).collect()
+    assert sorted(r.me10_p50 for r in bare) == pytest.approx(sorted(want.values()))
+
+
+def test_old_models_keep_their_numbers_after_a_retrain(spark, small_master, tmp_path):
+    d = str(tmp_path / "models")
+    training.train_all(small_master, d, trees=4, max_depth=3).count()
+    old = scoring.load_models(spark, d, strict=False)
+    quotes = small_master.withColumnRenamed("row_idx", "quote_id")
+    planned = scoring.score_wide(quotes, old)
+    before = {r.quote_id: r.me10_p50 for r in scoring.score_wide(quotes, old).collect()}
+    more = small_master.withColumns({t: F.col(t) * 100 for t in TARGETS})
+    training.train_all(more, d, trees=6, max_depth=5).count()
+    after = {r.quote_id: r.me10_p50 for r in scoring.score_wide(quotes, old).collect()}
+    assert before == after == {r.quote_id: r.me10_p50 for r in planned.collect()}
+    new = {r.quote_id: r.me10_p50 for r in scoring.score_wide(quotes, scoring.load_models(spark, d, strict=False)).collect()}
+    assert sum(new.values()) > 50 * sum(before.values())
+
+
+def test_skipped_targets_keep_their_model(spark, small_master, tmp_path):
+    d = str(tmp_path / "models")
+    training.train_all(small_master, d, trees=2, max_depth=2).count()
+    first = scoring.published(spark, d)
+    training.train_all(small_master.withColumn(TARGETS[0], F.lit(0.0)), d, trees=2, max_depth=2).count()
+    second = scoring.published(spark, d)
+    assert second[TARGETS[0]] == first[TARGETS[0]] and second[TARGETS[1]] != first[TARGETS[1]]
+
+
+def test_fits_read_their_own_part(spark, small_master, tmp_path):
+    path = str(tmp_path / "split")
+    training.exact_split(training.training_long(small_master)).write.partitionBy("target").parquet(path)
+    plan = spark.read.parquet(path).filter(F.col("target") == TARGETS[0])._jdf.queryExecution().executedPlan().toString()
+    assert "target#" in plan.split("PartitionFilters: [")[1].split("]")[0]
