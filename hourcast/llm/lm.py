@@ -52,6 +52,8 @@ from hourcast.llm import words
 from hourcast.llm.common import Scratch, remainder
 
 FOLDS, HELD_OUT = 7, 2
+#: Bytes of text for each bucket of counts.
+BUCKET_BYTES = 32 << 20
 #: Distinct keys that a task gathers before it hands them on.
 GATHERED = 3_000_000
 
@@ -267,7 +269,8 @@ def pair_keys(model: Model, hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.
 def train(spark: SparkSession, docs: DataFrame, s: Scratch) -> Model:
     """Counts the rows of ``docs`` (text); the files lie in the scratch folder."""
     root = s.root
-    bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(2, (-(-size // BUCKET_BYTES) - 1).bit_length())
     buckets = 1 << bits
 
     # words
