@@ -122,30 +122,69 @@ def exact_split(
     return df.withColumn("is_test", rank <= n_test).drop("_h", "_bin", "_before", "_n")
 
 
+# Steps of the median's bins for each doubling of a value.
+MEDIAN_STEPS = 4096
+
+
+def _value_bin(v: Column) -> Column:
+    """A bin of a number that never falls as the number grows."""
+    size = F.abs(v)
+    power = F.floor(F.log2(size))
+    place = power * MEDIAN_STEPS + F.floor(size / F.pow(F.lit(2.0), power.cast("double")) * MEDIAN_STEPS) + (1 << 24)
+    place = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(1 << 26)).otherwise(place)
+    return F.when(v < 0, -place).otherwise(place).cast("bigint")
+
+
+def exact_medians(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """``(*by, median)``: exact medians from counts, whatever the number of rows or distinct values.
+
+    Equal values are counted first, with map-side partial aggregation, so a
+    hot value costs a row a task.  Counts per bin of near values give the bins
+    that hold the middle (at most two a group); only their values are ranked.
+    """
+    v = F.col(value)
+    counts = values.filter(v.isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_bin", _value_bin(v))
+    bins = counts.groupBy(*by, "_bin").agg(F.sum("_c").alias("_n"))
+    order = Window.partitionBy(*by).orderBy("_bin")
+    bins = bins.withColumn("_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bins = bins.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
+    middle = bins.filter((F.col("_upto") >= low) & (F.col("_upto") - F.col("_n") < high))
+    middle = middle.select(*by, "_bin", "_all", (F.col("_upto") - F.col("_n")).alias("_before"))
+    inside = counts.join(middle, [*by, "_bin"])
+    own = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(own))
+    holds = lambda rank: (F.col("_to") >= rank) & (F.col("_to") - F.col("_c") < rank)
+    ends = inside.groupBy(*by).agg(F.max(F.when(holds(low), v)).alias("_lo"), F.max(F.when(holds(high), v)).alias("_hi"))
+    return ends.select(*by, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+
+
 def impute_values(split: DataFrame) -> DataFrame:
     """A6 + A7: per target, on the training split only, the exact median of
     each numeric feature and the most frequent value of each categorical
     (ties -> smallest value).  Long form ``(target, feature, num_value,
     cat_value)``; a null value means the feature is all-null in training and
-    is dropped from that model.
-
-    ``median``/``mode`` keep a value -> count map per group, so memory grows
-    with the distinct values of a feature, not with its rows.
+    is dropped from that model.  Both come from counts of equal values, so no
+    task holds the values of a feature.
     """
     nums = [c for c in QUOTE_NUM_FEATURES if c in split.columns]
     cats = [c for c in QUOTE_CAT_FEATURES if c in split.columns]
     train = split.filter(~F.col("is_test"))
-    aggs = [F.median(F.col(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(nums)]
-    aggs += [F.mode(F.col(c).cast("string"), True).alias(f"_c{i}") for i, c in enumerate(cats)]
-    wide = train.groupBy("target").agg(*aggs)
-    items = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"_m{i}").alias("num_value"), F.lit(None).cast("string").alias("cat_value"))
-        for i, c in enumerate(nums)
-    ] + [
-        F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("num_value"), F.col(f"_c{i}").alias("cat_value"))
-        for i, c in enumerate(cats)
-    ]
-    return wide.select("target", F.explode(F.array(*items)).alias("_v")).select("target", "_v.*")
+
+    def long(names: list[str], kind: str) -> DataFrame:
+        items = [F.struct(F.lit(c).alias("feature"), F.col(c).cast(kind).alias("value")) for c in names]
+        return train.select("target", F.explode(F.array(*items)).alias("_v")).select("target", "_v.*").filter("value is not null")
+
+    every = train.select("target").distinct().select("target", F.explode(F.array(*[F.lit(c) for c in nums + cats])).alias("feature"))
+    parts = []
+    if nums:
+        parts.append(exact_medians(long(nums, "double"), ["target", "feature"]).select("target", "feature", F.col("median").alias("num_value"), F.lit(None).cast("string").alias("cat_value")))
+    if cats:
+        counts = long(cats, "string").groupBy("target", "feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+        best = counts.groupBy("target", "feature").agg(F.min(F.struct((-F.col("_c")).alias("_c"), "value")).alias("_b"))
+        parts.append(best.select("target", "feature", F.lit(None).cast("double").alias("num_value"), F.col("_b.value").alias("cat_value")))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return every.join(found, ["target", "feature"], "left")
 
 
 def regression_metrics(df: DataFrame, by: str, label: str, prediction: str) -> DataFrame:

@@ -207,3 +207,26 @@ def test_fits_read_their_own_part(spark, small_master, tmp_path):
     training.exact_split(training.training_long(small_master)).write.partitionBy("target").parquet(path)
     plan = spark.read.parquet(path).filter(F.col("target") == TARGETS[0])._jdf.queryExecution().executedPlan().toString()
     assert "target#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_exact_medians(spark):
+    rng = np.random.default_rng(3)
+    groups = {
+        "spread": rng.normal(0, 1e6, 1001),
+        "even": rng.integers(-5, 5, 1000).astype(float),
+        "powers": 2.0 ** rng.integers(-30, 30, 500),
+        "one": np.array([7.5]),
+        "two": np.array([-1.0, 4.0]),
+        "hot": np.concatenate([np.full(700, 3.0), rng.uniform(2.999, 3.001, 600)]),
+        "zero": np.array([0.0, 0.0, -0.5, 1e-9]),
+        "endless": np.array([float("inf"), 1.0, 2.0, float("-inf"), float("inf")]),
+    }
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("spread", None)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(7)
+    got = {r.g: r["median"] for r in training.exact_medians(df, ["g"]).collect()}
+    assert got == pytest.approx({g: float(np.median(xs)) for g, xs in groups.items()})
+
+
+def test_no_statistic_keeps_values_in_a_buffer(spark, small_master):
+    plan = training.impute_values(training.exact_split(training.training_long(small_master)))._jdf.queryExecution().executedPlan().toString()
+    assert not any(f"{name}(" in plan for name in ("median", "percentile", "mode", "collect_set", "collect_list"))
