@@ -390,5 +390,66 @@ def _spread(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def op6_kneser_ney(spark: SparkSession, docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "text", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     model = train(spark, d.where("not held_out"), Scratch(spark, "lm"))
-    out = score(d, model)
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    out = score(d, model).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    # six places, so that sums in another order compare equal
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score", "perplexity")})
+
+
+def _sql_discounts(of: str, to: str) -> str:
+    """The three discounts from the counts of counts n1 to n4 of ``of``."""
+    d = [f"greatest(least({k} - {k + 1} * y * n{k + 1} / n{k}, {k}.0), 0.0)" for k in (1, 2, 3)]
+    d = [f"coalesce(nullif(CASE WHEN n1 > 0 AND n{k} > 0 THEN {x} END, 0.0), 0.5) AS d{k}" for k, x in zip((1, 2, 3), d, strict=True)]
+    counts = ", ".join(f"CAST(count(*) FILTER (c = {k}) AS DOUBLE) AS n{k}" for k in (1, 2, 3, 4))
+    return f"{to} AS (SELECT {', '.join(d)} FROM (SELECT *, n1 / nullif(n1 + 2 * n2, 0) AS y FROM (SELECT {counts} FROM {of})))"
+
+
+def _off(c: str, d: str) -> str:
+    return f"CASE WHEN {c} >= 3 THEN {d}.d3 WHEN {c} = 2 THEN {d}.d2 WHEN {c} = 1 THEN {d}.d1 ELSE 0 END"
+
+
+#: crc32 of the id as text, from its table of 256 remainders; ids are non-negative here.
+_CRC = """
+crc_bits(b, r, k) AS (
+  SELECT b, b, 0 FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL
+  SELECT b, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT b, r FROM crc_bits WHERE k = 8),
+crc_steps(doc_id, id, r, k) AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR), 4294967295, 0 FROM documents
+  UNION ALL
+  SELECT doc_id, id, xor(t.r, s.r >> 8), k + 1
+  FROM crc_steps s JOIN crc_table t ON t.b = xor(s.r, ascii(substr(id, k + 1, 1))) & 255 WHERE k < length(id)),
+held AS (SELECT doc_id, xor(r, 4294967295) % 7 = 2 AS held_out FROM crc_steps WHERE k = length(id))"""
+
+ORACLE = rf"""
+WITH RECURSIVE {_CRC.strip()},
+w AS (
+  SELECT doc_id, list_append(['w' || x FOR x IN regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')],
+           'end') AS a
+  FROM documents),
+t AS (SELECT doc_id, held_out, unnest(a) AS v, unnest(list_prepend('end', a[:-2])) AS u FROM w JOIN held USING (doc_id)),
+uni AS (SELECT v, count(*) AS c FROM t WHERE NOT held_out GROUP BY v),
+pairs AS (SELECT u, v, count(*) AS c FROM t WHERE NOT held_out GROUP BY u, v),
+follows AS (SELECT v, count(*) AS c FROM pairs GROUP BY v),
+{_sql_discounts('pairs', 'd')},
+{_sql_discounts('follows', 'e')},
+tot AS (SELECT (SELECT sum(c) FROM uni) AS n, (SELECT count(*) FROM uni) AS types, (SELECT count(*) FROM pairs) AS pairs),
+rest AS (SELECT sum({_off('c', 'e')}) / any_value(pairs) AS rest FROM follows, e, tot),
+share AS (SELECT u, sum({_off('p.c', 'd')}) / any_value(uni.c) AS share FROM pairs p JOIN uni ON uni.v = p.u, d GROUP BY u),
+p AS (
+  SELECT t.doc_id, t.held_out, uni.c AS c, tot.n, tot.types,
+         (coalesce(f.c, 0) - {_off('coalesce(f.c, 0)', 'e')}) / tot.pairs + rest.rest / (tot.types + 1) AS lower_p,
+         before.c AS before_c, share.share,
+         coalesce(pairs.c, 0) - {_off('coalesce(pairs.c, 0)', 'd')} AS together
+  FROM t LEFT JOIN uni ON uni.v = t.v LEFT JOIN follows f ON f.v = t.v LEFT JOIN uni before ON before.v = t.u
+         LEFT JOIN share ON share.u = t.u LEFT JOIN pairs ON pairs.u = t.u AND pairs.v = t.v, tot, rest, d, e),
+q AS (
+  SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+         sum(log10((coalesce(c, 0) + 1) / (n + types + 1))) AS base_score,
+         sum(log10(CASE WHEN before_c IS NULL THEN lower_p ELSE together / before_c + share * lower_p END)) AS score
+  FROM p GROUP BY doc_id)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score,
+       round(pow(10.0, -score / n_tokens), 6) AS perplexity
+FROM q
+"""

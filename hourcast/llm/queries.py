@@ -29,4 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {
+    "op4_bottom_k": near_dedup.ORACLE,
+    "op6_kneser_ney": lm.ORACLE,
+    "op7_exact_dedup": exact_dedup.ORACLE,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
+}
