@@ -44,7 +44,7 @@ from hourcast.llm.common import ship
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words and token pairs that a worker remembers before it starts afresh.
-WORDS_KEPT, PAIRS_KEPT = 300_000, 2_000_000
+WORDS_KEPT, PAIRS_KEPT = 200_000, 300_000
 END = 256
 NEVER = 1 << 62
 
@@ -204,7 +204,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 SPACES = regex.compile(r"\s+")
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
+#: The vocabulary's own pattern, written out for lower-cased text of Latin-1 letters, which the
+#: normaliser leaves as it is; the separators U+001C to U+001F are white space to Python alone.
+LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\s0-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
+NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xff]")
 
 
 class Coder:
@@ -215,6 +218,7 @@ class Coder:
         self.words = regex.compile(self.v.pattern)
         self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.v.special, key=len, reverse=True)) + ")")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.shown: dict[str, tuple[int, str, str]] = {}
 
     def split(self, text: str) -> list[str]:
         """The words and special tokens of a text; a special token starts with a blank, which no word has."""
@@ -222,9 +226,8 @@ class Coder:
         for piece in self.special.split(text) if "<|" in text else [text]:
             if piece in self.v.special:
                 out.append(" " + piece)
-            elif piece.isascii():
-                # the separators U+001C to U+001F are white space here to Python alone
-                out += ASCII_WORDS.findall(piece.lower()) if not CONTROLS.search(piece) else self.words.findall(SPACES.sub(" ", piece).lower())
+            elif not NOT_LATIN.search(piece):
+                out += LATIN_WORDS.findall(piece.lower())
             else:
                 # lower case is taken letter by letter, so a last sigma gets no form of its own
                 piece = SPACES.sub(" ", unicodedata.normalize("NFC", piece)).replace("Σ", "σ").lower()
@@ -239,6 +242,15 @@ class Coder:
         self.known |= {w: (self.v.special[w[1:]],) for w in new if w[0] == " "}
         self.known |= self.v.encode_words(w for w in new if w[0] != " ")
 
+    def show(self, words: set[str]) -> None:
+        """For each word: its number of tokens, their ids and the tokens decoded, as text."""
+        self.learn(words)
+        if len(self.shown) + len(words) > WORDS_KEPT:
+            self.shown.clear()
+        for w in words - self.shown.keys():
+            ids = self.known[w]
+            self.shown[w] = len(ids), " ".join(map(str, ids)), self.decode(ids)
+
     def encode(self, text: str | None) -> list[int]:
         words = self.split(text or "")
         self.learn(set(words))
@@ -249,9 +261,8 @@ class Coder:
         return " ".join([self.v.token[i] for i in ids])
 
 
-CONTROLS = re.compile("[\x1c-\x1f]")
 #: Code points of texts that share one trie.
-TRIE_CHARS = 8_000_000
+TRIE_CHARS = 2_000_000
 
 
 def groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
@@ -307,21 +318,14 @@ def op3_trie_bpe(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path)
-        shown: dict[str, tuple[int, str, str]] = {}
         sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             out = []
             for run in groups(map(pa.StringScalar.as_py, batch.column("text"))):
                 split = [coder.split(t) for t in run]
-                distinct = set().union(*split)
-                coder.learn(distinct)
-                if len(shown) + len(distinct) > WORDS_KEPT:
-                    shown.clear()
-                for w in distinct - shown.keys():
-                    ids = coder.known[w]
-                    shown[w] = len(ids), " ".join(map(str, ids)), coder.decode(ids)
+                coder.show(set().union(*split))
                 for words in split:
-                    got = [shown[w] for w in words]
+                    got = [coder.shown[w] for w in words]
                     out.append((sum([x[0] for x in got]), sha(" ".join([x[1] for x in got])), sha(" ".join([x[2] for x in got]))))
             kinds = [pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(

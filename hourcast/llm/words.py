@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once (one text may be longer).
-RUN_BYTES = 4_000_000
+RUN_BYTES = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
