@@ -122,12 +122,14 @@ def tables(radius: int, bits: int = BITS) -> list[int]:
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of distinct fingerprints ``fp`` within the radius."""
+    """(a, b, distance), a < b: all pairs of distinct fingerprints ``fp`` within the radius, each from the first table it meets in."""
     if radius < 0 or radius > BITS - SPARE_BLOCKS:
         raise ValueError("the radius must lie between 0 and 61")
     masks = F.array(*[F.lit(m).cast("long") for m in tables(radius)])
     one = fps.where("fp is not null").select("fp").distinct()
     dealt = one.select("fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     a, b = dealt.withColumnRenamed("fp", "a"), dealt.withColumnRenamed("fp", "b")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return a.join(b, ["t", "key"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius)
+    earlier = F.exists(F.slice(masks, F.lit(1), F.col("t")), lambda m: differ.bitwiseAND(m) == 0)
+    return a.join(b, ["t", "key"]).where(near & ~earlier).select("a", "b", F.bit_count(differ).alias("distance"))
