@@ -28,7 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from operator import eq
 from zlib import crc32
 
@@ -39,18 +39,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourcast.llm import sampling
-from hourcast.llm.common import fresh, remainder, ship, table
+from hourcast.llm.common import Scratch, fresh, remainder, ship, table
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Bounds of the sample: rows of either label, words, terms of a row.
-ROWS, VOCABULARY, TERMS = 5000, 20_000, 20_000
+ROWS, VOCABULARY, TERMS = 2500, 20_000, 20_000
 SIZE, ONES, AROUND = 64, 6, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 0.003, 1e-4
 #: Terms that a worker remembers before it starts afresh.
-KEPT = 300_000
+KEPT = 100_000
 
 TERM = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 AGAIN = "<again>"
+NOTHING = np.zeros((0, SIZE), np.float32)
 
 
 def form(term: str) -> str:
@@ -69,62 +70,59 @@ def index_vector(word: str) -> np.ndarray:
     return out / ONES**0.5
 
 
-@dataclass
 class Words:
-    """Vectors of the known words and of forms; row 0 stands for no word."""
+    """Vectors of known words and of forms, by row; row 0 of either stands for none."""
 
-    vectors: dict[str, np.ndarray] = field(default_factory=dict)
+    def __init__(self, names: list[str], vectors: np.ndarray):
+        self.vectors = np.concatenate([np.zeros((1, SIZE), np.float32), vectors]) if names else np.zeros((1, SIZE), np.float32)
+        self.row = {w: k + 1 for k, w in enumerate(names)}
+        self._forget()
 
-    def __post_init__(self):
-        self.row: dict[str, int] = {}
-        self.held = [np.zeros(SIZE, np.float32)]
+    def _forget(self) -> None:
         self.rows: dict[str, tuple[int, int]] = {}
-        self.stacked = None
+        self.form_row: dict[str, int] = {}
+        self.forms = np.zeros((256, SIZE), np.float32)
 
-    def _row(self, word: str, vector: np.ndarray) -> int:
-        if word not in self.row:
-            self.row[word] = len(self.held)
-            self.held.append(vector)
-            self.stacked = None
-        return self.row[word]
+    def _form(self, shape: str) -> int:
+        if shape not in self.form_row:
+            k = self.form_row[shape] = len(self.form_row) + 1
+            if k == len(self.forms):
+                self.forms = np.concatenate([self.forms, np.zeros_like(self.forms)])
+            self.forms[k] = index_vector(shape)
+        return self.form_row[shape]
 
     def of(self, term: str) -> tuple[int, int]:
         """Rows of the word and of its form."""
         got = self.rows.get(term)
         if got is None:
-            word = term.lower()
-            vector = self.vectors.get(word)
-            shape = form(term) if term != AGAIN else AGAIN
-            got = self.rows[term] = (0 if vector is None else self._row(word, vector), self._row("form " + shape, index_vector(shape)))
+            got = self.rows[term] = (self.row.get(term.lower(), 0), self._form(form(term) if term != AGAIN else AGAIN))
         return got
 
     def pooled(self, text: str | None) -> np.ndarray:
         terms = TERM.findall(text or "")
-        counts = Counter(terms)
         n = len(terms)
-        if again := sum(map(eq, terms, terms[1:])):
-            counts[AGAIN] = again
         if not n:
             return np.zeros(4 * SIZE + 3, np.float32)
         if len(self.rows) > KEPT:
-            self.__post_init__()
-        of = self.of
-        got = np.array([of(t) for t in counts])
-        if self.stacked is None:
-            self.stacked = np.array(self.held)
+            self._forget()
+        counts = Counter(terms)
+        if again := sum(map(eq, terms, terms[1:])):
+            counts[AGAIN] = again
+        got = np.array(list(map(self.of, counts)))
         w, one = np.fromiter(counts.values(), np.float32, len(counts)) / n, np.float32(1 / len(counts))
+        # sums over the few distinct rows of either kind
         parts = []
-        for side in (0, 1):
-            v = self.stacked[got[:, side]]
-            parts += [w @ v, v.sum(axis=0) * one]
+        for side, vectors in ((0, self.vectors), (1, self.forms)):
+            used, at = np.unique(got[:, side], return_inverse=True)
+            v = vectors[used]
+            parts += [np.bincount(at, w).astype(np.float32) @ v, np.bincount(at).astype(np.float32) @ v * one]
         return np.concatenate([*parts, np.array([1, np.log(n), len(counts) / n], np.float32)])
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, bucket, n, around): the sums of the index vectors around each word, for a task's rows."""
     number: dict[str, int] = {}
-    index: list[np.ndarray] = []
-    sums, n = np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64)
+    index, sums, n = np.zeros((0, SIZE), np.float32), np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64)
     for batch in batches:
         for text in map(pa.StringScalar.as_py, batch.column("text")):
             terms = [t.lower() for t in TERM.findall(text or "")]
@@ -132,17 +130,18 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run = 100
                 starts = np.linspace(0, len(terms) - run, TERMS // run).astype(int)
                 terms = [t for a in starts.tolist() for t in terms[a : a + run]]
-            for t in terms:
-                if t not in number:
-                    number[t] = len(index)
-                    index.append(index_vector(t))
+            new = [t for t in dict.fromkeys(terms) if t not in number]
+            number |= {t: len(number) + k for k, t in enumerate(new)}
             if not terms:
                 continue
-            if len(index) > len(sums):
-                more = 2 * len(index) - len(sums)
-                sums, n = np.concatenate([sums, np.zeros((more, SIZE), np.float32)]), np.concatenate([n, np.zeros(more, np.int64)])
+            if len(number) > len(sums):
+                more = 2 * len(number) - len(sums)
+                index, sums = (np.concatenate([m, np.zeros((more, SIZE), np.float32)]) for m in (index, sums))
+                n = np.concatenate([n, np.zeros(more, np.int64)])
+            for t in new:
+                index[number[t]] = index_vector(t)
             ids = np.array([number[t] for t in terms])
-            x = np.array([index[i] for i in ids])
+            x = index[ids]
             near = np.zeros_like(x)
             for d in range(1, min(AROUND, len(x) - 1) + 1):
                 near[d:] += x[:-d]
@@ -215,41 +214,43 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Network:
 
 @dataclass
 class Model:
-    vectors: dict[str, np.ndarray]
+    names: list[str]
+    vectors: np.ndarray
     net: Network | None
     constant: float
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """Learned from the rows of ``docs`` that ``labels`` (doc_id, quality) holds."""
-    ship(spark)
     chosen, share = sampling.by_label(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)"), "quality", F.col("doc_id"), ROWS)
     if len(share) < 2:
         n = {0: 0, 1: 0} | {r[0]: r[1] for r in chosen.groupBy("quality").count().collect()}
-        return Model({}, None, (n[1] + 1) / (n[0] + n[1] + 2))
-    # rows may repeat an id: each pair of a row and a label counts
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+        return Model([], NOTHING, None, (n[1] + 1) / (n[0] + n[1] + 2))
+    # rows may repeat an id: each pair of a row and a label counts; the chosen
+    # labels are about 2 x ROWS at most, so the texts stay where they are
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = Scratch(spark, "quality").keep(rows, "sample")
     around = rows.select("text").mapInArrow(contexts, "word string, bucket int, n long, around binary")
     around = around.groupBy("bucket").applyInPandas(added, "word string, n long, around binary")
     known = around.where("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    vectors = {}
-    for r in known:
-        v = np.frombuffer(r["around"], np.float32)
-        vectors[r["word"]] = index_vector(r["word"]) + v / max(float(np.linalg.norm(v)), 1e-6)
-    held = spark.sparkContext.broadcast(vectors)
+    names, vectors = [r["word"] for r in known], NOTHING
+    if names:
+        v = np.frombuffer(b"".join(r["around"] for r in known), np.float32).reshape(-1, SIZE)
+        vectors = np.array([index_vector(w) for w in names]) + v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
+    held = spark.sparkContext.broadcast((names, vectors))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Words(held.value)
+        of = Words(*held.value)
         for batch in batches:
             x = [of.pooled(t).tobytes() for t in map(pa.StringScalar.as_py, batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
 
     got = rows.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, x binary").toPandas().sort_values(["doc_id", "quality", "x"])
     if got["quality"].nunique() < 2:
-        return Model({}, None, (float(got["quality"].sum()) + 1) / (len(got) + 2))
+        return Model([], NOTHING, None, (float(got["quality"].sum()) + 1) / (len(got) + 2))
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64)
     y = got["quality"].to_numpy(np.float64)
-    return Model(vectors, fit(x, y, np.array([1 / share[int(q)] for q in y])), 0.5)
+    return Model(names, vectors, fit(x, y, np.array([1 / share[int(q)] for q in y])), 0.5)
 
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -257,11 +258,12 @@ OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """(key, score) of the rows of ``docs`` (key, text)."""
+    ship(spark)
     held = spark.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        of = Words(m.vectors)
+        of = Words(m.names, m.vectors)
         for batch in batches:
             texts = batch.column("text")
             s = np.full(len(texts), m.constant)
