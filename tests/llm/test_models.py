@@ -47,8 +47,8 @@ def test_both_ways_of_pooling_agree():
 
 
 def test_quality_accuracy(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     label = {r["doc_id"]: r["quality"] for r in labels.collect()}
     rows = [r for r in quality.op5_random_indexing(spark, docs, labels).collect() if r["held_out"] and r["doc_id"] in label]
     right = lambda y: [r["predicted"] == y for r in rows if label[r["doc_id"]] == y]
@@ -57,7 +57,7 @@ def test_quality_accuracy(spark):
 
 def test_word_forms():
     assert quality.form("Abc") != quality.form("ABC") != quality.form("abc") and quality.form("!!") != quality.form("%%%")
-    w = quality.Words()
+    w = quality.Words([], quality.NOTHING)
     assert w.pooled("").shape == w.pooled("one two two").shape and not w.pooled(None).any()
 
 
