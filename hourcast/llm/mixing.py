@@ -118,17 +118,19 @@ def running(rows: DataFrame, value: str, out: str) -> DataFrame:
     return rows.withColumn("in_cell", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(cells, cell).withColumn(out, F.col("before") + F.col("in_cell")).drop("before", "in_cell")
 
 
-def rounded(spark: SparkSession, rows: DataFrame, solved: DataFrame, s: Scratch) -> DataFrame:
-    """(row, doc_id, size, source_size, target, copies)."""
-    bins = LEAST_BINS + rows.count() // ROWS_PER_BIN
+def spread(per: DataFrame, bins: int) -> DataFrame:
+    """A row of each source for each bin, so that joins deal a source's documents to as many tasks."""
+    return per.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+
+
+def rounded(spark: SparkSession, rows: DataFrame, solved: DataFrame, bins: int, s: Scratch) -> DataFrame:
+    """(row, doc_id, size, source_size, target, copies) of rows (row, doc_id, s, size, h, bin)."""
     # size classes: each size by itself up to 64, then 32 classes for each doubling
     klass = F.when(F.col("size") <= 64, F.col("size")).otherwise(F.floor(F.log2(F.col("size").cast("double")) * 32)).cast("long")
     w = F.when(F.col("m").isNull(), F.lit(float(MOST))).otherwise(rate(F.col("m"), F.col("size"), F.col("scale")))
     d = (
-        rows.join(solved.select("s", "source_size", "scale", "target", "m"), "s")
-        .withColumn("h", F.xxhash64("doc_id", "size"))
+        rows.join(spread(solved.select("s", "source_size", "scale", "target", "m"), bins), ["s", "bin"])
         .withColumn("klass", klass)
-        .withColumn("bin", F.pmod("h", F.lit(bins).cast("long")))
         .withColumn("parts", F.when(F.col("size") == 0, 0).otherwise(F.round(w * PARTS)).cast("long"))
         .drop("scale", "m")
         .withColumn("least", F.expr(f"parts div {PARTS}"))
@@ -140,7 +142,7 @@ def rounded(spark: SparkSession, rows: DataFrame, solved: DataFrame, s: Scratch)
     d = d.withColumn("copies", F.col("least") + F.expr(f"(upto + fraction + {half}) div {PARTS} - (upto + {half}) div {PARTS}"))
     d = s.keep(d.drop("upto"), "copies")
     missing = d.groupBy("s").agg(F.round(F.max("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("missing"))
-    d = d.join(missing, "s")
+    d = d.join(spread(missing, bins), ["s", "bin"])
     other_way = (F.col("size") > 0) & (F.col("fraction") > 0) & F.when(F.col("missing") > 0, F.col("copies") == F.col("least")).otherwise(F.col("copies") > F.col("least"))
     d = running(d.withColumn("spare", F.when(other_way, F.col("size")).otherwise(0)), "spare", "upto")
     turned = (F.col("spare") > 0) & (F.col("upto") + F.expr("spare div 2") < F.abs("missing"))
@@ -152,10 +154,13 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     s = Scratch(spark, "mix")
     named = s.keep(sizes(docs), "sizes")
     per = s.keep(targets(named), "targets")
-    rows = named.join(per.select("s", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).drop("source", "of")
+    bins = LEAST_BINS + named.count() // ROWS_PER_BIN
+    binned = named.withColumn("h", F.xxhash64("doc_id", "size")).withColumn("bin", F.pmod("h", F.lit(bins).cast("long")))
+    of = spread(per.select("s", F.col("source").alias("of")), bins).withColumnRenamed("bin", "of_bin")
+    rows = binned.join(of, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("of_bin"))).drop("source", "of", "of_bin")
     rows = s.keep(rows, "rows")
     solved = s.keep(balance(spark, rows, per, s), "solved")
-    return rounded(spark, rows, solved, s)
+    return rounded(spark, rows, solved, bins, s)
 
 
 def op9_entropy_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
