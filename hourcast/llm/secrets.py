@@ -37,6 +37,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
+# what source text and JSON write for a line break, a slash or another character, and between parts of a string
+BREAK = re.compile(r"\\+[nrt]|\\+\r?\n")
+ESCAPED = re.compile(r"\\+(?:u00([0-9A-Fa-f]{2})|(?=/))")
+JOIN = re.compile(r"""\\*["'`]\s*[+.,&]?\s*\\*["'`]""")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 # four-letter groups that begin a DER sequence of 128 bytes or more, or a short one with an integer, and an SSH field's length
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[CDEFGHI]|AAAA)[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
@@ -110,7 +114,14 @@ def is_ssh(data: bytes) -> bool:
     return bool(fields) and len(fields) >= 2 and fields[0] in SSH_TYPES
 
 
+def unescaped(body: str) -> str:
+    """``body`` as the string holds it that JSON or source text writes so."""
+    body = BREAK.sub("\n", body)
+    return JOIN.sub("\n", ESCAPED.sub(lambda m: chr(int(m[1], 16)) if m[1] else "", body))
+
+
 def is_pem(body: str) -> bool:
+    body = unescaped(body)
     lines = [x for x in body.strip().splitlines() if ":" not in x]  # without the headers of old armours
     encrypted = "ENCRYPTED" in body
     data = unbase64("".join("".join(lines).split()))

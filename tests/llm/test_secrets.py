@@ -45,6 +45,23 @@ def test_confirmed():
     assert kinds(f"-----BEGIN OPENSSH PRIVATE KEY-----\n{envelope}\n-----END OPENSSH PRIVATE KEY-----") == ["pem"]
 
 
+def armoured(key, label="PRIVATE KEY"):
+    b = base64.b64encode(key).decode()
+    return "\n".join([f"-----BEGIN {label}-----", *[b[i : i + 64] for i in range(0, len(b), 64)], f"-----END {label}-----"])
+
+
+def test_escaped_line_breaks():
+    for key in (RSA, PKCS8, EC):
+        pem = armoured(key)
+        for plain in (pem + "\n", pem.replace("\n", "\r\n"), "Proc: x\n" + pem):
+            for text in (json.dumps({"private_key": plain}), json.dumps(json.dumps({"k": plain})), json.dumps({"k": plain}).replace("/", "\\/").replace("=", "\\u003d")):
+                found = [(a, b) for a, k, b in scan(text) if KINDS[k] == "pem"]
+                assert found == [(text.index("-----BEGIN"), text.rindex("KEY-----") + len("KEY-----"))]
+        source = " +\n".join(f'  "{line}\\n"' for line in pem.split("\n"))
+        assert "pem" in kinds(source) and "pem" in kinds(source.replace(" +\n", "\n"))
+    assert "pem" not in kinds(json.dumps({"k": armoured(RSA[:-3])}))
+
+
 def test_span_is_the_whole_match():
     text = f"é {JWT}"
     assert [(a, b) for a, k, b in scan(text) if KINDS[k] == "jwt"] == [(2, len(text))]
