@@ -36,7 +36,8 @@ from hourcast.llm.common import ship
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
+# no armour begins inside another: a lone first line must not hide the key after it
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*+(?:-(?!----BEGIN )[^-]*+)*?)-----END \1-----")
 # what source text and JSON write for a line break, a slash or another character, and between parts of a string
 BREAK = re.compile(r"\\+[nrt]|\\+\r?\n")
 ESCAPED = re.compile(r"\\+(?:u00([0-9A-Fa-f]{2})|(?=/))")

@@ -62,6 +62,15 @@ def test_escaped_line_breaks():
     assert "pem" not in kinds(json.dumps({"k": armoured(RSA[:-3])}))
 
 
+def test_lone_first_lines():
+    whole = armoured(RSA)
+    for before in ("-----BEGIN PRIVATE KEY-----\n", "# -----BEGIN PRIVATE KEY----- starts a key\n", "\n".join(whole.split("\n")[:2]) + "\n", "-----BEGIN EC PRIVATE KEY-----\nxx\n"):
+        for text in (before + whole, before + before + whole + "\n" + before + whole):
+            found = [(a, b) for a, k, b in scan(text) if KINDS[k] == "pem"]
+            assert len(found) == text.count(whole) and all(text[a:b] == whole for a, b in found)
+    assert kinds("-----BEGIN PRIVATE KEY-----\n-" * 20_000) == []
+
+
 def test_span_is_the_whole_match():
     text = f"é {JWT}"
     assert [(a, b) for a, k, b in scan(text) if KINDS[k] == "jwt"] == [(2, len(text))]
