@@ -71,6 +71,44 @@ def test_lone_first_lines():
     assert kinds("-----BEGIN PRIVATE KEY-----\n-" * 20_000) == []
 
 
+field = lambda x: len(x).to_bytes(4, "big") + x
+ENVELOPE = b"openssh-key-v1\0" + b"".join(map(field, (b"none", b"none", b""))) + (1).to_bytes(4, "big") + field(SSH) + field(bytes(range(136)))
+SSH_RSA = b"".join(map(field, (b"ssh-rsa", b"\1\0\1", bytes(range(1, 130)))))
+
+
+def wrapped(text, n, end="\n"):
+    return end.join(text[i : i + n] for i in range(0, len(text), n))
+
+
+def test_keys_in_any_run():
+    b64 = lambda x: base64.b64encode(x).decode()
+    pem = armoured(RSA).encode()
+    runs = [("pem", b64(pem)), ("pem", b64(b"a: b\nkey: " + pem + b"\n")), ("pem", b64(json.dumps({"k": armoured(EC)}).encode())), ("pem", pem.hex())]
+    runs += [("ssh", f(x)) for f in (b64, url, bytes.hex) for x in (SSH, SSH_RSA, ENVELOPE)]
+    runs += [("der", f(x)) for f in (b64, url, bytes.hex, lambda x: x.hex().upper()) for x in (RSA, PKCS8, EC)]
+    for kind, run in runs:
+        for text in (run, *[wrapped(run, n, end) for n in (32, 64, 76) for end in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", '\\n" +\n  "')]):
+            for before, after in (("", ""), ("x ", " y"), ("k: '", "'"), ("\\n", "\\n"), ("aVeryLongWordBeforeIt\n", "\nthe end")):
+                found = [(a, k, b) for a, k, b in scan(before + text + after) if k > 2]
+                assert [KINDS[k] for _, k, _ in found] == [kind]
+                if kind != "pem":
+                    assert [(before + text + after)[a:b] for a, _, b in found] == [text]
+
+
+def test_lines_of_two_keys():
+    one, two = base64.b64encode(SSH_RSA).decode(), base64.b64encode(SSH_RSA + b"").decode()
+    assert kinds(f"{one}\n{two}") == ["ssh"] * 2
+    broken = base64.b64encode(PKCS8[:-2]).decode()
+    assert kinds(wrapped(broken, 64)) == [] and kinds(RSA[:-2].hex()) == []
+
+
+def test_headers_that_begin_otherwise():
+    for head in (b'{ "alg":"HS256"}', b'{\n "alg": "HS256"\n}', b'{\r\n\t"alg":"HS256"}', b' {"alg":"HS256"}', b'\n{"alg":"HS256"}', b'\t{"alg":"HS256"}', b'\r\n{"alg":"HS256"}'):
+        token = ".".join([url(head), *JWT.split(".")[1:]])
+        for before in ("", "x ", "\\n", '"'):
+            assert kinds(before + token + " y") == ["jwt"]
+
+
 def test_span_is_the_whole_match():
     text = f"é {JWT}"
     assert [(a, b) for a, k, b in scan(text) if KINDS[k] == "jwt"] == [(2, len(text))]
