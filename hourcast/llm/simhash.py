@@ -19,7 +19,12 @@ One document is its own next.  An empty table gives an empty result.
 ``links`` finds all pairs of distinct fingerprints within a Hamming radius r:
 bits are cut into r + 3 blocks, and any r differing bits leave 3 blocks
 untouched, so each choice of 3 blocks is a permuted table whose leading bits
-are joined on, and the whole fingerprints are compared.
+are joined on, and the whole fingerprints are compared.  A (table, key) cell of
+more than CELL fingerprints is split: each of its parts meets the whole cell.
+
+The query writes its rows once, searches the distinct fingerprints of all of
+them and gives each document the number of other fingerprints within RADIUS
+and of other documents whose fingerprint is equal or within RADIUS.
 """
 
 from __future__ import annotations
@@ -30,7 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hourcast.llm.common import Scratch
+
 BITS, RADIUS, SPARE_BLOCKS = 64, 3, 3
+CELL = 1000
 WORDS = r"[\x20\x09-\x0D]+"
 LANES = [f"v{j}" for j in range(32)]
 
@@ -101,7 +109,8 @@ def op8_simhash(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # both versions and all of a range lie in one partition: no more shuffles
     d = fps.groupBy(*own).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
     d = d.withColumn("next_fp", F.lead("fp").over(W.partitionBy("part").orderBy("at"))).where("not extra")
-    return d.select(
+    d = Scratch(spark, "simhash").keep(d.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp"), "fingerprints")
+    return d.join(neighbours(d), "fp", "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -109,6 +118,8 @@ def op8_simhash(spark: SparkSession, docs: DataFrame) -> DataFrame:
         shown("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"),
         likeness("fp", "next_fp").alias("near_next"),
+        "near_fingerprints",
+        "near_docs",
     )
 
 
@@ -121,15 +132,35 @@ def tables(radius: int, bits: int = BITS) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of distinct fingerprints ``fp`` within the radius, each from the first table it meets in."""
+def pairs(one: DataFrame, radius: int) -> DataFrame:
+    """(a, a_copies, b, b_copies, distance), a < b, of distinct fingerprints ``one`` (fp, copies), each pair from the first table it meets in."""
     if radius < 0 or radius > BITS - SPARE_BLOCKS:
         raise ValueError("the radius must lie between 0 and 61")
     masks = F.array(*[F.lit(m).cast("long") for m in tables(radius)])
-    one = fps.where("fp is not null").select("fp").distinct()
-    dealt = one.select("fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    a, b = dealt.withColumnRenamed("fp", "a"), dealt.withColumnRenamed("fp", "b")
+    dealt = one.select("fp", "copies", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "copies")
+    cells = dealt.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("t", "key"))).where("n > 1")
+    parts = F.ceil(F.col("n") / CELL)
+    a = cells.select("t", "key", F.pmod(F.xxhash64("fp"), parts).alias("part"), F.col("fp").alias("a"), F.col("copies").alias("a_copies"))
+    b = cells.select("t", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("fp").alias("b"), F.col("copies").alias("b_copies"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius)
     earlier = F.exists(F.slice(masks, F.lit(1), F.col("t")), lambda m: differ.bitwiseAND(m) == 0)
-    return a.join(b, ["t", "key"]).where(near & ~earlier).select("a", "b", F.bit_count(differ).alias("distance"))
+    return a.join(b, ["t", "key", "part"]).where(near & ~earlier).select("a", "a_copies", "b", "b_copies", F.bit_count(differ).alias("distance"))
+
+
+def distinct(fps: DataFrame) -> DataFrame:
+    return fps.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of distinct fingerprints ``fp`` within the radius."""
+    return pairs(distinct(fps), radius).select("a", "b", "distance")
+
+
+def neighbours(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, near_fingerprints, near_docs): how many other fingerprints and other rows of ``fps`` lie within the radius of each."""
+    one = distinct(fps)
+    ends = [F.struct(F.col(x).alias("fp"), F.lit(1).alias("fps"), F.col(f"{y}_copies").alias("docs")) for x, y in ("ab", "ba")]
+    found = pairs(one, radius).select(F.explode(F.array(*ends)).alias("x")).select("x.*")
+    found = found.unionByName(one.select("fp", F.lit(0).alias("fps"), (F.col("copies") - 1).alias("docs")))
+    return found.groupBy("fp").agg(F.sum("fps").alias("near_fingerprints"), F.sum("docs").alias("near_docs"))

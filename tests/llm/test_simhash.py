@@ -57,3 +57,27 @@ def test_one_shuffle_of_the_texts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plan = simhash.op8_simhash(spark, docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_finds_all_near_documents(spark, small):
+    rows = simhash.op8_simhash(spark, spark.read.parquet(f"{small}/documents.parquet")).collect()
+    fps = [int(r["fingerprint"], 16) for r in rows]
+    assert any(r["near_docs"] for r in rows)
+    for r, f in zip(rows, fps, strict=True):
+        near = [g for g in fps if (f ^ g).bit_count() <= simhash.RADIUS]
+        assert (r["near_fingerprints"], r["near_docs"]) == (len(set(near)) - 1, len(near) - 1)
+
+
+def test_near_copies_that_are_not_neighbours(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    far = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(1, 40)]
+    docs = spark.createDataFrame([(0, text), *far, (40, text + " end"), (41, "other words here"), (42, text)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in simhash.op8_simhash(spark, docs).collect()}
+    assert [got[i]["near_docs"] for i in (0, 40, 42, 41)] == [2, 2, 2, 0]
+
+
+def test_split_cells(spark, monkeypatch):
+    df = spark.range(300).select((F.col("id") * 7 % 1024).alias("fp"))
+    whole = sorted(map(tuple, simhash.links(df).collect()))
+    monkeypatch.setattr(simhash, "CELL", 16)
+    assert sorted(map(tuple, simhash.links(df).collect())) == whole and len(whole) > 1000
