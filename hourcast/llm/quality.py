@@ -4,18 +4,22 @@ Words are runs of letters, of digits and of other marks.  Each also has a
 form: letters by case and length, digits by length, marks by their first
 characters; and a word that equals the one before counts as the word
 ``<again>``.  Every word has an index vector, a few signed ones at places that
-its hash gives.  The vector of a word that is frequent in the sample is its
-index vector plus the normed sum of the index vectors around it (random
-indexing); a word that the sample lacks is known by its form alone.
+its hash gives.  The vector of a word is its index vector plus the normed sum of
+the index vectors around it in all documents (random indexing); a word that
+stands alone wherever it occurs has its index vector.
 
 A document is the mean of the vectors of its words, the mean over its distinct
 words, and the same for forms; a network of two layers, trained in numpy, turns
 them into a log-odds, and a temperature fitted on rows kept apart makes them
 probabilities.  All words of a text count.
 
-Fitting takes about ROWS labelled rows of either label, VOCABULARY words and
-TERMS words of a row, spread evenly, as its documented bounds; rows weigh by
-the inverse of the share taken, so scores keep the labels' own frequencies.
+The sums around words are whole numbers, so their order does not matter.  Each
+task adds up its own rows', deals them to buckets of 64-bit word hashes, and a
+bucket's task writes sorted hashes and their vectors to files in the shared
+folder, which workers map.  Labels play no part in this.  The network and the
+temperature take about ROWS labelled rows of either label, as their documented
+bound; rows weigh by the inverse of the share taken, so scores keep the labels'
+own frequencies.
 
 A null or empty text is a document without words and gets a score too.
 Without labels the score is 0.5, with one label only its smoothed share.
@@ -27,8 +31,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain
 from operator import eq
 from zlib import crc32
 
@@ -38,16 +45,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.llm import sampling
+from hourcast.llm import lm, sampling
 from hourcast.llm.common import Scratch, fresh, remainder, ship, table
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
-#: Bounds of the sample: rows of either label, words, terms of a row.
-ROWS, VOCABULARY, TERMS = 2500, 20_000, 20_000
+#: Rows of either label that the network is fitted on.
+ROWS = 2500
 SIZE, ONES, AROUND = 64, 6, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 0.003, 1e-4
 #: Terms that a worker remembers before it starts afresh.
 KEPT = 100_000
+#: Words whose sums a task gathers before it hands them on, and terms added up at once.
+GATHERED, RUN = 250_000, 20_000
+#: Bytes of text for each bucket of words; sums that a byte holds.
+BUCKET_BYTES, SMALL = 4 << 20, 127
 
 TERM = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 AGAIN = "<again>"
@@ -61,28 +72,101 @@ def form(term: str) -> str:
     return f"<0{min(len(term), 8)}>" if term[0].isdigit() else f"<{term[:3]}>"
 
 
-def index_vector(word: str) -> np.ndarray:
-    out = np.zeros(SIZE, np.float32)
-    data = word.encode("utf-8", "surrogatepass")
+@lru_cache(maxsize=4096)
+def _seeded(size: int) -> tuple[int, ...]:
+    """What the seeds change in the crc32 of ``size`` bytes, whatever these are."""
+    zeros = bytes(size)
+    return tuple(crc32(zeros, k * 0x9E3779B1 & 0xFFFFFFFF) ^ crc32(zeros) for k in range(ONES))
+
+
+def encoded(words: Iterable[str]) -> list[bytes]:
+    return [w.encode("utf-8", "surrogatepass") for w in words]
+
+
+def index_counts(words: list[bytes]) -> np.ndarray:
+    """Signed ones of each word, at places that crc32 with ONES seeds gives."""
+    out = np.zeros(len(words) * SIZE, np.int8)
+    h = np.fromiter(map(crc32, words), np.uint32, len(words))[:, None] ^ np.array(list(map(_seeded, map(len, words))), np.uint32).reshape(-1, ONES)
+    at = np.arange(len(words))[:, None] * SIZE + (h >> np.uint32(1)) % np.uint32(SIZE)
+    sign = np.where(h & np.uint32(1), 1, -1).astype(np.int8)
     for k in range(ONES):
-        h = crc32(data, k * 0x9E3779B1 & 0xFFFFFFFF)
-        out[(h >> 1) % SIZE] += 1 if h & 1 else -1
-    return out / ONES**0.5
+        out[at[:, k]] += sign[:, k]
+    return out.reshape(-1, SIZE)
+
+
+def index_vector(word: str) -> np.ndarray:
+    return index_counts(encoded([word]))[0].astype(np.float32) / ONES**0.5
+
+
+def keys_of(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8")
+
+
+@dataclass
+class Trained:
+    """The files of the sums around words, by bucket: keys and bytes, and keys and normed sums of those too large for bytes."""
+
+    root: str
+    bits: int
+    buckets: frozenset[int]
+
+    def around(self, words: list[bytes]) -> np.ndarray:
+        """The normed sums around each word, zeros without."""
+        out = np.zeros((len(words), SIZE), np.float32)
+        keys = keys_of(words)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        to = lm.bucket_of(ordered, self.bits)
+        cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist() if len(to) else []
+        for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            if (b := int(to[a])) not in self.buckets:
+                continue
+            for kind in ("small", "large"):
+                held = lm.get(self.root, f"{kind}-key-{b}")
+                if len(held):
+                    at = np.minimum(np.searchsorted(held, ordered[a:z]), len(held) - 1)
+                    hit = held[at] == ordered[a:z]
+                    found = lm.get(self.root, f"{kind}-{b}")[at[hit]].astype(np.float32)
+                    out[order[a:z][hit]] = found / np.linalg.norm(found, axis=1, keepdims=True)
+        return out
 
 
 class Words:
-    """Vectors of known words and of forms, by row; row 0 of either stands for none."""
+    """Vectors of words and of forms, by row; row 0 of either stands for none.
+
+    ``names`` have their ``vectors`` from the start; others get theirs when
+    they are met, from ``trained`` where it has them.
+    """
 
-    def __init__(self, names: list[str], vectors: np.ndarray):
-        self.vectors = np.concatenate([np.zeros((1, SIZE), np.float32), vectors]) if names else np.zeros((1, SIZE), np.float32)
-        self.row = {w: k + 1 for k, w in enumerate(names)}
+    def __init__(self, names: list[str], vectors: np.ndarray, trained: Trained | None = None):
+        self.names, self.given, self.trained = names, vectors, trained
         self._forget()
 
     def _forget(self) -> None:
+        self.row = {w: k + 1 for k, w in enumerate(self.names)}
+        self.vectors = np.concatenate([np.zeros((1, SIZE), np.float32), self.given, np.zeros((1024, SIZE), np.float32)])
         self.rows: dict[str, tuple[int, int]] = {}
         self.form_row: dict[str, int] = {}
         self.forms = np.zeros((256, SIZE), np.float32)
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Gives rows to all terms of the texts."""
+        if len(self.rows) > KEPT:
+            self._forget()
+        terms = [t for t in dict.fromkeys(chain.from_iterable(texts)) if t not in self.rows]
+        lower = [t.lower() for t in terms]
+        new = [w for w in dict.fromkeys(lower) if w not in self.row]
+        if new:
+            first, data = len(self.row) + 1, encoded(new)
+            self.row |= {w: first + k for k, w in enumerate(new)}
+            while first + len(new) > len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+            own = index_counts(data).astype(np.float32) / np.float32(ONES**0.5)
+            self.vectors[first : first + len(new)] = own + self.trained.around(data) if self.trained else own
+        for t, w in zip(terms, lower, strict=True):
+            self.rows[t] = (self.row[w], self._form(form(t)))
+        self.rows.setdefault(AGAIN, (0, self._form(AGAIN)))
+
     def _form(self, shape: str) -> int:
         if shape not in self.form_row:
             k = self.form_row[shape] = len(self.form_row) + 1
@@ -93,22 +177,25 @@ class Words:
 
     def of(self, term: str) -> tuple[int, int]:
         """Rows of the word and of its form."""
-        got = self.rows.get(term)
-        if got is None:
-            got = self.rows[term] = (self.row.get(term.lower(), 0), self._form(form(term) if term != AGAIN else AGAIN))
-        return got
+        self.learn([[term]] if term != AGAIN else [])
+        return self.rows[term]
 
     def pooled(self, text: str | None) -> np.ndarray:
-        terms = TERM.findall(text or "")
+        return self.all_pooled([text])[0]
+
+    def all_pooled(self, texts: list[str | None]) -> np.ndarray:
+        terms = [TERM.findall(t or "") for t in texts]
+        self.learn(terms)
+        return np.array([self._pooled(t) for t in terms])
+
+    def _pooled(self, terms: list[str]) -> np.ndarray:
         n = len(terms)
         if not n:
             return np.zeros(4 * SIZE + 3, np.float32)
-        if len(self.rows) > KEPT:
-            self._forget()
         counts = Counter(terms)
         if again := sum(map(eq, terms, terms[1:])):
             counts[AGAIN] = again
-        got = np.array(list(map(self.of, counts)))
+        got = np.array(list(map(self.rows.__getitem__, counts)))
         w, one = np.fromiter(counts.values(), np.float32, len(counts)) / n, np.float32(1 / len(counts))
         # sums over the few distinct rows of either kind
         parts = []
@@ -119,49 +206,122 @@ class Words:
         return np.concatenate([*parts, np.array([1, np.log(n), len(counts) / n], np.float32)])
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, bucket, n, around): the sums of the index vectors around each word, for a task's rows."""
-    number: dict[str, int] = {}
-    index, sums, n = np.zeros((0, SIZE), np.float32), np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64)
-    for batch in batches:
-        for text in map(pa.StringScalar.as_py, batch.column("text")):
-            terms = [t.lower() for t in TERM.findall(text or "")]
-            if len(terms) > TERMS:  # runs of terms, spread over all of the text
-                run = 100
-                starts = np.linspace(0, len(terms) - run, TERMS // run).astype(int)
-                terms = [t for a in starts.tolist() for t in terms[a : a + run]]
-            new = [t for t in dict.fromkeys(terms) if t not in number]
-            number |= {t: len(number) + k for k, t in enumerate(new)}
-            if not terms:
-                continue
-            if len(number) > len(sums):
-                more = 2 * len(number) - len(sums)
-                index, sums = (np.concatenate([m, np.zeros((more, SIZE), np.float32)]) for m in (index, sums))
-                n = np.concatenate([n, np.zeros(more, np.int64)])
-            for t in new:
-                index[number[t]] = index_vector(t)
-            ids = np.array([number[t] for t in terms])
-            x = index[ids]
-            near = np.zeros_like(x)
-            for d in range(1, min(AROUND, len(x) - 1) + 1):
-                near[d:] += x[:-d]
-                near[:-d] += x[d:]
-            order = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-            sums[ids[order][first]] += np.add.reduceat(near[order], first)
-            n += np.bincount(ids, minlength=len(n))
-    names = list(number)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array([crc32(t.encode("utf-8", "surrogatepass")) % 64 for t in names], pa.int32()), pa.array(n[: len(names)]), pa.array([r.tobytes() for r in sums[: len(names)]], pa.binary())],
-        names=["word", "bucket", "n", "around"],
-    )
-
-
-def added(pdf: pd.DataFrame) -> pd.DataFrame:
-    names, at = np.unique(pdf["word"].to_numpy(str), return_inverse=True)
-    sums, n = np.zeros((len(names), SIZE)), np.bincount(at, weights=pdf["n"]).astype(np.int64)
-    np.add.at(sums, at, np.frombuffer(b"".join(pdf["around"]), np.float32).reshape(-1, SIZE).astype(np.float64))
-    return pd.DataFrame({"word": names, "n": n, "around": [r.tobytes() for r in sums.astype(np.float32)]})
+def near_sums(ids: np.ndarray, index: np.ndarray, sums: np.ndarray) -> None:
+    """Adds to ``sums`` of each id the index rows up to AROUND places before and after it; id 0 stands between texts."""
+    for a in range(0, len(ids), RUN):
+        low, high = max(0, a - AROUND), min(len(ids), a + RUN + AROUND)
+        x = index[ids[low:high]]
+        near = np.zeros_like(x)
+        for d in range(1, min(AROUND, len(x) - 1) + 1):
+            near[d:] += x[:-d]
+            near[:-d] += x[d:]
+        own, near = ids[a : a + RUN], near[a - low :][:RUN]
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(own[order]) != 0))
+        sums[own[order][first]] += np.add.reduceat(near[order].astype(np.int32), first, axis=0)
+
+
+PACKED = "bucket long, keys binary, sums binary"
+
+
+def contexts(bits: int):
+    """A mapInArrow function: the sums of the index rows around each word of a task's rows, packed by bucket."""
+
+    def deal(words: list[str], sums: np.ndarray) -> pa.RecordBatch:
+        keys = keys_of(encoded(words))
+        order = np.argsort(keys)
+        keys = keys[order]
+        to = lm.bucket_of(keys, bits)
+        cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist()
+        rows = []
+        for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            own = sums[order[a:z]]
+            small = ((own << 1) ^ (own >> 31)).astype("<u4")  # small numbers of either sign have high bytes of nought
+            rows.append((int(to[a]), lm.pack(lm.planes(keys[a:z])), squeezed(small.view(np.uint8).reshape(-1, 4).T.copy())))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "keys", "sums"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def afresh():
+            return {}, {}, np.zeros((4096, SIZE), np.int8), np.zeros((4096, SIZE), np.int32)
+
+        def add(texts: list[list[str]]) -> None:
+            nonlocal index, sums
+            terms = [t for t in dict.fromkeys(chain.from_iterable(texts)) if t not in number]
+            lower = [t.lower() for t in terms]
+            new = [w for w in dict.fromkeys(lower) if w not in words]
+            first = len(words) + 1
+            words.update((w, first + k) for k, w in enumerate(new))
+            number.update((t, words[w]) for t, w in zip(terms, lower, strict=True))
+            while first + len(new) > len(index):
+                index, sums = (np.concatenate([m, np.zeros_like(m)]) for m in (index, sums))
+            index[first : first + len(new)] = index_counts(encoded(new))
+            ids: list[int] = []
+            for t in texts:
+                ids += map(number.__getitem__, t)
+                ids += [0] * AROUND
+            near_sums(np.array(ids, np.int32), index, sums)
+
+        number, words, index, sums = afresh()  # of terms as written, of words in lower case; 0 is none
+        held: list[list[str]] = []
+        n = 0
+        for batch in batches:
+            for text in map(pa.StringScalar.as_py, batch.column("text")):
+                held.append(TERM.findall(text or ""))
+                n += len(held[-1])
+                if n >= RUN:
+                    add(held)
+                    held, n = [], 0
+                    if len(words) > GATHERED:
+                        yield deal(list(words), sums[1 : len(words) + 1])
+                        number, words, index, sums = afresh()
+        if n:
+            add(held)
+        if words:
+            yield deal(list(words), sums[1 : len(words) + 1])
+
+    return each
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True) + values.nbytes.to_bytes(8, "little")
+
+
+def spread(packed: bytes) -> np.ndarray:
+    size = int.from_bytes(packed[-8:], "little")
+    small = np.frombuffer(pa.decompress(packed[:-8], size, codec="zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return (small >> 1).astype(np.int32).reshape(-1, SIZE) ^ -(small & 1).astype(np.int32).reshape(-1, SIZE)
+
+
+def added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's distinct keys, sorted, and the sums around them."""
+    keys = np.concatenate([lm.from_planes(x) for x in pdf["keys"]])
+    sums = np.concatenate([spread(x) for x in pdf["sums"]])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(sums[order], first, axis=0, dtype=np.int64)
+
+
+def trained(docs: DataFrame, s: Scratch) -> Trained:
+    """Vectors of all words of ``docs`` (text), in files of the scratch folder."""
+    root = s.root
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(2, (-(-size // BUCKET_BYTES) - 1).bit_length())
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(pdf["bucket"].iloc[0])
+        keys, sums = added(pdf)
+        most = np.abs(sums).max(axis=1)
+        small, large = (most > 0) & (most <= SMALL), most > SMALL
+        lm.put(root, f"small-key-{b}", keys[small])
+        lm.put(root, f"small-{b}", sums[small].astype(np.int8))
+        lm.put(root, f"large-key-{b}", keys[large])
+        lm.put(root, f"large-{b}", (sums[large] / np.linalg.norm(sums[large], axis=1, keepdims=True)).astype(np.float32))
+        return pd.DataFrame({"bucket": [b], "n": [int((most > 0).sum())]})
+
+    dealt = docs.select("text").mapInArrow(contexts(bits), PACKED)
+    found = s.keep(dealt.groupBy("bucket").applyInPandas(write, "bucket long, n long"), "buckets").collect()  # a row a bucket
+    return Trained(root, bits, frozenset(r["bucket"] for r in found))
 
 
 @dataclass
@@ -214,43 +374,36 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Network:
 
 @dataclass
 class Model:
-    names: list[str]
-    vectors: np.ndarray
+    words: Trained | None
     net: Network | None
     constant: float
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
-    """Learned from the rows of ``docs`` that ``labels`` (doc_id, quality) holds."""
+    """Words from all of ``docs``, the network from the rows that ``labels`` (doc_id, quality) holds."""
     chosen, share = sampling.by_label(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)"), "quality", F.col("doc_id"), ROWS)
     if len(share) < 2:
         n = {0: 0, 1: 0} | {r[0]: r[1] for r in chosen.groupBy("quality").count().collect()}
-        return Model([], NOTHING, None, (n[1] + 1) / (n[0] + n[1] + 2))
+        return Model(None, None, (n[1] + 1) / (n[0] + n[1] + 2))
     # rows may repeat an id: each pair of a row and a label counts; the chosen
     # labels are about 2 x ROWS at most, so the texts stay where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = Scratch(spark, "quality").keep(rows, "sample")
-    around = rows.select("text").mapInArrow(contexts, "word string, bucket int, n long, around binary")
-    around = around.groupBy("bucket").applyInPandas(added, "word string, n long, around binary")
-    known = around.where("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    names, vectors = [r["word"] for r in known], NOTHING
-    if names:
-        v = np.frombuffer(b"".join(r["around"] for r in known), np.float32).reshape(-1, SIZE)
-        vectors = np.array([index_vector(w) for w in names]) + v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
-    held = spark.sparkContext.broadcast((names, vectors))
+    s = Scratch(spark, "quality")
+    rows = s.keep(rows, "sample")
+    known = trained(docs, s)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Words(*held.value)
+        of = Words([], NOTHING, known)
         for batch in batches:
-            x = [of.pooled(t).tobytes() for t in map(pa.StringScalar.as_py, batch.column("text"))]
+            x = [v.tobytes() for a in range(0, len(batch), 256) for v in of.all_pooled(batch.column("text").slice(a, 256).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
 
     got = rows.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, x binary").toPandas().sort_values(["doc_id", "quality", "x"])
     if got["quality"].nunique() < 2:
-        return Model([], NOTHING, None, (float(got["quality"].sum()) + 1) / (len(got) + 2))
+        return Model(None, None, (float(got["quality"].sum()) + 1) / (len(got) + 2))
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64)
     y = got["quality"].to_numpy(np.float64)
-    return Model(names, vectors, fit(x, y, np.array([1 / share[int(q)] for q in y])), 0.5)
+    return Model(known, fit(x, y, np.array([1 / share[int(q)] for q in y])), 0.5)
 
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -263,12 +416,12 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        of = Words(m.names, m.vectors)
+        of = Words([], NOTHING, m.words)
         for batch in batches:
             texts = batch.column("text")
             s = np.full(len(texts), m.constant)
             for a in range(0, len(texts) if m.net else 0, 256):
-                s[a : a + 256] = m.net.scores(np.array([of.pooled(t) for t in texts.slice(a, 256).to_pylist()]))
+                s[a : a + 256] = m.net.scores(of.all_pooled(texts.slice(a, 256).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(s)], names=[key, "score"])
 
     return docs.select(key, "text").mapInArrow(each, f"{key} long, score double")

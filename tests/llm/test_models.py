@@ -61,6 +61,26 @@ def test_word_forms():
     assert w.pooled("").shape == w.pooled("one two two").shape and not w.pooled(None).any()
 
 
+def test_word_vectors_of_all_documents(spark):
+    """Of documents without a label too, of words seen once, past the first terms, however the rows are dealt."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'Wort' if k % 2 else 'wort'}{'abcdefghij'[x]}" for k, x in enumerate(rng.integers(0, 10, n))) for n in (0, 1, 2, 3, 50, 30_000)]
+    texts += ["einmal hier", "allein", None]
+    want: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(quality.SIZE))
+    for t in texts:
+        terms = [x.lower() for x in quality.TERM.findall(t or "")]
+        for i, w in enumerate(terms):
+            for j in range(max(0, i - quality.AROUND), min(len(terms), i + quality.AROUND + 1)):
+                want[w] += quality.index_counts(quality.encoded([terms[j]]))[0] if i != j else 0
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    words_ = quality.Words([], quality.NOTHING, quality.train(spark, docs, labels).words)
+    for w, v in want.items():
+        norm = np.linalg.norm(v)
+        assert np.allclose(words_.vectors[words_.of(w)[0]], quality.index_vector(w) + (v / norm if norm else 0), atol=1e-6)
+    assert (words_.vectors[words_.of("nirgends")[0]] == quality.index_vector("nirgends")).all()
+
+
 def brute_lm(texts):
     tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
