@@ -5,7 +5,8 @@ table; ``run`` writes each result to the shared folder and rereads it.  All
 stages but the last return the columns of ``documents`` (with whatever further
 columns the input has).
 
-1. ``quality``: documents that the classifier scores below 0.7 go.
+1. ``quality``: documents that the classifier scores below 0.7 go; none where
+   the labels that are not held out lack one of the two values.
 2. ``exact``: of texts equal but for white space one stays, the longest.
 3. ``near``: of each group linked by 5-word shingles at a likeness of 0.8, one
    stays, that with the smallest doc_id.

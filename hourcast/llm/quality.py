@@ -22,7 +22,8 @@ bound; rows weigh by the inverse of the share taken, so scores keep the labels'
 own frequencies.
 
 A null or empty text is a document without words and gets a score too.
-Without labels the score is 0.5, with one label only its smoothed share.
+Without labels the score is 0.5, with one label only its smoothed share; such
+a constant judges nothing, so the stage keeps all documents then.
 Each row is judged by itself, so repeated rows and null ids give rows of their
 own.  An empty table gives an empty result.
 """
@@ -438,9 +439,11 @@ def op5_random_indexing(spark: SparkSession, docs: DataFrame, labels: DataFrame)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier does not reject, all columns kept."""
+    """The documents that the classifier does not reject, all columns kept; all documents where labels don't give one."""
     row = fresh(docs, "_row")
     model = learned(spark, docs, table(spark, sf_dir, "labels"))
+    if model.net is None:
+        return docs
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     kept = score(spark, numbered.select(F.col(row).alias("row"), "text"), model, "row").where(F.col("score") >= THRESHOLD).select(F.col("row").alias(row))
     return numbered.join(kept, row, "left_semi").select(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from hourcast.llm import bpe, exact_dedup, language, lm, mixing, near_dedup, quality, secrets, sharding, simhash
 
@@ -106,3 +107,11 @@ def test_stages_keep_columns(spark, odd, none, labels, tmp_path):
         assert stage(spark, none, str(tmp_path)).collect() == []
     assert len(exact_dedup.stage(spark, odd, "").where("doc_id = 7").collect()) == 0
     assert near_dedup.stage(spark, odd, "").where("doc_id in (7, 10, -13)").count() == 1
+
+
+def test_quality_stage_without_a_classifier(spark, odd, labels, tmp_path):
+    held = (quality.remainder(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT) & F.col("doc_id").isNotNull()
+    for name, own in (("none", labels.limit(0)), ("held", labels.where(held)), ("one", labels.where("quality = 1")), ("null", labels.withColumn("quality", F.lit(None).cast("int")))):
+        own.write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = quality.stage(spark, odd, str(tmp_path / name))
+        assert out.columns == odd.columns and out.count() == odd.count()
