@@ -5,8 +5,9 @@ lower case, 0 behind the end).  Filters of 2, 3 and 4 bytes give, at each
 place, the sum of one number for each byte under the filter, which is what a
 convolution of one-hot bytes is; each filter keeps its maximum over the window;
 a softmax over the kept values names the language.  It is trained in numpy on
-windows of a sample of labelled rows: ROWS rows and WINDOWS windows of each
-are the bounds of what the driver gets.
+windows of a sample of labelled rows: ROWS rows over all languages (one at
+least of every language that occurs) and WINDOWS windows of each are the bounds
+of what the driver gets.
 
 A document is cut into windows that overlap by one less than the widest
 filter, the last one ending with the text; all of a text is read.  The
@@ -21,6 +22,7 @@ split).  An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourcast.llm import sampling, words
-from hourcast.llm.common import remainder, ship
+from hourcast.llm.common import narrow, remainder, ship
 
 FOLDS = 5
 #: Bounds of the sample: rows over all languages, windows of a row.
@@ -39,7 +41,9 @@ BYTES, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 #: Windows judged at once.
 BLOCK = 512
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter: of what a word may hold neither a digit nor another number (a half, a square, a Roman twelve).
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
+LETTER = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]")
 
 
 def prepared(data: np.ndarray) -> np.ndarray:
@@ -143,14 +147,15 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Network:
 
 
 def train(spark: SparkSession, labelled: DataFrame, rows: int = ROWS) -> Network | None:
-    """A network learned from (doc_id, text, lang), or None without labels."""
+    """A network learned from (row, text, lang), or None without labels."""
     ship(spark)
-    labelled = labelled.where("text is not null").select("doc_id", "text", "lang")
-    n = max(1, labelled.select("lang").where("lang is not null").distinct().limit(sampling.LABELS).count())
-    sample, share = sampling.by_label(labelled, "lang", F.col("doc_id"), max(1, rows // n))
-    languages = sorted(share)
-    if not languages:
+    labelled = labelled.where("text is not null and lang is not null").select("row", "text", "lang")
+    n = labelled.select("lang").distinct().count()
+    if not n:
         return None
+    sample, share = sampling.by_label(labelled.select("row", "lang"), "lang", max(1, rows // n))
+    sample = labelled.drop("lang").join(F.broadcast(sample), "row")
+    languages = sorted(share)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +166,10 @@ def train(spark: SparkSession, labelled: DataFrame, rows: int = ROWS) -> Network
                 chosen = np.unique(begin[:, None] + (np.arange(WINDOWS)[None, :] * count[:, None]) // WINDOWS)
                 x = cut(prepared(data), start[chosen], end[chosen])
                 keys = batch.column("lang").take(pa.array(first + text[chosen]))
-                order = batch.column("doc_id").take(pa.array(first + text[chosen])).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([order, keys, pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
+                order = batch.column("row").take(pa.array(first + text[chosen]))
+                yield pa.RecordBatch.from_arrays([order, keys, pa.array([r.tobytes() for r in x], pa.binary())], names=["row", "lang", "x"])
 
-    got = sample.mapInArrow(some, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang", "x"])
+    got = sample.select("row", "lang", "text").mapInArrow(some, "row long, lang string, x binary").toPandas().sort_values(["row", "lang", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(-1, BYTES)
     return fit(x, np.searchsorted(languages, got["lang"].to_numpy(str)), languages)
 
@@ -201,5 +206,5 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def op2_byte_cnn(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", "text", "lang", (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"))
+    d = narrow(docs, "lang").withColumn("held_out", remainder(F.col("doc_id"), FOLDS) == 0)
     return predict(d, train(spark, d.where("not held_out")))

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourcast.llm import lm, sampling
-from hourcast.llm.common import Scratch, fresh, remainder, ship, table
+from hourcast.llm.common import Scratch, fresh, narrow, remainder, ship, table
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Rows of either label that the network is fitted on.
@@ -381,27 +381,22 @@ class Model:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
-    """Words from all of ``docs``, the network from the rows that ``labels`` (doc_id, quality) holds."""
-    chosen, share = sampling.by_label(labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)"), "quality", F.col("doc_id"), ROWS)
+    """Words from all of ``docs`` (row, doc_id, text), the network from the rows whose id ``labels`` (doc_id, quality) names."""
+    rows, share = sampling.texts(docs, labels.select("doc_id", F.col("quality").cast("int").alias("quality")), "quality", ROWS)
+    s = Scratch(spark, "quality")
+    rows = s.keep(rows, "sample")  # 2 x ROWS at most
     if len(share) < 2:
-        n = {0: 0, 1: 0} | {r[0]: r[1] for r in chosen.groupBy("quality").count().collect()}
+        n = {0: 0, 1: 0} | {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
         return Model(None, None, (n[1] + 1) / (n[0] + n[1] + 2))
-    # rows may repeat an id: each pair of a row and a label counts; the chosen
-    # labels are about 2 x ROWS at most, so the texts stay where they are
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    s = Scratch(spark, "quality")
-    rows = s.keep(rows, "sample")
     known = trained(docs, s)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Words([], NOTHING, known)
         for batch in batches:
             x = [v.tobytes() for a in range(0, len(batch), 256) for v in of.all_pooled(batch.column("text").slice(a, 256).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("quality"), pa.array(x, pa.binary())], names=["row", "quality", "x"])
 
-    got = rows.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, x binary").toPandas().sort_values(["doc_id", "quality", "x"])
-    if got["quality"].nunique() < 2:
-        return Model(None, None, (float(got["quality"].sum()) + 1) / (len(got) + 2))
+    got = rows.select("row", "quality", "text").mapInArrow(features, "row long, quality int, x binary").toPandas().sort_values("row")
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64)
     y = got["quality"].to_numpy(np.float64)
     return Model(known, fit(x, y, np.array([1 / share[int(q)] for q in y])), 0.5)
@@ -430,7 +425,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id
 
 def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the rows that are not held out."""
-    return train(spark, docs.select("doc_id", "text"), labels.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
+    return train(spark, narrow(docs), labels.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
 
 
 def op5_random_indexing(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from hourcast.llm import bpe, exact_dedup, language, lm, mixing, near_dedup, quality, secrets, sharding, simhash
+from hourcast.llm import bpe, exact_dedup, language, lm, mixing, near_dedup, periodic, quality, rules, secrets, sharding, simhash, spelling
 from hourcast.llm.common import table
 
 
@@ -26,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": _over_documents(simhash.op8_simhash),
     "op9_entropy_mix": _over_documents(mixing.op9_entropy_mix),
     "op10_bounded_ring": _over_documents(sharding.op10_bounded_ring),
+    "op11_monotone_trees": lambda spark, sf_dir: rules.op11_monotone_trees(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op12_bit_sliced_variants": _over_documents(spelling.op12_bit_sliced_variants),
+    "op13_periodic_runs": _over_documents(periodic.op13_periodic_runs),
     "pipeline": corpus_pipeline.run,
 }
 

@@ -1,26 +1,41 @@
-"""A bounded, repeatable sample of labelled rows, for fitting."""
+"""A bounded, repeatable sample of labelled rows, for fitting.
+
+Rows are drawn by a hash of their row id, never of ``doc_id``: one id may stand
+on all rows, or none.  A label's sample has exactly ``most`` rows, or all where
+it has fewer, for every label that occurs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Labels that are told apart at most.
-LABELS = 500
-
 
-def by_label(rows: DataFrame, label: str, key: Column, most: int) -> tuple[DataFrame, dict]:
-    """About ``most`` rows for each value of ``label``, by a hash of ``key``, and the share taken of each.
+def by_label(rows: DataFrame, label: str, most: int) -> tuple[DataFrame, dict]:
+    """(row, label) of ``most`` rows for each value of ``label`` in (row, label), and the share taken of each.
 
-    Labels may repeat or be few; a null label is left out.
+    A null label is left out.  Each task keeps ``most`` rows of a label before
+    any are shuffled, so a label that holds most rows does no harm.
     """
     rows = rows.where(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), label).limit(LABELS).collect()}
-    share = {x: min(1.0, most / n) for x, n in counts.items()}
-    if not share:
-        return rows.limit(0), {}
-    drawn = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30).cast("long"))
-    chosen = F.lit(False)
-    for x, p in share.items():
-        chosen = chosen | ((F.col(label) == F.lit(x)) & (drawn < int(p * (1 << 30))))
-    return rows.where(chosen), share
+    share = {r[0]: min(1.0, most / r[1]) for r in rows.groupBy(label).count().collect()}
+    order = W.partitionBy(label).orderBy(F.xxhash64("row", F.lit(17)), "row")
+    return rows.select("row", label, F.row_number().over(order).alias("rank_")).where(F.col("rank_") <= most).drop("rank_"), share
+
+
+def one_label(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): the 0 or 1 that most rows of an id have; ids without a majority or with null are left out."""
+    balance = F.sum(2 * F.col(label).cast("int") - 1)
+    sums = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(balance.alias("b_"))
+    return sums.where("b_ <> 0").select("doc_id", (F.col("b_") > 0).cast("int").alias(label))
+
+
+def texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict]:
+    """(row, doc_id, text, label) of a sample of the rows of ``docs`` (row, doc_id, text) whose id has a label.
+
+    Of the labelled rows only row ids are shuffled; the drawn ones, ``most``
+    for each of two labels, are sent to where the texts are.
+    """
+    chosen, share = by_label(docs.select("row", "doc_id").join(one_label(labels, label), "doc_id").select("row", label), label, most)
+    return docs.join(F.broadcast(chosen), "row"), share

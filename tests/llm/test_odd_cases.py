@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from hourcast.llm import bpe, exact_dedup, language, lm, mixing, near_dedup, quality, secrets, sharding, simhash
+from hourcast.llm import bpe, exact_dedup, language, lm, mixing, near_dedup, quality, rules, secrets, sharding, simhash
 
 OPERATORS = {
     "op1": secrets.op1_secret_scan,
@@ -51,6 +51,15 @@ def test_classifier(spark, odd, none, labels):
     assert {r["score"] > 0.5 for r in one} == {True}
 
 
+def test_rules(spark, odd, none, labels):
+    rows = rules.op11_monotone_trees(spark, odd, labels).collect()
+    assert len(rows) == 16 and rules.op11_monotone_trees(spark, none, labels).collect() == []
+    assert {r["base_failed"] for r in rows if r["doc_id"] != 8} == {True} and {r["n_words"] for r in rows if r["doc_id"] in (4, 5, 6)} == {0}
+    plain = rules.op11_monotone_trees(spark, odd, labels.where("quality = 1")).collect()
+    assert all(r["score"] is None and r["kept"] == (not r["base_failed"]) for r in plain)
+    assert [r["kept"] for r in plain if r["doc_id"] == 8] == [of(plain, 8)[0]["n_repeat_words"] * 100 <= 30 * 180_000]
+
+
 def test_texts_without_content(results):
     for i in (4, 5):
         assert of(results["op1"], i)[0]["base_sha256"] == EMPTY and of(results["op1"], i)[0]["spans"] == ""
