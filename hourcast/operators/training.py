@@ -3,9 +3,8 @@
 The master is unpivoted once into a long frame ``(target, hours, features)``
 so that every per-target statistic (coverage, row guard, split, medians,
 modes, metrics) is one grouped job for all twelve targets instead of twelve
-passes.  The forests themselves are MLlib ``RandomForestRegressor`` fits, one
-per target, launched concurrently from a driver thread pool so the cluster
-interleaves their stages.
+passes.  Each target has an MLlib pipeline that prepares its features; the trees
+of all targets are grown by one grouped job (``operators/forest.py``).
 """
 
 from __future__ import annotations
@@ -13,9 +12,8 @@ from __future__ import annotations
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +30,17 @@ from hourcast.config import (
     operation_of,
 )
 from hourcast.functions.text import to_num
-from hourcast.operators.scoring import OpModel, new_run, publish, remember, save_leaf_values
-from hourcast.session import drop_path, scratch_path
+from hourcast.operators import forest as forests
+from hourcast.operators.scoring import TREES_TABLE, load_paths, new_run, publish, remember, score_one
+from hourcast.session import drop_path, scratch_path, ship_package
 from hourcast.sources.tables import METRICS_SCHEMA
 
 KEY_COLS = ("project_id", "upload_seq", "row_idx")
 # hash-prefix bins of the exact split: 16**3 bins keep every ranking window
 # to ~1/4096 of a target's rows while the offsets table stays <= 12*4096 rows
 SPLIT_BIN_CHARS = 3
-# MLlib's own limit; the source's trees grow without one
-MAX_DEPTH = 30
+# the source's trees grow without a limit; a full tree of n rows has some 2 log2(n) levels
+MAX_DEPTH = 1000
 
 
 def training_long(master: DataFrame, min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
@@ -241,16 +240,8 @@ def feature_names(num: dict[str, float], cat: dict[str, str], labels: list[list[
     return [f"num__{c}" for c in num] + [f"cat__{c}_{v}" for c, values in zip(cat, labels, strict=True) for v in values]
 
 
-def build_pipeline(
-    target: str,
-    num: dict[str, float],
-    cat: dict[str, str],
-    trees: int = FOREST_TREES,
-    max_depth: int = MAX_DEPTH,
-    max_bins: int = 64,
-    seed: int = FOREST_SEED,
-) -> Pipeline:
-    """M3 + M4 for one target, column names namespaced by the operation so the
+def build_pipeline(target: str, num: dict[str, float], cat: dict[str, str]) -> Pipeline:
+    """M3 for one target, column names namespaced by the operation so the
     twelve fitted pipelines can run one after another on the same rows.
 
     Numerics are imputed with the exact train-split median and categoricals
@@ -274,62 +265,27 @@ def build_pipeline(
             OneHotEncoder(inputCols=places, outputCols=slots, dropLast=True),
         ]
         cols += slots
-    stages += [
-        VectorAssembler(inputCols=cols, outputCol=f"__{op}__features", handleInvalid="keep"),
-        RandomForestRegressor(
-            featuresCol=f"__{op}__features",
-            labelCol="hours",
-            predictionCol=f"__{op}__prediction",
-            leafCol=f"__{op}__leaf",
-            numTrees=trees,
-            maxDepth=max_depth,
-            maxBins=max_bins,
-            maxMemoryInMB=1024,
-            minInstancesPerNode=1,
-            featureSubsetStrategy="all",
-            subsamplingRate=1.0,
-            bootstrap=True,
-            seed=seed,
-        ),
-    ]
+    stages.append(VectorAssembler(inputCols=cols, outputCol=f"__{op}__features", handleInvalid="keep"))
     return Pipeline(stages=stages)
 
 
-def fit_target(
-    split: DataFrame,
-    target: str,
-    num: dict[str, float],
-    cat: dict[str, str],
-    run: str,
-    version: str = MODEL_VERSION,
-    n_rows: int | None = None,
-    **forest,
-) -> dict:
-    """M4 + M5 + S11: fit on the training split, score the test split, save into the run's folder."""
-    rows = split.filter(F.col("target") == target)
-    train = rows.filter(~F.col("is_test"))
-    test = rows.filter(F.col("is_test"))
-    model = build_pipeline(target, num, cat, **forest).fit(train)
+def tree_rows(prepared: DataFrame, target: str, num: dict[str, float], cat: dict[str, str]) -> DataFrame:
+    """(target, key, x, features, hours) of a target's training rows: ``x`` has the numbers, then the categories' places."""
     op = operation_of(target)
-    scored = model.transform(test).select("target", "hours", F.col(f"__{op}__prediction").alias("prediction"))
-    m = regression_metrics(scored, "target", "hours", "prediction").first()
-    n = rows.count() if n_rows is None else n_rows
-    path = f"{run}/{target}_{version}"
-    model.write().save(path)
-    spark = split.sparkSession
-    remember(path, model)
-    save_leaf_values(spark, OpModel(target, path, model))
+    keys = [F.col(c).cast("string") for c in KEY_COLS if c in prepared.columns]
+    x = [F.col(f"__{op}__n{i}") for i in range(len(num))] + [F.col(f"__{op}__c{i}_i") for i in range(len(cat))]
+    key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    return prepared.select(F.lit(target).alias("target"), key.alias("key"), F.array(*x).alias("x"), F.col(f"__{op}__features").alias("features"), "hours")
+
+
+def prepare_target(split: DataFrame, target: str, num: dict[str, float], cat: dict[str, str], path: str) -> tuple[PipelineModel, list[int]]:
+    """M3 + S11: the fitted preparation of a target, saved into the run's folder, and the sizes of its categories."""
+    model = build_pipeline(target, num, cat).fit(split.filter((F.col("target") == target) & ~F.col("is_test")))
+    model.write().save(f"{path}/pipeline")
     labels = [list(x) for x in model.stages[1].labelsArray] if cat else []
     names = feature_names(num, cat, labels)
-    spark.createDataFrame(list(enumerate(names)), "idx int, feature string").coalesce(1).write.parquet(f"{path}/feature_names")
-    return {
-        "target": target,
-        "version": version,
-        "rows": int(n),
-        "mae": float(m["mae"]) if m else float("nan"),
-        "r2": float(m["r2"]) if m else float("nan"),
-        "model_path": path,
-    }
+    split.sparkSession.createDataFrame(list(enumerate(names)), "idx int, feature string").coalesce(1).write.parquet(f"{path}/feature_names")
+    return model, [len(x) for x in labels]
 
 
 def train_all(
@@ -337,31 +293,71 @@ def train_all(
     models_dir: str,
     version: str = MODEL_VERSION,
     parallelism: int = 4,
-    **forest,
+    trees: int = FOREST_TREES,
+    max_depth: int = MAX_DEPTH,
+    seed: int = FOREST_SEED,
+    local_rows: int = forests.LOCAL_ROWS,
 ) -> DataFrame:
-    """M6 + U5: train every target that has enough rows; returns the metrics
+    """M4-M6 + U5: train every target that has enough rows; returns the metrics
     table (target order).  Skipped targets keep any older artefact.
 
     The split training frame is written once to the shared folder, a folder a
-    target (so each fit reads its own part; lineage cut, survives executor
-    loss), and removed after the fits, which run as concurrent Spark jobs into
-    a new run folder.  The run is published when all are there.
+    target (so each preparation reads its own part; lineage cut, survives
+    executor loss), and removed at the end.  One grouped job grows the trees of
+    all targets of up to ``local_rows`` training rows, a target of more is
+    grown in two phases.  The run is published when all models are there.
     """
     spark = master.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, f"training-split-{uuid.uuid4().hex}")
     exact_split(training_long(master)).write.partitionBy("target").parquet(path)
     split = spark.read.parquet(path)
     stats = impute_values(split).collect()  # <= 12 x 39 rows: the imputation table
-    sizes = {r["target"]: r["n"] for r in split.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
-    targets = [t for t in TARGETS if t in sizes]  # <= 12 rows above
+    counts = split.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("is_test"), 0).otherwise(1)).alias("train")).collect()
+    sizes = {r["target"]: (r["n"], r["train"]) for r in counts}  # <= 12 rows
+    targets = [t for t in TARGETS if t in sizes]
     run = new_run(models_dir)
+    paths = {t: f"{run}/{t}_{version}" for t in targets}
+    values = {t: model_features(stats, t) for t in targets}
 
-    def fit(t: str) -> dict:
-        num, cat = model_features(stats, t)
-        return fit_target(split, t, num, cat, run, version, n_rows=sizes[t], **forest)
+    def prepare(t: str) -> tuple[PipelineModel, list[int]]:
+        return prepare_target(split, t, *values[t], paths[t])
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        ready = dict(zip(targets, pool.map(prepare, targets), strict=True))
+    shapes = {t: (f"{paths[t]}/forest", len(values[t][0]), ready[t][1]) for t in targets}
+    rows = {t: tree_rows(ready[t][0].transform(split.filter((F.col("target") == t) & ~F.col("is_test"))), t, *values[t]) for t in targets}
+    small = [t for t in targets if sizes[t][1] <= local_rows]
+    if small:
+        every = rows[small[0]].drop("features")
+        for t in small[1:]:
+            every = every.unionByName(rows[t].drop("features"))
+        grown = forests.fit_local(every, {t: shapes[t] for t in small}, trees, max_depth, seed)
+        grown.write.mode("append").partitionBy("target").parquet(f"{run}/{TREES_TABLE}")
+    for t in targets:
+        if t not in small:
+            grown = forests.fit_large(rows[t].drop("target"), t, shapes[t], trees, max_depth, seed, f"{path}-{t}", local_rows)
+            grown.write.mode("append").partitionBy("target").parquet(f"{run}/{TREES_TABLE}")
+            drop_path(spark, f"{path}-{t}")
+    for t in targets:
+        remember(paths[t], ready[t][0])
+    models = load_paths(spark, paths)
+
+    def metrics(m) -> dict:
+        test = split.filter((F.col("target") == m.target) & F.col("is_test"))
+        scored = score_one(test, m).select("target", "hours", F.col(f"{m.op}_p50").alias("prediction"))
+        found = regression_metrics(scored, "target", "hours", "prediction").first()
+        return {
+            "target": m.target,
+            "version": version,
+            "rows": int(sizes[m.target][0]),
+            "mae": float(found["mae"]) if found else float("nan"),
+            "r2": float(found["r2"]) if found else float("nan"),
+            "model_path": m.path,
+        }
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(fit, targets))
-    publish(spark, models_dir, {r["target"]: r["model_path"] for r in results}, version)
+        results = list(pool.map(metrics, models))
+    publish(spark, models_dir, paths, version)
     drop_path(spark, path)
     return spark.createDataFrame(results, METRICS_SCHEMA)

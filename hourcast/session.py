@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -87,6 +89,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, once an application, where their search path lacks it."""
+    package, app = Path(__file__).parent, spark.sparkContext.applicationId
+    if app in _SHIPPED or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    packed = Path(tempfile.mkdtemp(prefix="hourcast-")) / "hourcast-core.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(packed))
+    _SHIPPED.add(app)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a written intermediate that nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

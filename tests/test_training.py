@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourcast.config import OPERATIONS, QUOTE_CAT_FEATURES, TARGETS
-from hourcast.operators import rollup, scoring, training
+from hourcast.operators import forest, rollup, scoring, training
+from hourcast.sources import arrays
 
 
 @pytest.fixture(scope="module")
@@ -104,16 +105,23 @@ def test_strict_load_lists_missing(spark, trained):
     assert reg["pm200_actual_hours"] is False and reg["me10_actual_hours"] is True
 
 
-def test_per_tree_values_reproduce_forest_prediction(spark, trained, small_master):
+def test_statistics_are_those_of_the_single_trees(spark, trained, small_master):
+    """Each tree of the stored forest walked node by node, for each row."""
     d, _ = trained
     m = scoring.load_models(spark, d, strict=False)[0]
-    values = {(r.tree, r.leaf): r.value for r in scoring.leaf_values(spark, m).collect()}
-    assert {t for t, _ in values} == set(range(8))
-    own = {r.row_idx: r for r in m.model.transform(small_master).collect()}
+    table = scoring.trees_table(spark, m.target, m.path).collect()
+    assert sorted(r.tree for r in table) == list(range(8)) and max(r.levels for r in table) <= 4
+    nodes = {f: arrays.get(m.forest.folder, f"{f}-0") for f in forest.FIELDS}
+
+    def walk(x, at):
+        while nodes["feature"][at] >= 0:
+            at = nodes["left"][at] + (x[nodes["feature"][at]] > nodes["number"][at])
+        return nodes["number"][at]
+
+    own = {r.row_idx: r["__me10__features"].toArray() for r in m.model.transform(small_master).collect()}
     quotes = small_master.withColumnRenamed("row_idx", "quote_id")
     for r in scoring.score_wide(quotes, [m]).collect():
-        trees = [values[t, int(leaf)] for t, leaf in enumerate(own[r.quote_id]["__me10__leaf"])]
-        assert r.me10_p50 == pytest.approx(own[r.quote_id]["__me10__prediction"], abs=1e-9)
+        trees = [walk(own[r.quote_id], root) for root in m.forest.roots[0]]
         assert r.me10_p50 == pytest.approx(np.mean(trees)) and r.me10_std == pytest.approx(np.std(trees))
         assert [r.me10_p10, r.me10_p90] == pytest.approx(np.percentile(trees, [10, 90]).tolist())
     checks = scoring.score_checks(quotes, [m]).first()
@@ -162,7 +170,7 @@ def test_scoring_leaves_the_model_alone(spark, trained, small_master):
     d, _ = trained
     m = scoring.load_models(spark, d, strict=False)[0]
     scoring.score_wide(small_master.withColumnRenamed("row_idx", "quote_id"), [m]).count()
-    assert "__me10__prediction" in m.model.transform(small_master).columns
+    assert "__me10__features" in m.model.transform(small_master).columns
 
 
 def test_repeated_null_and_absent_ids(spark, trained, small_master):
