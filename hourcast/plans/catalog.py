@@ -317,12 +317,12 @@ def _metrics(spark, sf):
     return spark.read.parquet(f"{models_for(spark, sf)}/metrics")
 
 
-def _models(spark, sf):
-    return scoring.load_models(spark, models_for(spark, sf))
+def _models(spark, sf, forest=None):
+    return scoring.load_models(spark, models_for(spark, sf, forest))
 
 
-def _scored_wide(spark, sf):
-    return scoring.score_wide(_records(spark, sf), _models(spark, sf))
+def scored_wide(spark, sf, forest=None):
+    return scoring.score_wide(_records(spark, sf), _models(spark, sf, forest))
 
 
 def q_train_metrics(spark, sf):
@@ -348,15 +348,15 @@ def q_model_registry(spark, sf):
 
 
 def q_score_batch_wide(spark, sf):
-    return _scored_wide(spark, sf)
+    return scored_wide(spark, sf)
 
 
 def q_score_quotes_long(spark, sf):
-    return scoring.wide_to_long(_scored_wide(spark, sf))
+    return scoring.wide_to_long(scored_wide(spark, sf))
 
 
 def q_scored_bucket_rollup(spark, sf):
-    return scoring.wide_to_buckets(_scored_wide(spark, sf))
+    return scoring.wide_to_buckets(scored_wide(spark, sf))
 
 
 def q_score_checks(spark, sf):
@@ -366,7 +366,7 @@ def q_score_checks(spark, sf):
 
 def q_bucket_checks(spark, sf):
     """Per quote the buckets add up to the totals of the operations: quotes seen, quotes off."""
-    wide = _scored_wide(spark, sf)
+    wide = scored_wide(spark, sf)
     sums = scoring.wide_to_buckets(wide).groupBy("quote_id").agg(F.sum("p50").alias("p50"), F.count(F.lit(1)).alias("buckets"))
     off = (F.abs(F.col("p50") - F.col("total_p50")) > 1e-6 * F.greatest(F.lit(1.0), F.abs("total_p50"))) | (F.col("buckets") != 9)
     both = wide.select("quote_id", "total_p50").join(sums, "quote_id")
