@@ -33,12 +33,14 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from hourcast.llm.common import ship
 
@@ -204,6 +206,30 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 SPACES = regex.compile(r"\s+")
+
+
+#: All characters, surrogates aside.
+EVERY = range(0xD800), range(0xE000, 0x110000)
+
+
+def ranges(runs: Iterable[str]) -> str:
+    """Runs of neighbouring characters, as they are written inside a set of a pattern."""
+    return "".join(f"{re.escape(r[0])}-{re.escape(r[-1])}" for r in runs)
+
+
+def characters(kind: str) -> str:
+    """All characters of a kind (L letters, N numbers) in the library's Unicode, which is neither Python's nor that of ``regex``."""
+    split = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True)
+    return ranges(run for run, _ in split.pre_tokenize_str("".join(map(chr, chain(*EVERY)))))
+
+
+@lru_cache(maxsize=1)
+def newer() -> re.Pattern:
+    """Characters that Python's Unicode does not know: the library may compose or lower them."""
+    unknown = "".join(c if unicodedata.category(c) == "Cn" else "\n" for c in map(chr, chain(*EVERY)))
+    return re.compile(f"[{ranges(unknown.split())}]")
+
+
 #: The vocabulary's own pattern, written out for lower-cased text of Latin-1 letters, which the
 #: normaliser leaves as it is; the separators U+001C to U+001F are white space to Python alone.
 LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\s0-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
@@ -215,11 +241,15 @@ class Coder:
 
     def __init__(self, path: str = VOCABULARY):
         self.v = vocabulary(path)
-        self.words = regex.compile(self.v.pattern)
         self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.v.special, key=len, reverse=True)) + ")")
         self.known: dict[str, tuple[int, ...]] = {}
         self.shown: dict[str, tuple[int, str, str]] = {}
 
+    @cached_property
+    def words(self) -> regex.Pattern:
+        """The vocabulary's own pattern, for texts beyond Latin-1."""
+        return regex.compile(self.v.pattern.replace(r"\p{L}", characters("L")).replace(r"\p{N}", characters("N")), regex.V0)
+
     def split(self, text: str) -> list[str]:
         """The words and special tokens of a text; a special token starts with a blank, which no word has."""
         out = []
@@ -229,8 +259,11 @@ class Coder:
             elif not NOT_LATIN.search(piece):
                 out += LATIN_WORDS.findall(piece.lower())
             else:
-                # lower case is taken letter by letter, so a last sigma gets no form of its own
-                piece = SPACES.sub(" ", unicodedata.normalize("NFC", piece)).replace("Σ", "σ").lower()
+                if newer().search(piece):
+                    piece = normalizers.Lowercase().normalize_str(SPACES.sub(" ", normalizers.NFC().normalize_str(piece)))
+                else:
+                    # lower case is taken letter by letter, so a last sigma gets no form of its own
+                    piece = SPACES.sub(" ", unicodedata.normalize("NFC", piece)).replace("Σ", "σ").lower()
                 out += self.words.findall(piece)
         return out
 

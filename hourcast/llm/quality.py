@@ -2,8 +2,8 @@
 
 Words are runs of letters, of digits and of other marks.  Each also has a
 form: letters by case and length, digits by length, marks by their first
-characters; and a word that equals the one before counts as the word
-``<again>``.  Every word has an index vector, a few signed ones at places that
+characters; and a word that equals the one before counts as a form of
+its own.  Every word has an index vector, a few signed ones at places that
 its hash gives.  The vector of a word is its index vector plus the normed sum of
 the index vectors around it in all documents (random indexing); a word that
 stands alone wherever it occurs has its index vector.
@@ -31,14 +31,9 @@ own.  An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from hashlib import blake2b
-from itertools import chain
-from operator import eq
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -48,178 +43,229 @@ from pyspark.sql import functions as F
 
 from hourcast.llm import lm, sampling
 from hourcast.llm.common import Scratch, fresh, narrow, remainder, ship, table
+from hourcast.llm.words import BASE, END, mix
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Rows of either label that the network is fitted on.
 ROWS = 2500
 SIZE, ONES, AROUND = 64, 6, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 0.003, 1e-4
-#: Terms that a worker remembers before it starts afresh.
-KEPT = 100_000
-#: Words whose sums a task gathers before it hands them on, and terms added up at once.
-GATHERED, RUN = 250_000, 20_000
+#: Code points of the texts that are read at once (one text may be longer), and their terms that are added up at once.
+CHARS, RUN = 300_000, 50_000
+#: Words whose sums a task gathers before it hands them on.
+GATHERED = 250_000
 #: Bytes of text for each bucket of words; sums that a byte holds.
-BUCKET_BYTES, SMALL = 4 << 20, 127
+BUCKET_BYTES, SMALL = 16 << 20, 127
 
-TERM = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
-AGAIN = "<again>"
-NOTHING = np.zeros((0, SIZE), np.float32)
+SPACE, LETTER, DIGIT, MARK = range(4)
+#: Runs of these are terms.
+KINDS = ((LETTER, r"[^\W\d_]+"), (DIGIT, r"\d+"), (SPACE, r"\s+"))
+#: Forms: letters by case and length, then digits by length, the form of a term like the one before, then marks by their first characters.
+LENGTHS, DIGITS, AGAIN, MARKS = 7, 28, 63, 64
+FORM_SEED = np.uint64(0x94D049BB133111EB)
 
 
-def form(term: str) -> str:
-    if term[0].isalpha():
-        case = "A" if term.isupper() and len(term) > 1 else "a" if term.islower() else "Aa" if term[1:].islower() or len(term) == 1 else "aA"
-        return f"<{case}{min(len(term) // 3, 6)}>"
-    return f"<0{min(len(term), 8)}>" if term[0].isdigit() else f"<{term[:3]}>"
+@lru_cache(maxsize=1)
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: its kind, itself in lower case, and 1 for capitals, 2 for small letters."""
+    every = "".join("\0" if 0xD800 <= c < 0xE000 else chr(c) for c in range(0x110000))
+    kind, lower, case = np.full(len(every), MARK, np.uint8), np.arange(len(every), dtype=np.uint32), np.zeros(len(every), np.uint8)
+    for k, pattern in KINDS:
+        for m in re.finditer(pattern, every):
+            kind[m.start() : m.end()] = k
+    for c in np.flatnonzero(kind == LETTER).tolist():
+        x = every[c]
+        if len(x.lower()) == 1:
+            lower[c] = ord(x.lower())
+        case[c] = 1 if x.isupper() else 2 if x.islower() else 0
+    return kind, lower, case
 
 
-@lru_cache(maxsize=4096)
-def _seeded(size: int) -> tuple[int, ...]:
-    """What the seeds change in the crc32 of ``size`` bytes, whatever these are."""
-    zeros = bytes(size)
-    return tuple(crc32(zeros, k * 0x9E3779B1 & 0xFFFFFFFF) ^ crc32(zeros) for k in range(ONES))
+@lru_cache(maxsize=2)
+def powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, BASE, np.uint64))
+
+
+@dataclass
+class Terms:
+    """The terms of some texts, one behind the other: their text, and hashes of them as written, in lower case and of their form."""
+
+    text: np.ndarray
+    exact: np.ndarray
+    word: np.ndarray
+    form: np.ndarray
+
+
+def terms_of(texts: list[str | None]) -> Terms:
+    kinds, lower, cases = tables()
+    texts = [t or "" for t in texts]
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds[code]
+    inside = np.flatnonzero(kind != SPACE)
+    if not len(inside):
+        none = np.zeros(0, np.uint64)
+        return Terms(np.zeros(0, np.int64), none, none, none)
+    kind, code = kind[inside], code[inside]
+    first = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (np.diff(inside) > 1)))
+    size = np.diff(np.append(first, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(first, size)
+    power = powers(1 << int(size.max()).bit_length())[place]
+    end = size.astype(np.uint64) * END
+
+    def hashed(codes: np.ndarray) -> np.ndarray:
+        return mix(np.add.reduceat(mix(codes.astype(np.uint64) + np.uint64(1)) * power, first) + end)
+
+    case = cases[code]
+    large, small = (np.add.reduceat((case == k).astype(np.int64), first) for k in (1, 2))
+    alone = size == 1
+    shape = np.select([(large > 0) & (small == 0) & ~alone, (small > 0) & (large == 0), alone | ((large == 1) & (case[first] == 1) & (large + small == size))], [0, 1, 2], 3)
+    lead = [np.where(size > k, code[np.minimum(first + k, len(code) - 1)].astype(np.uint64) + np.uint64(1) << np.uint64(21 * k), np.uint64(0)) for k in range(3)]
+    own = kind[first]
+    form = np.where(own == LETTER, shape * LENGTHS + np.minimum(size // 3, LENGTHS - 1), DIGITS + np.minimum(size, 8)).astype(np.uint64)
+    form = np.where(own == MARK, np.uint64(MARKS) + (lead[0] | lead[1] | lead[2]), form)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return Terms(np.searchsorted(starts, inside[first], side="right") - 1, hashed(code), hashed(lower[code]), form)
+
 
+def runs_of(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts, in lists of about CHARS code points."""
+    run, n = [], 0
+    for text in column:
+        run.append(text.as_py())
+        n += len(run[-1] or "")
+        if n >= CHARS:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
 
-def encoded(words: Iterable[str]) -> list[bytes]:
-    return [w.encode("utf-8", "surrogatepass") for w in words]
 
+def places(hashes: np.ndarray) -> np.ndarray:
+    """Twice the places of each hash's ONES signed ones, plus 1 for those below nought."""
+    x = mix(hashes[:, None] + np.arange(1, ONES + 1, dtype=np.uint64) * BASE)
+    return ((x >> np.uint64(1)) % np.uint64(SIZE) * np.uint64(2) + (x & np.uint64(1))).astype(np.int64)
 
-def index_counts(words: list[bytes]) -> np.ndarray:
-    """Signed ones of each word, at places that crc32 with ONES seeds gives."""
-    out = np.zeros(len(words) * SIZE, np.int8)
-    h = np.fromiter(map(crc32, words), np.uint32, len(words))[:, None] ^ np.array(list(map(_seeded, map(len, words))), np.uint32).reshape(-1, ONES)
-    at = np.arange(len(words))[:, None] * SIZE + (h >> np.uint32(1)) % np.uint32(SIZE)
-    sign = np.where(h & np.uint32(1), 1, -1).astype(np.int8)
-    for k in range(ONES):
-        out[at[:, k]] += sign[:, k]
-    return out.reshape(-1, SIZE)
 
+def differences(cells: np.ndarray, rows: int) -> np.ndarray:
+    """Signed ones at row * 2 * SIZE + place, added up by row."""
+    counts = np.bincount(cells.ravel(), minlength=rows * 2 * SIZE).reshape(rows, SIZE, 2)
+    return counts[:, :, 0] - counts[:, :, 1]
 
-def index_vector(word: str) -> np.ndarray:
-    return index_counts(encoded([word]))[0].astype(np.float32) / ONES**0.5
 
+def index_counts(hashes: np.ndarray) -> np.ndarray:
+    """The index vectors, as sums of signed ones."""
+    return differences(np.arange(len(hashes))[:, None] * (2 * SIZE) + places(hashes), len(hashes))
 
-def keys_of(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8")
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    return (index_counts(hashes) / ONES**0.5).astype(np.float32)
+
+
+def form_vectors(forms: np.ndarray) -> np.ndarray:
+    return index_vectors(mix(forms ^ FORM_SEED))
+
+
+@lru_cache(maxsize=4096)
+def held(root: str, bucket: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """A bucket's sorted keys and vectors: sums that bytes hold, and normed sums; nothing where no word fell into it."""
+    try:
+        data = lm.get(root, f"words-{bucket}")
+    except FileNotFoundError:
+        return ()
+    small, large = data[:16].view(np.int64).tolist()
+    cuts = np.cumsum([16, 8 * small, 8 * large, 4 * SIZE * large, SIZE * small])
+    keys, other, normed, sums = (data[a:z] for a, z in zip(cuts, cuts[1:], strict=False))
+    return (keys.view("<u8"), sums.view(np.int8).reshape(-1, SIZE)), (other.view("<u8"), normed.view("<f4").reshape(-1, SIZE))
+
+
+def put_bucket(root: str, bucket: int, keys: np.ndarray, sums: np.ndarray) -> None:
+    """Writes what ``held`` reads, in one file; words without neighbours are left out."""
+    most = np.abs(sums).max(axis=1)
+    small, large = (most > 0) & (most <= SMALL), most > SMALL
+    normed = (sums[large] / np.linalg.norm(sums[large], axis=1, keepdims=True)).astype("<f4")
+    parts = (np.array([small.sum(), large.sum()]), keys[small], keys[large], normed, sums[small].astype(np.int8))
+    lm.put(root, f"words-{bucket}", np.frombuffer(b"".join(p.tobytes() for p in parts), np.uint8))
 
 
 @dataclass
 class Trained:
-    """The files of the sums around words, by bucket: keys and bytes, and keys and normed sums of those too large for bytes."""
+    """The files of the sums around words, a bucket each."""
 
     root: str
     bits: int
-    buckets: frozenset[int]
 
-    def around(self, words: list[bytes]) -> np.ndarray:
-        """The normed sums around each word, zeros without."""
+    def around(self, words: np.ndarray) -> np.ndarray:
+        """The normed sums around each word (sorted hashes), zeros without."""
         out = np.zeros((len(words), SIZE), np.float32)
-        keys = keys_of(words)
-        order = np.argsort(keys)
-        ordered = keys[order]
-        to = lm.bucket_of(ordered, self.bits)
+        to = lm.bucket_of(words, self.bits)
         cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist() if len(to) else []
         for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
-            if (b := int(to[a])) not in self.buckets:
-                continue
-            for kind in ("small", "large"):
-                held = lm.get(self.root, f"{kind}-key-{b}")
-                if len(held):
-                    at = np.minimum(np.searchsorted(held, ordered[a:z]), len(held) - 1)
-                    hit = held[at] == ordered[a:z]
-                    found = lm.get(self.root, f"{kind}-{b}")[at[hit]].astype(np.float32)
-                    out[order[a:z][hit]] = found / np.linalg.norm(found, axis=1, keepdims=True)
+            for known, vectors in held(self.root, int(to[a])):
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, words[a:z]), len(known) - 1)
+                    hit = np.flatnonzero(known[at] == words[a:z])
+                    found = vectors[at[hit]].astype(np.float32)
+                    out[a + hit] = found / np.linalg.norm(found, axis=1, keepdims=True)
         return out
 
+    def vectors(self, words: np.ndarray) -> np.ndarray:
+        """The vectors of words (sorted hashes)."""
+        return index_vectors(words) + self.around(words)
+
 
-class Words:
-    """Vectors of words and of forms, by row; row 0 of either stands for none.
-
-    ``names`` have their ``vectors`` from the start; others get theirs when
-    they are met, from ``trained`` where it has them.
-    """
-
-    def __init__(self, names: list[str], vectors: np.ndarray, trained: Trained | None = None):
-        self.names, self.given, self.trained = names, vectors, trained
-        self._forget()
-
-    def _forget(self) -> None:
-        self.row = {w: k + 1 for k, w in enumerate(self.names)}
-        self.vectors = np.concatenate([np.zeros((1, SIZE), np.float32), self.given, np.zeros((1024, SIZE), np.float32)])
-        self.rows: dict[str, tuple[int, int]] = {}
-        self.form_row: dict[str, int] = {}
-        self.forms = np.zeros((256, SIZE), np.float32)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Gives rows to all terms of the texts."""
-        if len(self.rows) > KEPT:
-            self._forget()
-        terms = [t for t in dict.fromkeys(chain.from_iterable(texts)) if t not in self.rows]
-        lower = [t.lower() for t in terms]
-        new = [w for w in dict.fromkeys(lower) if w not in self.row]
-        if new:
-            first, data = len(self.row) + 1, encoded(new)
-            self.row |= {w: first + k for k, w in enumerate(new)}
-            while first + len(new) > len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-            own = index_counts(data).astype(np.float32) / np.float32(ONES**0.5)
-            self.vectors[first : first + len(new)] = own + self.trained.around(data) if self.trained else own
-        for t, w in zip(terms, lower, strict=True):
-            self.rows[t] = (self.row[w], self._form(form(t)))
-        self.rows.setdefault(AGAIN, (0, self._form(AGAIN)))
-
-    def _form(self, shape: str) -> int:
-        if shape not in self.form_row:
-            k = self.form_row[shape] = len(self.form_row) + 1
-            if k == len(self.forms):
-                self.forms = np.concatenate([self.forms, np.zeros_like(self.forms)])
-            self.forms[k] = index_vector(shape)
-        return self.form_row[shape]
-
-    def of(self, term: str) -> tuple[int, int]:
-        """Rows of the word and of its form."""
-        self.learn([[term]] if term != AGAIN else [])
-        return self.rows[term]
-
-    def pooled(self, text: str | None) -> np.ndarray:
-        return self.all_pooled([text])[0]
-
-    def all_pooled(self, texts: list[str | None]) -> np.ndarray:
-        terms = [TERM.findall(t or "") for t in texts]
-        self.learn(terms)
-        return np.array([self._pooled(t) for t in terms])
-
-    def _pooled(self, terms: list[str]) -> np.ndarray:
-        n = len(terms)
-        if not n:
-            return np.zeros(4 * SIZE + 3, np.float32)
-        counts = Counter(terms)
-        if again := sum(map(eq, terms, terms[1:])):
-            counts[AGAIN] = again
-        got = np.array(list(map(self.rows.__getitem__, counts)))
-        w, one = np.fromiter(counts.values(), np.float32, len(counts)) / n, np.float32(1 / len(counts))
-        # sums over the few distinct rows of either kind
-        parts = []
-        for side, vectors in ((0, self.vectors), (1, self.forms)):
-            used, at = np.unique(got[:, side], return_inverse=True)
-            v = vectors[used]
-            parts += [np.bincount(at, w).astype(np.float32) @ v, np.bincount(at).astype(np.float32) @ v * one]
-        return np.concatenate([*parts, np.array([1, np.log(n), len(counts) / n], np.float32)])
-
-
-def near_sums(ids: np.ndarray, index: np.ndarray, sums: np.ndarray) -> None:
-    """Adds to ``sums`` of each id the index rows up to AROUND places before and after it; id 0 stands between texts."""
-    for a in range(0, len(ids), RUN):
-        low, high = max(0, a - AROUND), min(len(ids), a + RUN + AROUND)
-        x = index[ids[low:high]]
-        near = np.zeros_like(x)
-        for d in range(1, min(AROUND, len(x) - 1) + 1):
-            near[d:] += x[:-d]
-            near[:-d] += x[d:]
-        own, near = ids[a : a + RUN], near[a - low :][:RUN]
-        order = np.argsort(own, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(own[order]) != 0))
-        sums[own[order][first]] += np.add.reduceat(near[order].astype(np.int32), first, axis=0)
+def pooled(texts: list[str | None], trained: Trained) -> np.ndarray:
+    """The features of each text: means over its words and its distinct ones, the same of forms, and three figures."""
+    t = terms_of(texts)
+    out = np.zeros((len(texts), 4 * SIZE + 3), np.float32)
+    if not len(t.text):
+        return out
+    n = np.bincount(t.text, minlength=len(texts))
+    again = np.bincount(t.text[1:][(t.exact[1:] == t.exact[:-1]) & (t.text[1:] == t.text[:-1])], minlength=len(texts))
+    # the distinct terms of each text, in the order of the text, so sums are the same in any company
+    kinds, exact = np.unique(t.exact, return_inverse=True)
+    _, first, count = np.unique(t.text * len(kinds) + exact, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    first, count = first[order], count[order]
+    own = t.text[first]
+    distinct = np.bincount(own, minlength=len(texts)) + (again > 0)
+    share, one = 1 / np.maximum(n, 1), 1 / np.maximum(distinct, 1)
+    full = np.flatnonzero(n)
+    begins = np.searchsorted(own, full)
+    words, word = np.unique(t.word[first], return_inverse=True)
+    vectors = trained.vectors(words)[word]
+    out[full, :SIZE] = np.add.reduceat(vectors * (count * share[own]).astype(np.float32)[:, None], begins)
+    out[full, SIZE : 2 * SIZE] = np.add.reduceat(vectors, begins) * one[full, None]
+    # forms are few: a count of each for each text; the first is that of terms like the one before
+    shapes, shape = np.unique(np.append(np.uint64(AGAIN), t.form[first]), return_inverse=True)
+    cell, repeat = own * len(shapes) + shape[1:], shape[0]
+    often, seen = (np.bincount(cell, v, len(texts) * len(shapes)).reshape(-1, len(shapes)) for v in (count, np.ones(len(count))))
+    often[:, repeat] += again
+    seen[:, repeat] += again > 0
+    for k, counts, part in ((2, often, share), (3, seen, one)):
+        row, column = np.nonzero(counts[full])
+        at = np.searchsorted(row, np.arange(len(full)))
+        out[full, k * SIZE : (k + 1) * SIZE] = np.add.reduceat(form_vectors(shapes)[column] * (counts[full][row, column] * part[full][row])[:, None], at)
+    out[full, 4 * SIZE :] = np.stack([np.ones(len(full)), np.log(n[full]), distinct[full] * share[full]], axis=1)
+    return out
+
+
+def near_sums(text: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each word (a place in ``at``) the sum of the signed ones (``at``) of the words up to AROUND places before and after it in its text."""
+    sums = np.zeros((len(at), SIZE), np.int32)
+    for a in range(0, len(word), RUN):
+        # pairs whose first word is of this run
+        own, local = np.unique(word[a : a + RUN + AROUND], return_inverse=True)
+        near = text[a : a + RUN + AROUND]
+        centre, other = [], []
+        for d in range(1, min(AROUND, len(near) - 1) + 1):
+            left, right = local[:-d][:RUN], local[d:][:RUN]
+            same = (near[:-d] == near[d:])[:RUN]
+            centre += [left[same], right[same]]
+            other += [right[same], left[same]]
+        if centre:
+            cells = np.concatenate(centre)[:, None] * (2 * SIZE) + at[own][np.concatenate(other)]
+            sums[own] += differences(cells, len(own)).astype(np.int32)
+    return sums
 
 
 PACKED = "bucket long, keys binary, sums binary"
@@ -228,57 +274,38 @@ PACKED = "bucket long, keys binary, sums binary"
 def contexts(bits: int):
     """A mapInArrow function: the sums of the index rows around each word of a task's rows, packed by bucket."""
 
-    def deal(words: list[str], sums: np.ndarray) -> pa.RecordBatch:
-        keys = keys_of(encoded(words))
-        order = np.argsort(keys)
-        keys = keys[order]
+    def deal(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
         to = lm.bucket_of(keys, bits)
         cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist()
         rows = []
         for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
-            own = sums[order[a:z]]
+            own = sums[a:z]
             small = ((own << 1) ^ (own >> 31)).astype("<u4")  # small numbers of either sign have high bytes of nought
             rows.append((int(to[a]), lm.pack(lm.planes(keys[a:z])), squeezed(small.view(np.uint8).reshape(-1, 4).T.copy())))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "keys", "sums"])
 
+    def together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.unique(np.concatenate([k for k, _ in parts]))
+        sums = np.zeros((len(keys), SIZE), np.int32)
+        for own, more in parts:  # the keys of a part are distinct
+            sums[np.searchsorted(keys, own)] += more
+        return keys, sums
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def afresh():
-            return {}, {}, np.zeros((4096, SIZE), np.int8), np.zeros((4096, SIZE), np.int32)
-
-        def add(texts: list[list[str]]) -> None:
-            nonlocal index, sums
-            terms = [t for t in dict.fromkeys(chain.from_iterable(texts)) if t not in number]
-            lower = [t.lower() for t in terms]
-            new = [w for w in dict.fromkeys(lower) if w not in words]
-            first = len(words) + 1
-            words.update((w, first + k) for k, w in enumerate(new))
-            number.update((t, words[w]) for t, w in zip(terms, lower, strict=True))
-            while first + len(new) > len(index):
-                index, sums = (np.concatenate([m, np.zeros_like(m)]) for m in (index, sums))
-            index[first : first + len(new)] = index_counts(encoded(new))
-            ids: list[int] = []
-            for t in texts:
-                ids += map(number.__getitem__, t)
-                ids += [0] * AROUND
-            near_sums(np.array(ids, np.int32), index, sums)
-
-        number, words, index, sums = afresh()  # of terms as written, of words in lower case; 0 is none
-        held: list[list[str]] = []
-        n = 0
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for text in map(pa.StringScalar.as_py, batch.column("text")):
-                held.append(TERM.findall(text or ""))
-                n += len(held[-1])
-                if n >= RUN:
-                    add(held)
-                    held, n = [], 0
-                    if len(words) > GATHERED:
-                        yield deal(list(words), sums[1 : len(words) + 1])
-                        number, words, index, sums = afresh()
-        if n:
-            add(held)
-        if words:
-            yield deal(list(words), sums[1 : len(words) + 1])
+            for run in runs_of(batch.column("text")):
+                t = terms_of(run)
+                if not len(t.word):
+                    continue
+                words, word = np.unique(t.word, return_inverse=True)
+                parts.append((words, near_sums(t.text, word, places(words))))
+                if sum(len(k) for k, _ in parts) > GATHERED:
+                    parts = [together(parts)]
+                    if len(parts[0][0]) > GATHERED // 2:
+                        yield deal(*parts.pop())
+        if parts:
+            yield deal(*together(parts))
 
     return each
 
@@ -312,17 +339,12 @@ def trained(docs: DataFrame, s: Scratch) -> Trained:
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(pdf["bucket"].iloc[0])
         keys, sums = added(pdf)
-        most = np.abs(sums).max(axis=1)
-        small, large = (most > 0) & (most <= SMALL), most > SMALL
-        lm.put(root, f"small-key-{b}", keys[small])
-        lm.put(root, f"small-{b}", sums[small].astype(np.int8))
-        lm.put(root, f"large-key-{b}", keys[large])
-        lm.put(root, f"large-{b}", (sums[large] / np.linalg.norm(sums[large], axis=1, keepdims=True)).astype(np.float32))
-        return pd.DataFrame({"bucket": [b], "n": [int((most > 0).sum())]})
+        put_bucket(root, b, keys, sums)
+        return pd.DataFrame({"bucket": [b], "n": [len(keys)]})
 
     dealt = docs.select("text").mapInArrow(contexts(bits), PACKED)
-    found = s.keep(dealt.groupBy("bucket").applyInPandas(write, "bucket long, n long"), "buckets").collect()  # a row a bucket
-    return Trained(root, bits, frozenset(r["bucket"] for r in found))
+    s.keep(dealt.groupBy("bucket").applyInPandas(write, "bucket long, n long"), "buckets")
+    return Trained(root, bits)
 
 
 @dataclass
@@ -391,9 +413,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     known = trained(docs, s)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Words([], NOTHING, known)
         for batch in batches:
-            x = [v.tobytes() for a in range(0, len(batch), 256) for v in of.all_pooled(batch.column("text").slice(a, 256).to_pylist())]
+            x = [v.tobytes() for run in runs_of(batch.column("text")) for v in pooled(run, known)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("quality"), pa.array(x, pa.binary())], names=["row", "quality", "x"])
 
     got = rows.select("row", "quality", "text").mapInArrow(features, "row long, quality int, x binary").toPandas().sort_values("row")
@@ -412,12 +433,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        of = Words([], NOTHING, m.words)
         for batch in batches:
             texts = batch.column("text")
             s = np.full(len(texts), m.constant)
-            for a in range(0, len(texts) if m.net else 0, 256):
-                s[a : a + 256] = m.net.scores(of.all_pooled(texts.slice(a, 256).to_pylist()))
+            if m.net:
+                s = np.concatenate([np.zeros(0), *(m.net.scores(pooled(run, m.words)) for run in runs_of(texts))])
             yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(s)], names=[key, "score"])
 
     return docs.select(key, "text").mapInArrow(each, f"{key} long, score double")

@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 def by_label(rows: DataFrame, label: str, most: int) -> tuple[DataFrame, dict]:
     """(row, label) of ``most`` rows for each value of ``label`` in (row, label), and the share taken of each.
 
-    A null label is left out.  Each task keeps ``most`` rows of a label before
-    any are shuffled, so a label that holds most rows does no harm.
+    A null label is left out.  Only rows whose hash lies so low that about
+    2 * most + 50 of a label do are ranked, so no task gets all rows of a label;
+    that these are fewer than ``most`` has a chance below 1e-9 (then there are a
+    few rows less).
     """
     rows = rows.where(F.col(label).isNotNull())
-    share = {r[0]: min(1.0, most / r[1]) for r in rows.groupBy(label).count().collect()}
-    order = W.partitionBy(label).orderBy(F.xxhash64("row", F.lit(17)), "row")
-    return rows.select("row", label, F.row_number().over(order).alias("rank_")).where(F.col("rank_") <= most).drop("rank_"), share
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row a label
+    if not counts:
+        return rows.select("row", label).limit(0), {}
+    below = F.create_map(*[F.lit(v) for x, n in counts.items() for v in (x, int(min(1.0, (2 * most + 50) / n) * (1 << 40)))])
+    drawn = F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1 << 40))
+    low = rows.select("row", label, drawn.alias("drawn_")).where(F.col("drawn_") < F.element_at(below, F.col(label)))
+    ranked = low.select("row", label, F.row_number().over(W.partitionBy(label).orderBy("drawn_", "row")).alias("rank_"))
+    return ranked.where(F.col("rank_") <= most).drop("rank_"), {x: min(1.0, most / n) for x, n in counts.items()}
 
 
 def one_label(labels: DataFrame, label: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from tokenizers import Tokenizer
@@ -31,6 +32,20 @@ def test_same_as_the_library(library, coder):
         assert coder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_character_is_of_the_library_s_kind(library, coder):
+    """Letters, numbers, lower case and compositions of the library's own Unicode version, new characters included."""
+    every = [chr(c) for c in range(0x80, 0x32000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(every), 512):
+        text = " ".join(f"a{c}1{c}" for c in every[k : k + 512])
+        words = [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+        assert len(coder.split(text)) == len(words), hex(ord(every[k]))
+    rng = random.Random(9)
+    new = [*range(0x1C89, 0x1C8B), 0xA7CB, 0xA7DC, *range(0x105C0, 0x105F4), *range(0x10940, 0x10960), 0x10D50, *range(0x11DE0, 0x11DEA), *range(0x11380, 0x113D0), *range(0x16D40, 0x16D6B), 0x20D9, 0x307]
+    for _ in range(1500):
+        text = "".join(rng.choice([chr(rng.choice(new)), rng.choice("aZ1 !ÉΣ"), chr(rng.randrange(0x250, 0x3100))]) for _ in range(rng.randrange(1, 12)))
+        assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_shared_prefixes_do_not_change_a_word(coder, library):
     words = ["the", "then", "thenc", "thence", "thenceforth", "thencefort", "th", "t", "theme", "themes", "tthe"]
     together = coder.v.encode_words(words)

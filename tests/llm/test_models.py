@@ -55,10 +55,51 @@ def test_quality_accuracy(spark):
     assert sum(right(1)) / len(right(1)) >= 0.98 and sum(right(0)) / len(right(0)) >= 0.85
 
 
-def test_word_forms():
-    assert quality.form("Abc") != quality.form("ABC") != quality.form("abc") and quality.form("!!") != quality.form("%%%")
-    w = quality.Words([], quality.NOTHING)
-    assert w.pooled("").shape == w.pooled("one two two").shape and not w.pooled(None).any()
+TERM = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
+
+
+def form(term):
+    """The form of a term, as the module's text has it."""
+    if term[0].isdecimal():
+        return "0", min(len(term), 8)
+    if re.match(r"[^\W\d_]", term):
+        case = "A" if term.isupper() and len(term) > 1 else "a" if term.islower() else "Aa" if len(term) == 1 or (term[0].isupper() and term[1:].islower() and all(c.islower() for c in term[1:])) else "aA"
+        return case, min(len(term) // 3, 6)
+    return "mark", term[:3]
+
+
+def hash_of(word):
+    return quality.terms_of([word]).word
+
+
+def test_terms_words_and_forms():
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(0, 256, 80))) for _ in range(200)] + ["Ωμέγα ABC Abc aBc a A ½x 12 ١٢ !!!! __ 日本語", None, "", "İstanbul ǅ ß"]
+    got = quality.terms_of(texts)
+    terms = [(i, x) for i, t in enumerate(texts) for x in TERM.findall(t or "")]
+    assert got.text.tolist() == [i for i, _ in terms]
+    lower = ["".join(c.lower() if len(c.lower()) == 1 else c for c in x) for _, x in terms]
+    for hashes, names in ((got.exact, [x for _, x in terms]), (got.word, lower), (got.form, [form(x) for _, x in terms])):
+        pairs = set(zip(hashes.tolist(), names, strict=True))
+        assert len(pairs) == len({h for h, _ in pairs}) == len({x for _, x in pairs})
+
+
+def test_pooling_by_hand(spark):
+    """Means over words and distinct words, of words and forms, one text at a time and in any company."""
+    texts = ["one two two Two", None, "", "a", "!! !! x 12 12 12", "one two three one", "Ωμέγα ωμέγα"]
+    known = quality.trained(spark.createDataFrame([(t,) for t in texts], "text string"), quality.Scratch(spark, "pool"))
+    for text, got in zip(texts, quality.pooled(texts, known), strict=True):
+        terms = TERM.findall(text or "")
+        again = sum(a == b for a, b in zip(terms, terms[1:], strict=False))
+        if not terms:
+            assert not got.any()
+            continue
+        counts = {t: terms.count(t) for t in terms} | ({"<again>": again} if again else {})
+        word = {t: known.vectors(hash_of(t))[0] if t != "<again>" else np.zeros(quality.SIZE) for t in counts}
+        shape = {t: quality.form_vectors(quality.terms_of([t]).form if t != "<again>" else np.array([quality.AGAIN], np.uint64))[0] for t in counts}
+        means = [sum(f(t) * side[t] for t in counts) / total for side in (word, shape) for f, total in ((counts.get, len(terms)), (lambda t: 1, len(counts)))]
+        want = np.concatenate([*means, [1, np.log(len(terms)), len(counts) / len(terms)]])
+        assert np.allclose(got, want, atol=1e-5) and np.allclose(quality.pooled([text], known)[0], got, atol=1e-6)
 
 
 def test_word_vectors_of_all_documents(spark):
@@ -67,50 +108,19 @@ def test_word_vectors_of_all_documents(spark):
     texts = [" ".join(f"{'Wort' if k % 2 else 'wort'}{'abcdefghij'[x]}" for k, x in enumerate(rng.integers(0, 10, n))) for n in (0, 1, 2, 3, 50, 30_000)]
     texts += ["einmal hier", "allein", None]
     want: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(quality.SIZE))
+    index = {}
     for t in texts:
-        terms = [x.lower() for x in quality.TERM.findall(t or "")]
+        terms = [x.lower() for x in TERM.findall(t or "")]
+        index |= {w: quality.index_counts(hash_of(w))[0] for w in set(terms) - index.keys()}
         for i, w in enumerate(terms):
             for j in range(max(0, i - quality.AROUND), min(len(terms), i + quality.AROUND + 1)):
-                want[w] += quality.index_counts(quality.encoded([terms[j]]))[0] if i != j else 0
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+                want[w] += index[terms[j]] if i != j else 0
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
-    words_ = quality.Words([], quality.NOTHING, quality.train(spark, docs, labels).words)
+    known = quality.train(spark, docs, labels).words
     for w, v in want.items():
         norm = np.linalg.norm(v)
-        assert np.allclose(words_.vectors[words_.of(w)[0]], quality.index_vector(w) + (v / norm if norm else 0), atol=1e-6)
-    assert (words_.vectors[words_.of("nirgends")[0]] == quality.index_vector("nirgends")).all()
-
-
-def brute_lm(texts):
-    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in texts.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    c, pairs = Counter(), Counter()
-    for i, w in tokens.items():
-        if not held[i]:
-            c.update(w)
-            pairs.update(zip([None, *w], w, strict=False))
-    follows, kinds = Counter(v for _, v in pairs), defaultdict(lambda: [0, 0, 0])
-    for (u, _), n in pairs.items():
-        kinds[u][min(n, 3) - 1] += 1
-    of = lambda counts: (0.0, *lm.discounts(*[sum(x == k for x in counts) for k in (1, 2, 3, 4)]))
-    d, e = of(pairs.values()), of(follows.values())
-    rest = sum(e[min(n, 3)] for n in follows.values()) / len(pairs)
-
-    def lower(v):
-        return (follows[v] - e[min(follows[v], 3)]) / len(pairs) + rest / (len(c) + 1)
-
-    def p(u, v):
-        if u not in c:
-            return lower(v)
-        n = pairs.get((u, v), 0)
-        return (n - d[min(n, 3)]) / c[u] + sum(d[k + 1] * kinds[u][k] for k in range(3)) / c[u] * lower(v)
-
-    total = sum(c.values())
-    out = {}
-    for i, w in tokens.items():
-        base = sum(math.log10((c[v] + 1) / (total + len(c) + 1)) for v in w)
-        out[i] = (held[i], len(w), sum(v in c for v in w), total, base, sum(math.log10(p(u, v)) for u, v in zip([None, *w], w, strict=False)))
-    return out, p, c
+        assert np.allclose(known.vectors(hash_of(w))[0], quality.index_vectors(hash_of(w))[0] + (v / norm if norm else 0), atol=1e-6)
 
 
 def test_scores_against_brute_force(spark, small):
