@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once (one text may be longer).
 RUN_BYTES = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Words of up to so many bytes are polynomials in BASE.  Modulo 2^64 those of longer words can be made to agree
+#: (a Thue-Morse word of 1,024 letters and its complement do), so each of their bytes is mixed with its place.
+PLAIN = 64
 #: Stands for the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -68,8 +71,12 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     begin = np.searchsorted(kept, at) if len(kept) < len(data) else at
     sizes = np.diff(np.append(begin, len(kept)))
     place = np.arange(len(kept)) - np.repeat(begin, sizes)
-    power = _powers(1 << int(sizes.max()).bit_length())
-    sums = np.add.reduceat(VALUE[data[kept]] * power[place], begin)
+    values = VALUE[data[kept]]
+    terms = values * _powers(PLAIN)[np.minimum(place, PLAIN - 1)]
+    if sizes.max() > PLAIN:
+        long = np.repeat(sizes > PLAIN, sizes)
+        terms[long] = mix(values[long] + mix(place[long].astype(np.uint64) + END))
+    sums = np.add.reduceat(terms, begin)
     return mix(sums + sizes.astype(np.uint64) * END), firsts
 
 

@@ -93,6 +93,18 @@ def test_word_hashes():
     assert h[0] == h[3] and h[1] == h[4] and h[5] != h[6] and len(set(h.tolist())) == 6
 
 
+def test_long_words_that_any_polynomial_hash_confuses(spark):
+    """Thue-Morse words and their complements agree modulo 2^64 whatever the base, from 1,024 letters on."""
+    for k in (6, 7, 10, 12, 15):
+        a = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << k))
+        b = a.translate(str.maketrans("ab", "ba"))
+        data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+        h, _ = words.word_hashes(data, np.array([0, len(data)]))
+        assert h[0] == h[2] and h[0] != h[1]
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y"), (3, f"x {a} y")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.op4_bottom_k(spark, docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_exact_groups_of_the_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     by = defaultdict(list)

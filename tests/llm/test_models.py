@@ -123,6 +123,38 @@ def test_word_vectors_of_all_documents(spark):
         assert np.allclose(known.vectors(hash_of(w))[0], quality.index_vectors(hash_of(w))[0] + (v / norm if norm else 0), atol=1e-6)
 
 
+def brute_lm(texts):
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c, pairs = Counter(), Counter()
+    for i, w in tokens.items():
+        if not held[i]:
+            c.update(w)
+            pairs.update(zip([None, *w], w, strict=False))
+    follows, kinds = Counter(v for _, v in pairs), defaultdict(lambda: [0, 0, 0])
+    for (u, _), n in pairs.items():
+        kinds[u][min(n, 3) - 1] += 1
+    of = lambda counts: (0.0, *lm.discounts(*[sum(x == k for x in counts) for k in (1, 2, 3, 4)]))
+    d, e = of(pairs.values()), of(follows.values())
+    rest = sum(e[min(n, 3)] for n in follows.values()) / len(pairs)
+
+    def lower(v):
+        return (follows[v] - e[min(follows[v], 3)]) / len(pairs) + rest / (len(c) + 1)
+
+    def p(u, v):
+        if u not in c:
+            return lower(v)
+        n = pairs.get((u, v), 0)
+        return (n - d[min(n, 3)]) / c[u] + sum(d[k + 1] * kinds[u][k] for k in range(3)) / c[u] * lower(v)
+
+    total = sum(c.values())
+    out = {}
+    for i, w in tokens.items():
+        base = sum(math.log10((c[v] + 1) / (total + len(c) + 1)) for v in w)
+        out[i] = (held[i], len(w), sum(v in c for v in w), total, base, sum(math.log10(p(u, v)) for u, v in zip([None, *w], w, strict=False)))
+    return out, p, c
+
+
 def test_scores_against_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     want, p, c = brute_lm({r["doc_id"]: r["text"] for r in docs.collect()})
