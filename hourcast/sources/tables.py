@@ -51,9 +51,7 @@ def balanced(df: DataFrame, path: str) -> DataFrame:
     bytes, whatever the cluster's size: never more than that is shuffled.
     """
     spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if _bytes(spark, path) <= SPREAD_BYTES else df
 
 
 def require_columns(df: DataFrame, required: list[str], what: str = "input") -> None:
@@ -80,12 +78,89 @@ CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": F
 
 
 def read_text(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
-    """All columns as text.  ``multi_line`` reads line breaks inside quotes, a
-    file per task; without it large CSV files are split."""
+    """All columns as text.  ``multi_line`` reads line breaks inside quotes; larger
+    files are then cut by ``quoted_records``, so that many tasks read one file."""
+    if fmt == "csv" and multi_line and _is_large(spark, path):
+        return quoted_records(spark, path).drop("_file", "_record")
+    return _whole_files(spark, path, fmt, multi_line)
+
+
+def _whole_files(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     reader = spark.read.options(**CSV, inferSchema=False, multiLine=multi_line) if fmt == "csv" else spark.read
     return reader.format(fmt).load(path)
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def _is_large(spark: SparkSession, path: str) -> bool:
+    """More than one input split, going by the size."""
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return _bytes(spark, path) > split
+
+
+# A record whose quotes stand around whole fields and are doubled inside them.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+_RECORD = rf"^{_FIELD}(?:,{_FIELD})*+$"
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with line breaks inside quotes, cut into splits: ``_file``, ``_record`` (from 0) and all columns as text.
+
+    A line starts a record when an even number of quotes comes before it in its
+    file (doubled quotes leave that as it is).  Each split is read twice: first
+    its quotes and its lines after an even and an odd number of its own quotes
+    are counted, a row a split; prefixes over these rows then tell each split
+    whether it starts inside quotes and the number of its first record.  Lines
+    meet in a record by its number, also across splits.  Every file has a
+    header; blank lines are no records.  A quote inside a field that is not
+    quoted would shift all records after it, so it is an error.
+    """
+    columns = _whole_files(spark, path).columns
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", *where).withColumn("_id", F.monotonically_increasing_id())
+    lines = lines.withColumn("_quotes", F.length("value") - F.length(F.translate("value", '"', "")))
+    inside = Window.partitionBy("_file", "_block").orderBy("_id")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("_odd", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)) % 2)
+    filled = ~F.col("value").isin("", "\r")
+    starts = lambda odd: filled & (F.col("_odd") == odd)
+    splits = lines.groupBy("_file", "_block").agg(
+        (F.sum("_quotes") % 2).alias("_turns"), F.count_if(starts(0)).alias("_even_starts"), F.count_if(starts(1)).alias("_odd_starts")
+    )
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_open", F.coalesce(F.sum("_turns").over(before), F.lit(0)) % 2)
+    own = F.when(F.col("_open") == 0, F.col("_even_starts")).otherwise(F.col("_odd_starts"))
+    splits = splits.withColumn("_first", F.coalesce(F.sum(own).over(before), F.lit(0))).select("_file", "_block", "_open", "_first")
+    lines = lines.join(splits, ["_file", "_block"]).withColumn("_starts", F.col("_odd") == F.col("_open"))
+    lines = lines.where(~F.col("_starts") | filled)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("_record", F.col("_first") + F.sum(F.col("_starts").cast("bigint")).over(upto) - 1)
+    parts = F.array_sort(F.collect_list(F.struct("_block", "_id", "value")))
+    records = lines.groupBy("_file", "_record").agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("_text"))
+    text = F.regexp_replace("_text", "\r$", "")
+    records = records.where("_record > 0").select("_file", F.col("_record") - 1, text)
+    records = records.toDF("_file", "_record", "_text")
+    checked = F.when(F.col("_text").rlike(_RECORD), F.col("_text")).otherwise(
+        F.raise_error(F.concat(F.lit("quotes that do not enclose a field, in record "), F.col("_record").cast("string"), F.lit(" of "), F.col("_file")))
+    )
+    names = [f"c{i}" for i in range(len(columns))]
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV.items() if k != "header"} | {"multiLine": "true"}
+    row = F.from_csv(checked, ", ".join(f"{n} string" for n in names), options)
+    parsed = records.select("_file", "_record", row.alias("_row"))
+    return parsed.select("_file", "_record", *[F.col(f"_row.{n}").alias(c) for n, c in zip(names, columns, strict=True)])
+
+
+def by_file_and_record(df: DataFrame) -> DataFrame:
+    """``df`` (``_file``, ``_record``) with ``row_idx``, the place of each row by file name and record; the joined table has a row a file."""
+    files = df.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return df.join(files, "_file").withColumn("row_idx", F.col("_before") + F.col("_record")).drop("_file", "_record", "_before")
+
+
 def in_file_order(df: DataFrame, file: str = "_file", block: str = "_block") -> DataFrame:
     """``df`` with ``row_idx``: the place of each row, by file name and then inside the file.
 
@@ -107,10 +182,13 @@ def read_projects(spark: SparkSession, path: str, upload_seq: int, fmt: str = "c
     Adds ``upload_seq`` (given) and ``row_idx`` (the position by file name and
     inside the file), so that "last row wins" follows file order.
     """
-    df = read_text(spark, path, fmt, multi_line)
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    df = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns] + where)
-    return balanced(in_file_order(df).withColumn("upload_seq", F.lit(upload_seq).cast("bigint")), path)
+    if fmt == "csv" and multi_line and _is_large(spark, path):
+        ordered = by_file_and_record(quoted_records(spark, path))
+    else:
+        df = _whole_files(spark, path, fmt, multi_line)
+        where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+        ordered = in_file_order(df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns] + where))
+    return balanced(ordered.withColumn("upload_seq", F.lit(upload_seq).cast("bigint")), path)
 
 
 def read_quotes(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:

@@ -79,3 +79,56 @@ def test_metrics_are_read_back(spark, tmp_dir):
     rows = [("me10_actual_hours", "v1", 5, 1.5, 0.25, "/a b/c")]
     tables.write_csv(spark.createDataFrame(rows, tables.METRICS_SCHEMA), os.path.join(tmp_dir, "m"))
     assert [tuple(r) for r in tables.read_metrics(spark, os.path.join(tmp_dir, "m")).collect()] == rows
+
+
+@pytest.fixture()
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_quoted_csv_is_cut_into_splits(spark, tmp_dir, small_splits):
+    """Line breaks, doubled quotes, blanks and records longer than a split, against pandas and the reader of whole files."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(3)
+    piece = ["a", '"', "\n", ",", " ", "\n\n", "é", "", "'", '""', "x" * 90, "\\"]
+    cell = lambda: "".join(rng.choices(piece, k=rng.choice([0, 1, 3, 8, 60])))
+    src, want = os.path.join(tmp_dir, "files"), []
+    os.makedirs(src)
+    for k, n in enumerate((1, 40, 7, 150)):
+        rows = [(f"{k}-{i}", cell(), cell()) for i in range(n)]
+        want += rows
+        # LF, and CRLF after each record with blank lines in between
+        end = "\n" if k != 2 else "\r\n\r\n"
+        pd.DataFrame(rows, columns=["project_id", 'the "b"\nof it', "c"]).to_csv(os.path.join(src, f"part-{k}.csv"), index=False, lineterminator=end)
+    got = tables.quoted_records(spark, src)
+    assert spark.read.text(src).rdd.getNumPartitions() > 8
+    wanted = sorted([tuple(x or None for x in r) for r in want], key=str)
+    assert sorted(map(tuple, got.drop("_file", "_record").collect()), key=str) == wanted
+    # the reader of whole files takes LF for the end of a line where a quoted header has it
+    whole = tables._whole_files(spark, os.path.join(src, "part-[013].csv"))
+    assert whole.columns == got.columns[2:]
+    assert sorted(map(tuple, whole.collect()), key=str) == [r for r in wanted if not r[0].startswith("2-")]
+    ordered = tables.read_projects(spark, src, 2).orderBy("row_idx").collect()
+    assert [r.project_id for r in ordered] == [r[0] for r in want] and [r.row_idx for r in ordered] == list(range(len(want)))
+    assert sorted(r.project_id for r in tables.read_quotes(spark, src).collect()) == sorted(r[0] for r in want)
+
+
+def test_stray_quotes_are_an_error_where_a_file_is_split(spark, tmp_dir, small_splits):
+    src = os.path.join(tmp_dir, "stray.csv")
+    with open(src, "w") as f:
+        f.write("a,b\n" + "".join(f'{i},pipe of 5" width\n' for i in range(100)))
+    with pytest.raises(Exception, match="do not enclose a field"):
+        tables.read_text(spark, src).collect()
+
+
+def test_empty_and_header_only_files(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "h.csv")
+    with open(src, "w") as f:
+        f.write("a,b\n")
+    assert tables.quoted_records(spark, src).count() == 0 and tables.quoted_records(spark, src).columns == ["_file", "_record", "a", "b"]
