@@ -32,7 +32,7 @@ from hourcast.config import (
 from hourcast.functions.text import to_num
 from hourcast.operators import forest as forests
 from hourcast.operators.scoring import TREES_TABLE, load_paths, new_run, publish, remember, score_one
-from hourcast.session import drop_path, scratch_path, ship_package
+from hourcast.session import drop_at_exit, drop_path, scratch_path, ship_package
 from hourcast.sources.tables import METRICS_SCHEMA
 
 KEY_COLS = ("project_id", "upload_seq", "row_idx")
@@ -141,8 +141,13 @@ def exact_medians(values: DataFrame, by: list[str], value: str = "value") -> Dat
     hot value costs a row a task.  Counts per bin of near values give the bins
     that hold the middle (at most two a group); only their values are ranked.
     """
+    return counted_medians(values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), by, value)
+
+
+def counted_medians(counts: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """``exact_medians`` of values that are counted already: ``(*by, value, _c)``, each value once a group, none null."""
     v = F.col(value)
-    counts = values.filter(v.isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_bin", _value_bin(v))
+    counts = counts.withColumn("_bin", _value_bin(v))
     bins = counts.groupBy(*by, "_bin").agg(F.sum("_c").alias("_n"))
     order = Window.partitionBy(*by).orderBy("_bin")
     bins = bins.withColumn("_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -158,6 +163,17 @@ def exact_medians(values: DataFrame, by: list[str], value: str = "value") -> Dat
     return ends.select(*by, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
 
 
+def value_counts(split: DataFrame) -> DataFrame:
+    """``(target, feature, num, cat, n)``: how many training rows of each target have each value of each feature, null included."""
+    nums = [c for c in QUOTE_NUM_FEATURES if c in split.columns]
+    cats = [c for c in QUOTE_CAT_FEATURES if c in split.columns]
+    item = lambda c, num, cat: F.struct(F.lit(c).alias("feature"), num.cast("double").alias("num"), cat.cast("string").alias("cat"))
+    none = F.lit(None)
+    items = [item(c, F.col(c), none) for c in nums] + [item(c, none, F.col(c)) for c in cats]
+    long = split.filter(~F.col("is_test")).select("target", F.explode(F.array(*items)).alias("_v")).select("target", "_v.*")
+    return long.groupBy("target", "feature", "num", "cat").agg(F.count(F.lit(1)).alias("n"))
+
+
 def impute_values(split: DataFrame) -> DataFrame:
     """A6 + A7: per target, on the training split only, the exact median of
     each numeric feature and the most frequent value of each categorical
@@ -165,25 +181,21 @@ def impute_values(split: DataFrame) -> DataFrame:
     cat_value)``; a null value means the feature is all-null in training and
     is dropped from that model.  Both come from counts of equal values, so no
     task holds the values of a feature.
+
+    The split is evaluated once: its counts are a table in the shared folder,
+    which goes with the application, and all that follows reads those.
     """
-    nums = [c for c in QUOTE_NUM_FEATURES if c in split.columns]
-    cats = [c for c in QUOTE_CAT_FEATURES if c in split.columns]
-    train = split.filter(~F.col("is_test"))
-
-    def long(names: list[str], kind: str) -> DataFrame:
-        items = [F.struct(F.lit(c).alias("feature"), F.col(c).cast(kind).alias("value")) for c in names]
-        return train.select("target", F.explode(F.array(*items)).alias("_v")).select("target", "_v.*").filter("value is not null")
-
-    every = train.select("target").distinct().select("target", F.explode(F.array(*[F.lit(c) for c in nums + cats])).alias("feature"))
-    parts = []
-    if nums:
-        parts.append(exact_medians(long(nums, "double"), ["target", "feature"]).select("target", "feature", F.col("median").alias("num_value"), F.lit(None).cast("string").alias("cat_value")))
-    if cats:
-        counts = long(cats, "string").groupBy("target", "feature", "value").agg(F.count(F.lit(1)).alias("_c"))
-        best = counts.groupBy("target", "feature").agg(F.min(F.struct((-F.col("_c")).alias("_c"), "value")).alias("_b"))
-        parts.append(best.select("target", "feature", F.lit(None).cast("double").alias("num_value"), F.col("_b.value").alias("cat_value")))
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return every.join(found, ["target", "feature"], "left")
+    spark = split.sparkSession
+    path = scratch_path(spark, f"value-counts-{uuid.uuid4().hex}")
+    counted = value_counts(split)
+    counted.write.parquet(path)
+    drop_at_exit(spark, path)
+    counts = spark.read.schema(counted.schema).parquet(path)
+    every = counts.select("target", "feature").distinct()
+    medians = counted_medians(counts.filter("num is not null").select("target", "feature", F.col("num").alias("value"), F.col("n").alias("_c")), ["target", "feature"])
+    modes = counts.filter("cat is not null").groupBy("target", "feature").agg(F.min(F.struct((-F.col("n")).alias("_c"), "cat")).alias("_b"))
+    out = every.join(medians, ["target", "feature"], "left").join(modes, ["target", "feature"], "left")
+    return out.select("target", "feature", F.col("median").alias("num_value"), F.col("_b.cat").alias("cat_value"))
 
 
 def regression_metrics(df: DataFrame, by: str, label: str, prediction: str) -> DataFrame:

@@ -238,3 +238,22 @@ def test_exact_medians(spark):
 def test_no_statistic_keeps_values_in_a_buffer(spark, small_master):
     plan = training.impute_values(training.exact_split(training.training_long(small_master)))._jdf.queryExecution().executedPlan().toString()
     assert not any(f"{name}(" in plan for name in ("median", "percentile", "mode", "collect_set", "collect_list"))
+
+
+def test_imputation_evaluates_the_split_once(spark, small_master, tmp_dir):
+    import os
+
+    path = os.path.join(tmp_dir, "split")
+    training.exact_split(training.training_long(small_master)).write.parquet(path)
+    split = spark.read.parquet(path)
+    counted = training.value_counts(split)._jdf.queryExecution().executedPlan().toString()
+    assert counted.count("FileScan parquet") == 1
+    # everything after that reads the counts
+    out = training.impute_values(split)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    scans = [ln for ln in out._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in ln]
+    assert scans and all("value-counts-" in ln and path not in ln for ln in scans)
+    # every feature of every target, also those without a value
+    n_features = len([c for c in training.QUOTE_NUM_FEATURES + training.QUOTE_CAT_FEATURES if c in split.columns])
+    assert out.count() == out.select("target").distinct().count() * n_features
+    assert out.filter("feature = 'vision_type' and cat_value is not null").count() == 0
