@@ -97,10 +97,11 @@ def exact_split(
     Rows are ranked by an md5 order key; the test rows are the first
     ``ceil(test_size * n)`` of each target.  Instead of one window over a
     whole target (one task per target), rows are binned by the first hex
-    digits of the key: a small table of per-(target, bin) counts gives each
-    bin's offset, and ``row_number`` only runs inside a (target, bin) - a
-    group ~4096x smaller than the target.  Sizes are exact and independent
-    of partitioning.
+    digits of the key: a small table of per-(target, bin) counts gives the bin
+    of each target that holds its last test row.  Rows of all other bins are
+    decided where they are, without a shuffle; only those of that bin, some
+    1/4096 of the target, are ranked.  Sizes are exact and independent of
+    partitioning.
     """
     h = split_hash(F.col("target"), F.col(key), seed)
     df = long.withColumn("_h", h).withColumn("_bin", F.substring("_h", 1, SPLIT_BIN_CHARS))
@@ -112,13 +113,17 @@ def exact_split(
         "_bin",
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
         F.sum("_c").over(whole).alias("_n"),
+        "_c",
     )
-    # offsets: at most (#targets x 16**SPLIT_BIN_CHARS) rows - bounded broadcast
-    df = df.join(F.broadcast(offsets), ["target", "_bin"])
+    # the bin of each target that holds its last test row: at most a row a target
+    n_test = F.ceil(F.col("_n") * F.lit(test_size))
+    cut = offsets.withColumn("_n_test", n_test).filter((F.col("_before") < F.col("_n_test")) & (F.col("_before") + F.col("_c") >= F.col("_n_test")))
+    df = df.join(F.broadcast(cut.select("target", F.col("_bin").alias("_cut"), "_before", "_n_test")), "target", "left")
+    settled = df.filter(~F.col("_bin").eqNullSafe(F.col("_cut"))).withColumn("is_test", F.coalesce(F.col("_bin") < F.col("_cut"), F.lit(False)))
     order = [F.col("_h")] + ([F.col(tiebreak)] if tiebreak in df.columns else [])
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("target", "_bin").orderBy(*order))
-    n_test = F.ceil(F.col("_n") * F.lit(test_size))
-    return df.withColumn("is_test", rank <= n_test).drop("_h", "_bin", "_before", "_n")
+    ranked = df.filter(F.col("_bin") == F.col("_cut")).withColumn("is_test", rank <= F.col("_n_test"))
+    return settled.unionByName(ranked).drop("_h", "_bin", "_cut", "_before", "_n_test")
 
 
 # Steps of the median's bins for each doubling of a value.

@@ -1,5 +1,6 @@
 """M1-M14 on a small synthetic master: split sizes, metrics, forest invariants."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -257,3 +258,17 @@ def test_imputation_evaluates_the_split_once(spark, small_master, tmp_dir):
     n_features = len([c for c in training.QUOTE_NUM_FEATURES + training.QUOTE_CAT_FEATURES if c in split.columns])
     assert out.count() == out.select("target").distinct().count() * n_features
     assert out.filter("feature = 'vision_type' and cat_value is not null").count() == 0
+
+
+def test_split_sizes_are_exact_with_equal_keys_and_any_share(spark):
+    """A third of the rows under a null key, all in one bin, among distinct ones; shares that cut inside and outside it."""
+    rows = [("t", None if i % 3 == 0 else str(i), i) for i in range(300)] + [("one", "a", 0)]
+    long = spark.createDataFrame(rows, "target string, project_id string, row_idx long").repartition(5)
+    for share in (0.0, 0.01, 0.25, 0.5, 0.75, 1.0):
+        got = training.exact_split(long, test_size=share).collect()
+        assert sorted((r.target, r.row_idx) for r in got) == sorted((t, i) for t, _, i in rows)
+        assert sum(r.is_test for r in got if r.target == "t") == math.ceil(300 * share)
+        # the order by key, equal keys by row
+        key = lambda r: (hashlib.md5(f"t|{r.project_id or '<null>'}|{training.SPLIT_SEED}".encode()).hexdigest(), r.row_idx)
+        ordered = sorted((r for r in got if r.target == "t"), key=key)
+        assert [r.is_test for r in ordered] == sorted((r.is_test for r in ordered), reverse=True)
