@@ -94,6 +94,26 @@ class Scratch:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
+def dealt(s: Scratch, rows: DataFrame, h: str, total: int, own: Column | int, bound: int) -> DataFrame:
+    """``rows`` (row, ``h``, ...) with a ``bin``: the remainder of the hash ``h`` by ``own``, the number of bins.
+
+    A value of ``h`` that more than ``bound`` rows have goes to bins of its own,
+    of some ``bound`` rows each, by row id.  Such values are looked for only among
+    the rows of crowded remainders by ``total``, which a count of few groups finds.
+    Row ids thus decide nothing but among rows that share a value of ``h``.
+    """
+    slot = F.pmod(F.col(h), F.lit(total).cast("long"))
+    crowded = s.keep(rows.groupBy(slot.alias("slot_")).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > bound).select("slot_"), "crowded")
+    among = rows.select(h, slot.alias("slot_")).join(crowded, "slot_", "left_semi")
+    often = s.keep(among.groupBy(h).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > bound), "often")
+    plain = F.pmod(F.col(h), (F.lit(own) if isinstance(own, int) else own).cast("long"))
+    if often.isEmpty():
+        return rows.withColumn("bin", plain)
+    part = F.pmod(F.xxhash64("row"), F.expr(f"n_ div {bound} + 1"))
+    further = total + F.shiftrightunsigned(F.xxhash64(h, part), 2)
+    return rows.join(often, h, "left").withColumn("bin", F.when(F.col("n_").isNull(), plain).otherwise(further)).drop("n_")
+
+
 def offsets(cells: DataFrame, group: list[str], coarse: str, fine: str, value: str, out: str, whole: bool = True) -> DataFrame:
     """``cells`` with the sum of ``value`` over the cells before each, in the order coarse, fine, within ``group``.
 

@@ -12,8 +12,9 @@ agree to the last bit.
 rounding along documents ordered by size: running sums of fractions decide, so
 neighbours of like size make up for each other.  What is still missing of a
 source's target goes to its smallest documents that can still be rounded the
-other way.  Running sums come from (source, size class, bin) cells, so a
-source with a third of all rows is dealt to many tasks.
+other way.  Running sums come from (source, size class, bin) cells.  A source has
+bins by its own number of rows, and repeats of one (source, doc_id, size) have
+bins of their own, so either may hold a third of all rows.
 
 Weights 5, 2, 1 repeat over the sources by code point, a null source last.
 Targets share the total of all sizes by weight; none exceeds three times its
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hourcast.llm.common import WORD, Scratch, fresh, narrow, offsets
+from hourcast.llm.common import WORD, Scratch, dealt, fresh, narrow, offsets
 
 WEIGHTS, MOST = (5, 2, 1), 3
 STEPS, CLOSE = 60, 1e-9
@@ -42,8 +43,8 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(rows: DataFrame) -> DataFrame:
-    """(s, source, source_size, scale, target) of each source; s is its place by code point."""
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size").cast("decimal(38,0)") * F.col("size")).cast("double").alias("sq"))
+    """(s, source, n, source_size, scale, target) of each source; s is its place by code point, n its rows."""
+    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"), F.sum(F.col("size").cast("decimal(38,0)") * F.col("size")).cast("double").alias("sq"))
     # windows over sources, not over documents
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("s", F.row_number().over(by_name) - 1)
@@ -60,6 +61,7 @@ def targets(rows: DataFrame) -> DataFrame:
     return per.select(
         "s",
         "source",
+        "n",
         "source_size",
         F.coalesce(F.col("sq") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("scale"),
         F.least(bound, shared * F.col("weight")).alias("target"),
@@ -118,18 +120,18 @@ def running(rows: DataFrame, value: str, out: str) -> DataFrame:
     return rows.withColumn("in_cell", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(cells, cell).withColumn(out, F.col("before") + F.col("in_cell")).drop("before", "in_cell")
 
 
-def spread(per: DataFrame, bins: int) -> DataFrame:
-    """A row of each source for each bin, so that joins deal a source's documents to as many tasks."""
-    return per.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+def spread(per: DataFrame, used: DataFrame) -> DataFrame:
+    """A row of each source for each bin that it uses, so that joins deal a source's documents to as many tasks."""
+    return per.join(used, "s")
 
 
-def rounded(spark: SparkSession, rows: DataFrame, solved: DataFrame, bins: int, s: Scratch) -> DataFrame:
+def rounded(rows: DataFrame, solved: DataFrame, used: DataFrame, s: Scratch) -> DataFrame:
     """(row, doc_id, size, source_size, target, copies) of rows (row, doc_id, s, size, h, bin)."""
     # size classes: each size by itself up to 64, then 32 classes for each doubling
     klass = F.when(F.col("size") <= 64, F.col("size")).otherwise(F.floor(F.log2(F.col("size").cast("double")) * 32)).cast("long")
     w = F.when(F.col("m").isNull(), F.lit(float(MOST))).otherwise(rate(F.col("m"), F.col("size"), F.col("scale")))
     d = (
-        rows.join(spread(solved.select("s", "source_size", "scale", "target", "m"), bins), ["s", "bin"])
+        rows.join(spread(solved.select("s", "source_size", "scale", "target", "m"), used), ["s", "bin"])
         .withColumn("klass", klass)
         .withColumn("parts", F.when(F.col("size") == 0, 0).otherwise(F.round(w * PARTS)).cast("long"))
         .drop("scale", "m")
@@ -142,7 +144,7 @@ def rounded(spark: SparkSession, rows: DataFrame, solved: DataFrame, bins: int,
     d = d.withColumn("copies", F.col("least") + F.expr(f"(upto + fraction + {half}) div {PARTS} - (upto + {half}) div {PARTS}"))
     d = s.keep(d.drop("upto"), "copies")
     missing = d.groupBy("s").agg(F.round(F.max("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("missing"))
-    d = d.join(spread(missing, bins), ["s", "bin"])
+    d = d.join(spread(missing, used), ["s", "bin"])
     other_way = (F.col("size") > 0) & (F.col("fraction") > 0) & F.when(F.col("missing") > 0, F.col("copies") == F.col("least")).otherwise(F.col("copies") > F.col("least"))
     d = running(d.withColumn("spare", F.when(other_way, F.col("size")).otherwise(0)), "spare", "upto")
     turned = (F.col("spare") > 0) & (F.col("upto") + F.expr("spare div 2") < F.abs("missing"))
@@ -154,13 +156,17 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     s = Scratch(spark, "mix")
     named = s.keep(sizes(docs), "sizes")
     per = s.keep(targets(named), "targets")
-    bins = LEAST_BINS + named.count() // ROWS_PER_BIN
-    binned = named.withColumn("h", F.xxhash64("doc_id", "size")).withColumn("bin", F.pmod("h", F.lit(bins).cast("long")))
-    of = spread(per.select("s", F.col("source").alias("of")), bins).withColumnRenamed("bin", "of_bin")
+    total = LEAST_BINS + named.count() // ROWS_PER_BIN
+    # sources of more rows than a bin should hold have more bins: at most one such source for each ROWS_PER_BIN rows
+    large = s.keep(per.where(F.col("n") > ROWS_PER_BIN).select(F.col("source").alias("of"), (LEAST_BINS + F.expr(f"n div {ROWS_PER_BIN}")).alias("bins")), "large")
+    binned = named.withColumn("h", F.xxhash64("source", "doc_id", "size")).join(large, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    binned = s.keep(dealt(s, binned, "h", total, F.coalesce("bins", F.lit(LEAST_BINS)), ROWS_PER_BIN).drop("bins"), "binned")
+    used = s.keep(binned.select("source", "bin").distinct(), "used")
+    of = per.select("s", F.col("source").alias("of")).join(used.withColumnRenamed("bin", "of_bin"), F.col("source").eqNullSafe(F.col("of"))).drop("source")
     rows = binned.join(of, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("of_bin"))).drop("source", "of", "of_bin")
     rows = s.keep(rows, "rows")
     solved = s.keep(balance(spark, rows, per, s), "solved")
-    return rounded(spark, rows, solved, bins, s)
+    return rounded(rows, solved, of.select("s", F.col("of_bin").alias("bin")), s)
 
 
 def op9_entropy_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -12,7 +12,10 @@ the new nodes' arcs and what the bounds push on.
 Rows are laid out along the ring as bytes: (arc, bin, place, doc_id).  The
 driver sees the sum of each arc (n x vnodes numbers) and cuts arcs into
 ranges of bytes; a row goes where its middle byte lies.  Bins deal the rows
-of an arc, also those of one text, to many tasks.
+of an arc, also those of one text or of one (doc_id, text), to many tasks.
+
+One more shard takes the arcs before its own nodes, a share of 1 / (n + 1); the
+tight bound pushes some further rows on between the old shards.
 
 Null and empty text: size 1, key of the empty text.  Null ids come first.
 Repeated rows each get a slot.  An empty table gives an empty result.
@@ -20,14 +23,13 @@ Repeated rows each get a slot.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hourcast.llm.common import Scratch, narrow, offsets
+from hourcast.llm.common import Scratch, dealt, narrow, offsets
 
 SHARDS, VNODES, LOAD = 8, 128, 1.002
 #: Rows of a bin of an arc, were all rows in one arc.
@@ -81,7 +83,7 @@ def assign(spark: SparkSession, docs: DataFrame, n: int = SHARDS, vnodes: int =
     d = narrow(docs).select("row", "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("place"))
     rows = s.keep(d.withColumn("arc", arc_of(F.col("place"), places)), "rows")
     bins = LEAST_BINS + rows.count() // ROWS_PER_BIN
-    rows = rows.withColumn("bin", F.pmod(F.xxhash64("doc_id", "place"), F.lit(bins).cast("long")))
+    rows = dealt(s, rows.withColumn("h", F.xxhash64("doc_id", "place")), "h", bins, bins, ROWS_PER_BIN).drop("h")
 
     loads = [0] * len(places)
     for r in rows.groupBy("arc").agg(F.sum("size").alias("b")).collect():  # at most n x vnodes rows
@@ -113,7 +115,3 @@ def op10_bounded_ring(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
-
-def owner(places: list[int], owners: list[int], key: int) -> int:
-    """The shard of a key on an unbounded ring, for tests and for measures of movement."""
-    return owners[bisect.bisect_left(places, key) % len(places)]

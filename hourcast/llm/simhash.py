@@ -9,11 +9,12 @@ is the share of equal bits.
 Votes are summed two to a long (bit j low, bit j + 32 high), in 32 sums, so a
 text needs one aggregated row whatever its length: 2^31 code points fit.
 
-``edits`` brings each document together with the next one by (doc_id, text):
-documents are dealt to ranges of doc_id, and each range also gets a copy of
-the first row of the range after it (of the first range, for the last).  So
-one shuffle of the texts serves the edit, the votes and the comparison with
-the next fingerprint.  Null ids come first.  Equal rows follow one another.
+``edits`` brings each document together with the next one by (doc_id, hash of
+the text, text): documents are dealt to ranges of doc_id, and each range also
+gets a copy of the first row of the range after it (of the first range, for
+the last).  An id that many rows have, or no id, is a range of its own, cut
+into slices of the hash.  So one shuffle of the texts serves the edit, the
+votes and the comparison with the next fingerprint.  Null ids come first.  Equal rows follow one another.
 One document is its own next.  An empty table gives an empty result.
 
 ``links`` finds all pairs of distinct fingerprints within a Hamming radius r:
@@ -29,6 +30,7 @@ and of other documents whose fingerprint is equal or within RADIUS.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,28 +45,37 @@ WORDS = r"[\x20\x09-\x0D]+"
 LANES = [f"v{j}" for j in range(32)]
 
 
-def ranges(spark: SparkSession, docs: DataFrame) -> list[int]:
-    """Bounds that deal the ids to ranges of like counts."""
+def ranges(spark: SparkSession, docs: DataFrame) -> tuple[list[int], list[int]]:
+    """Bounds that deal the ids to ranges of like counts, and the slices of each range: of null ids, below the first bound, from each bound on."""
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    got = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 100 * n)).first()[0]
-    return sorted(set(got or []))
+    ids = F.col("doc_id").cast("long")
+    got, rows, with_id = docs.agg(F.percentile_approx(ids, [i / n for i in range(1, n)], 100 * n), F.count(F.lit(1)), F.count(ids)).first()
+    found = Counter(got or [])
+    often = {i: k for i, k in found.items() if k > 1}  # an id of more than a range's share
+    bounds = sorted({*found, *[i + 1 for i in often if i < 2**63 - 1]})
+    return bounds, [max(1, (rows - with_id) * n // max(rows, 1)), 1, *[often.get(b, 1) for b in bounds]]
 
 
 def edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(part, at, extra, doc_id, text, edited), text without null; extra rows stand for the next range's first."""
-    bounds = ranges(spark, docs)
+    bounds, slices = ranges(spark, docs)
     below = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(below))
-    # one row for each range: the range before it and its first id
-    first = d.groupBy("part").agg(F.min("doc_id").alias("first_id"))
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    d = d.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(below + 1))
+    held = F.get(F.array(*[F.lit(k).cast("long") for k in slices]), F.col("range"))
+    # the hash's upper 20 bits in ascending order, times the slices
+    slice_ = F.shiftright((F.shiftright("h", 44) + (1 << 19)) * held, 20)
+    d = d.withColumn("part", F.col("range") * (1 << 20) + slice_).drop("range")
+    # one row for each range: the range before it and where it begins
+    first = d.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     around = W.orderBy("part")
-    first = first.select(F.coalesce(F.lag("part").over(around), F.max("part").over(W.partitionBy())).alias("to"), F.col("part").alias("of"), "first_id")
-    heads = d.join(F.broadcast(first), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    first = first.select(F.coalesce(F.lag("part").over(around), F.max("part").over(W.partitionBy())).alias("to"), F.col("part").alias("of"), "first")
+    heads = d.join(F.broadcast(first), (F.col("part") == F.col("of")) & F.struct("doc_id", "h").eqNullSafe(F.col("first")))
     heads = heads.groupBy("to").agg(F.min("text").alias("text"))
-    heads = heads.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("to").alias("part"), F.lit(True).alias("extra"))
-    order = W.partitionBy("part").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
+    heads = heads.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(None).cast("long").alias("h"), F.col("to").alias("part"), F.lit(True).alias("extra"))
+    order = W.partitionBy("part").orderBy("extra", F.col("doc_id").asc_nulls_first(), "h", "text")
     both = d.withColumn("extra", F.lit(False)).unionByName(heads)
-    both = both.withColumn("at", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
+    both = both.withColumn("at", F.row_number().over(order)).withColumn("next", F.lead("text").over(order)).drop("h")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next"), F.lit(1), half))
     return both.select("part", "at", "extra", "doc_id", "text", F.when(~F.col("extra"), edited).alias("edited"))
@@ -138,7 +149,8 @@ def pairs(one: DataFrame, radius: int) -> DataFrame:
         raise ValueError("the radius must lie between 0 and 61")
     masks = F.array(*[F.lit(m).cast("long") for m in tables(radius)])
     dealt = one.select("fp", "copies", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "copies")
-    cells = dealt.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("t", "key"))).where("n > 1")
+    # counts are summed before the shuffle, so no task holds a cell whole
+    cells = dealt.join(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["t", "key"])
     parts = F.ceil(F.col("n") / CELL)
     a = cells.select("t", "key", F.pmod(F.xxhash64("fp"), parts).alias("part"), F.col("fp").alias("a"), F.col("copies").alias("a_copies"))
     b = cells.select("t", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("fp").alias("b"), F.col("copies").alias("b_copies"))

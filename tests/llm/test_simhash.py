@@ -19,6 +19,21 @@ def test_edits_follow_the_order(spark, small):
         assert got[i]["near_edited"] == bits(got[i]["fingerprint"], got[i]["edited_fingerprint"])
 
 
+def test_ids_that_many_rows_have(spark):
+    # no id for a third of the rows, one id for another: cut into ranges, in the order of hash and text
+    rows = [(None, f"null {i}") for i in range(400)] + [(50, f"fifty {i % 300}") for i in range(400)] + [(i, f"own {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bounds, slices = simhash.ranges(spark, docs)
+    assert slices[0] > 4 and max(slices[1:]) > 4 and len(slices) == len(bounds) + 2
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]))
+    want = sorted(hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a, b in zip([r["text"] for r in order], [r["text"] for r in order[1:] + order[:1]], strict=True))
+    edits = simhash.edits(spark, docs).where("not extra")
+    assert sorted(hashlib.sha256(r["edited"].encode()).hexdigest() for r in edits.collect()) == want
+    per = [r["count"] for r in edits.groupBy("part").count().collect()]
+    assert max(per) < 150
+
+
 def test_one_document_follows_itself(spark):
     r = simhash.op8_simhash(spark, spark.createDataFrame([(3, "ab cd")], "doc_id long, text string")).first()
     assert r["edited_sha256"] == hashlib.sha256(b"ab ab").hexdigest() and r["near_next"] == 1.0
