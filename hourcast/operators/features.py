@@ -90,13 +90,22 @@ def _derived_log_cost(df: DataFrame) -> Column:
     return F.lit(0.0)
 
 
-def with_log_cost(df: DataFrame, by: str | None = None) -> DataFrame:
+def log_cost_given(df: DataFrame) -> bool:
+    """C5's question, asked by one small job: has the log column any number?"""
+    if LOG_COST not in df.columns:
+        return False
+    given = to_num(F.col(LOG_COST), df.schema[LOG_COST].dataType)
+    return not df.select(given.alias("given")).where("given is not null").isEmpty()
+
+
+def with_log_cost(df: DataFrame, by: str | None = None, given: bool | None = None) -> DataFrame:
     """Table-level log-cost rule.
 
     If the log column is absent, or all-null within the scope, it is derived
     as ``log1p(money(quoted_materials_cost))`` (0.0 without a cost column);
     otherwise it is kept as is, partial nulls included.  The scope is the
-    whole frame (``by=None``) or each value of ``by`` (one upload).
+    whole frame (``by=None``) or each value of ``by`` (one upload).  Where the
+    answer is known (``given``), all is a projection, which a stream can have.
 
     Plans: whole-frame scope is a scalar subquery (one global aggregate,
     result inlined, no join); per-upload scope aggregates to one row per
@@ -104,16 +113,18 @@ def with_log_cost(df: DataFrame, by: str | None = None) -> DataFrame:
     shuffle key (one upload may be most of the rows).
     """
     derived = _derived_log_cost(df)
-    if LOG_COST not in df.columns:
+    if LOG_COST not in df.columns or given is False:
         return _replace(df, {LOG_COST: derived})
-    given = to_num(F.col(LOG_COST), df.schema[LOG_COST].dataType)
+    number = to_num(F.col(LOG_COST), df.schema[LOG_COST].dataType)
+    if given:
+        return _replace(df, {LOG_COST: number})
     if by is None:
-        all_null = df.select((F.count(given) == 0).alias("all_null")).scalar()
-        return _replace(df, {LOG_COST: F.when(all_null, derived).otherwise(given)})
+        all_null = df.select((F.count(number) == 0).alias("all_null")).scalar()
+        return _replace(df, {LOG_COST: F.when(all_null, derived).otherwise(number)})
     # one small row per upload: bounded by the number of uploads, never by rows
-    flags = df.groupBy(by).agg((F.count(given) == 0).alias("_log_all_null"))
+    flags = df.groupBy(by).agg((F.count(number) == 0).alias("_log_all_null"))
     out = df.join(F.broadcast(flags), on=by, how="left")
-    out = out.withColumn(LOG_COST, F.when(F.col("_log_all_null"), derived).otherwise(given))
+    out = out.withColumn(LOG_COST, F.when(F.col("_log_all_null"), derived).otherwise(number))
     return out.select(*df.columns)
 
 
@@ -146,12 +157,16 @@ def engineer_training(df: DataFrame, by: str | None = "upload_seq") -> DataFrame
     return clean_hours(df)
 
 
-def prepare_quotes(df: DataFrame) -> DataFrame:
-    """C1 -> C2 -> C6-C10 -> C5 for a quote batch (no row filter)."""
+def prepare_quotes(df: DataFrame, log_cost_given: bool | None = None) -> DataFrame:
+    """C1 -> C2 -> C6-C10 -> C5 for a quote batch (no row filter).
+
+    With ``log_cost_given`` (whether the batch holds log costs) it is row-local,
+    for a stream as for a table.
+    """
     df = clean_flags(df)
     df = clean_numbers(df)
     df = with_indices(df)
-    return with_log_cost(df, by=None)
+    return with_log_cost(df, by=None, given=log_cost_given)
 
 
 def _with_record_cost(df: DataFrame) -> DataFrame:

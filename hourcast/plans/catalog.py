@@ -17,14 +17,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.config import BOOL_COLS, PLAIN_NUM_FEATURES
+from hourcast.config import BOOL_COLS, MODEL_VERSION, PLAIN_NUM_FEATURES
 from hourcast.functions.text import money_to_num, norm_token, to_bool01, to_num
 from hourcast.operators import explore, features, master, rollup, sales, training
 from hourcast.operators import scoring
 from hourcast.plans import quoting
 from hourcast.session import content_key, drop_at_exit, path_exists, scratch_path, tune_session
 from hourcast.sources import fixtures
-from hourcast.sources.tables import upload_log_tail
+from hourcast.sources.tables import read_metrics, read_quotes, read_table, upload_log_tail, write_csv
 
 ROUND = 6
 SIMILAR_INDUSTRY = "BUILDING"
@@ -288,6 +288,60 @@ def q_holdout_metrics(spark, sf):
     return _rounded(training.holdout_baseline(training_split(spark, sf)))
 
 
+# --- files written and read back ------------------------------------------------------
+
+
+def _written_csv(spark: SparkSession, df: DataFrame, name: str) -> str:
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+    write_csv(df, path)
+    drop_at_exit(spark, path)
+    return path
+
+
+def given_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """S9 + S2: per-target figures of the given trees against 60 hours, as a metrics file that is read back."""
+    off = F.col("tree_value") - 60
+    figures = fixtures.tree_predictions(spark, sf).groupBy("operation").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.round(F.sum(F.abs(off)) / F.count(F.lit(1)), 3).alias("mae"),
+        F.round(1 - F.sum(off * off) / (F.sum((F.col("tree_value") - 50) * (F.col("tree_value") - 50)) + 1), 3).alias("r2"),
+    )
+    target = F.concat("operation", F.lit("_actual_hours")).alias("target")
+    out = figures.select(target, F.lit(MODEL_VERSION).alias("version"), "rows", "mae", "r2", F.lit("a, \"quoted\" path").alias("model_path"))
+    return read_metrics(spark, _written_csv(spark, out, "metrics"))
+
+
+def q_metrics_csv(spark, sf):
+    return given_metrics(spark, sf)
+
+
+def q_overview_given(spark, sf):
+    """A2 + A3 on the metrics file: operations with models and the mean MAE."""
+    return _rounded(explore.overview_models(given_metrics(spark, sf)))
+
+
+def q_model_quality(spark, sf):
+    """E7 on the metrics file."""
+    return explore.model_quality(given_metrics(spark, sf))
+
+
+def q_quotes_csv(spark, sf):
+    """S10 + S4: texts with quotes, commas, line breaks and blanks through a CSV export and the batch reader."""
+    p, k = F.col("o_orderpriority"), F.col("o_orderkey")
+    note = F.when(k % 5 == 0, F.concat(F.lit('say "'), p, F.lit('", twice')))
+    note = note.when(k % 5 == 1, F.concat(p, F.lit("\nsecond, line\n"))).when(k % 5 == 2, F.concat(F.lit("  "), p, F.lit(" "))).when(k % 5 == 3, F.lit('""'))
+    orders = read_table(spark, sf, "orders")
+    out = orders.select(k.cast("string").alias("quote_id"), note.alias("a, \"note\""), F.concat(F.lit("x"), F.col("o_custkey").cast("string")).alias("last"))
+    back = read_quotes(spark, _written_csv(spark, out, "quotes"))
+    return back.select("quote_id", F.col('`a, "note"`').alias("note"), "last")
+
+
+def q_record_costs(spark, sf):
+    """Quote records that give a plain materials cost."""
+    records = _records(spark, sf).withColumn("estimated_materials_cost", money_to_num(F.col("quoted_materials_cost")))
+    return _rounded(features.conform_quotes(records).select("quote_id", features.LOG_COST))
+
+
 # --- model-backed queries -----------------------------------------------------------
 
 # bumped whenever the saved-model layout changes, so artefacts written by an
@@ -438,6 +492,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exact_split": q_exact_split,
     "impute_values": q_impute_values,
     "holdout_metrics": q_holdout_metrics,
+    "metrics_csv": q_metrics_csv,
+    "overview_given": q_overview_given,
+    "model_quality": q_model_quality,
+    "quotes_csv": q_quotes_csv,
+    "record_costs": q_record_costs,
     "train_metrics": q_train_metrics,
     "train_rows": q_train_rows,
     "overview_models": q_overview_models,

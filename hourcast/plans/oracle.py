@@ -252,6 +252,32 @@ ORACLES["quote_rejects"] = f"""
 {_JUDGED}
 SELECT quote_id, reason FROM judged WHERE reason IS NOT NULL"""
 
+ORACLES["record_costs"] = f"""
+{_JUDGED}
+SELECT quote_id, round(ln(1 + {_money('quoted_materials_cost')}), {R}) AS log_quoted_materials_cost FROM judged WHERE reason IS NULL"""
+
+_GIVEN = f"""
+given AS (
+  SELECT operation || '_actual_hours' AS target, '{MODEL_VERSION}' AS version, count(*) AS rows,
+         round(sum(abs(tree_value - 60)) / count(*), 3) AS mae,
+         round(1 - sum((tree_value - 60) * (tree_value - 60)) / (sum((tree_value - 50) * (tree_value - 50)) + 1), 3) AS r2,
+         'a, "quoted" path' AS model_path
+  FROM ({TREES_SQL.format(**TABLES)}) GROUP BY operation)"""
+ORACLES["metrics_csv"] = f"{_with(_GIVEN)} SELECT * FROM given"
+ORACLES["overview_given"] = f"{_with(_GIVEN)} SELECT count(DISTINCT target) AS operations_with_models, round(avg(mae), {R}) AS avg_mae FROM given"
+ORACLES["model_quality"] = f"""
+{_with(_GIVEN)}
+SELECT 'mae' AS chart, replace(target, '_actual_hours', '') AS operation, mae AS value FROM given
+UNION ALL SELECT 'r2', replace(target, '_actual_hours', ''), r2 FROM given"""
+
+ORACLES["quotes_csv"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS quote_id,
+       CASE o_orderkey % 5 WHEN 0 THEN 'say "' || o_orderpriority || '", twice'
+                           WHEN 1 THEN o_orderpriority || chr(10) || 'second, line' || chr(10)
+                           WHEN 2 THEN '  ' || o_orderpriority || ' ' WHEN 3 THEN '""' END AS note,
+       'x' || o_custkey AS last
+FROM orders"""
+
 ORACLES["trainable_rows"] = f"""
 {_with(RAW_CTE, ENG, TRAIN)}
 SELECT row_idx, upload_seq, project_id FROM tr"""

@@ -1,9 +1,12 @@
 """Structured Streaming jobs: quotes -> scores, uploads -> master/models.
 
-Both run through ``foreachBatch`` so that each micro-batch is an ordinary
-DataFrame and the batch operators apply unchanged - including the
-table-level log-cost rule (C5), which is defined per batch/upload and so
-cannot be a plain streaming projection.  Progress lives in the streaming
+Uploads run through ``foreachBatch``, so that each micro-batch is an ordinary
+DataFrame and the batch operators apply unchanged.  Scoring is a projection but
+for the table-level log-cost rule (C5), which asks whether a batch holds any log
+cost.  ``score_stream`` asks that of each micro-batch by one small job and then
+scores it row by row, without writing it first.  Where it is known of all quotes
+(the column is always, or never, filled), ``scored_stream`` is the plain
+streaming projection, for any sink.  Progress lives in the streaming
 checkpoint folder, so a restarted job resumes after the last committed
 micro-batch; outputs are keyed by the stream and the batch id, so a replayed
 batch overwrites its output, master version and log row.
@@ -19,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from hourcast.operators import scoring
-from hourcast.operators.features import prepare_quotes
+from hourcast.operators.features import log_cost_given, prepare_quotes
 from hourcast.plans.upload import ingest_upload
 from hourcast.sources.tables import CSV, in_file_order
 
@@ -38,6 +41,14 @@ def read_text_stream(spark: SparkSession, path: str, columns: list[str], fmt: st
     return reader.format(fmt).load(path).select(*columns, *where)
 
 
+def scored_stream(quotes: DataFrame, models: list[scoring.OpModel], given: bool) -> DataFrame:
+    """C12 + M12 as a projection of ``quotes``, a stream or a table: no aggregate, no exchange, nothing written.
+
+    ``given`` says whether the log costs of the quotes are given; they are derived from the costs otherwise.
+    """
+    return scoring.score_wide(prepare_quotes(quotes, given), models, prepared=True, truncate=False)
+
+
 def score_stream(
     spark: SparkSession,
     quotes: DataFrame,
@@ -51,7 +62,8 @@ def score_stream(
     models = scoring.load_models(spark, models_dir)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        scored = scoring.score_wide(prepare_quotes(batch.drop("_file", "_block")), models, prepared=True)
+        quotes = batch.drop("_file", "_block")
+        scored = scored_stream(quotes, models, log_cost_given(quotes))
         scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             os.path.join(out_dir, f"batch_id={batch_id}")
         )

@@ -9,7 +9,8 @@ from hourcast.operators import scoring
 from hourcast.plans import catalog
 from hourcast.plans.upload import current_master, ingest_upload, master_versions, read_log
 from hourcast.sources.tables import in_file_order, read_text
-from hourcast.streaming import read_text_stream, score_stream, upload_stream
+from hourcast.operators.features import LOG_COST, prepare_quotes
+from hourcast.streaming import read_text_stream, score_stream, scored_stream, upload_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +73,30 @@ def test_streams(spark, tmp_dir):
     s = score_stream(spark, read_text_stream(spark, qsrc, qcols), models_dir, out, os.path.join(tmp_dir, "ck2"))
     s.awaitTermination(600)
     assert spark.read.parquet(out).count() == quotes.count()
+
+
+def test_scoring_streams_with_and_without_log_costs(spark, tmp_dir):
+    models_dir = catalog.models_for(spark, SF, {"trees": 4, "max_depth": 3})
+    models = scoring.load_models(spark, models_dir)
+    quotes = catalog.quote_batch(spark, SF).withColumnRenamed("row_idx", "quote_id").orderBy("quote_id").limit(60)
+    text = quotes.select([F.col(c).cast("string") for c in ["quote_id"] + ALL_FEATURES if c in quotes.columns and c != LOG_COST])
+    halves = [text.where("quote_id % 2 = 0").withColumn(LOG_COST, F.lit(None).cast("string")), text.where("quote_id % 2 = 1").withColumn(LOG_COST, F.expr("if(quote_id % 3 = 0, null, '9.5')"))]
+    assert all(h.count() > 5 for h in halves)
+    src, out, ck = (os.path.join(tmp_dir, n) for n in ("quotes", "scores", "ck"))
+    figures = lambda df: sorted((int(r.quote_id), round(r[LOG_COST] or -1.0, 9), round(r.total_p50, 9)) for r in df.collect())
+    for n, half in enumerate(halves):  # a file, a batch
+        half.coalesce(1).write.mode("append").option("header", True).csv(src)
+        score_stream(spark, read_text_stream(spark, src, text.columns + [LOG_COST]), models_dir, out, ck).awaitTermination(600)
+        want = scoring.score_wide(prepare_quotes(half), models, prepared=True)
+        assert figures(spark.read.parquet(os.path.join(out, f"batch_id={n}"))) == figures(want)
+    # known beforehand: a plain projection of the stream, without an exchange, into any sink
+    alone = os.path.join(tmp_dir, "alone")
+    halves[0].coalesce(1).write.option("header", True).csv(alone)
+    stream = scored_stream(read_text_stream(spark, alone, text.columns + [LOG_COST]).drop("_file", "_block"), models, False)
+    assert stream.isStreaming
+    plain = os.path.join(tmp_dir, "plain")
+    stream.writeStream.format("parquet").option("path", plain).option("checkpointLocation", os.path.join(tmp_dir, "ck-plain")).trigger(availableNow=True).start().awaitTermination(600)
+    assert figures(spark.read.parquet(plain)) == figures(scoring.score_wide(prepare_quotes(halves[0]), models, prepared=True))
+    table = spark.read.option("header", True).csv(alone)
+    plan = scored_stream(table, models, True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and plan.count("ArrowEvalPython") == 1
