@@ -1,35 +1,37 @@
-"""Language-model scores: interpolated modified Kneser-Ney bigrams, counted in Spark.
+"""Language-model scores: interpolated modified Kneser-Ney n-grams, counted in Spark.
 
-Tokens are lower-cased words and one end for each text, which also stands
-before a text's first word.  With counts c, and D(1), D(2), D(3+) from the
-numbers of bigrams seen once to four times,
+Tokens are lower-cased words and one end for each text; ends also stand before
+a text's first word.  The order n is a parameter (ORDER in the query).  With
+a(g) the count of an n-gram, and of a shorter one the number of words seen
+before it, h the words before w and h' those but the first,
 
-    p(v | u) = (c(uv) - D(c(uv))) / c(u) + g(u) * p(v)
-    g(u)     = (D(1) N1(u) + D(2) N2(u) + D(3+) N3+(u)) / c(u)
-    p(v)     = (n(v) - D'(n(v))) / n + g' / (V + 1)
+    p(w | h) = (a(hw) - D(a(hw)) + (D(1) N1(h) + D(2) N2(h) + D(3+) N3+(h)) * p(w | h')) / A(h)
 
-where Nk(u) counts the words seen k times after u, n(v) the words seen before
-v, n all bigrams, and D', g' are the same for those n(v).  A word that the
-training texts lack has the share g' / (V + 1) alone, and says nothing about
-what follows it.
+where A(h) adds up a(hw) over w, Nk(h) counts the w with a(hw) = k, and each
+order has D(1), D(2), D(3+) from the numbers of its grams with a = 1 to 4.
+Below single words lies 1 / (V + 1).  Where h was never seen, p(w | h) is
+p(w | h'); a word that the training texts lack has its share of 1 / (V + 1)
+alone, and says nothing about what follows it.
 
 Counting.  Each task counts its words by 64-bit hash, deals the counts to
 buckets of hashes as packed arrays, and a bucket's task adds them up: a sorted
-array of hashes, whose places number the words, and their counts.  Bigrams are
-pairs of these numbers in one 64-bit key; they are counted in the same way, in
-buckets of mixed keys, so no word, however frequent, weighs on one bucket.
-The last step gathers Nk and n(v) at the words.  All arrays are files in the
+array of hashes, whose places number the words, and their counts.  Grams are
+rows of these numbers, kept by a 64-bit hash of the row (of N grams one shares
+its hash with chance N / 2^64) in buckets of hashes, so no word, however
+frequent, weighs on one bucket.  A bucket's task adds up its grams and hands
+on, for each of their beginnings and ends, what the next lower order needs; so
+order follows order, down to words, in one job.  All arrays are files in the
 shared folder, written under a name of their own and then renamed, so a lost
 task can be repeated.
 
 Scoring.  Workers map the arrays into memory (files that are not on a mounted
 file system are fetched first) and look up a run of texts at a time, sorted.
 All counts grow with the corpus; nothing of it passes the driver but a few
-numbers a bucket.
+numbers a bucket of words and an order.
 
 Null and empty texts consist of their end.  Null ids count as the text '' in
 the split.  Repeated rows count and are scored each.  An empty table gives an
-empty result; without training rows every probability is that of g' = 1.
+empty result; without training rows every word has the probability 1.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +54,8 @@ from hourcast.llm import words
 from hourcast.llm.common import Scratch, remainder
 
 FOLDS, HELD_OUT = 7, 2
+#: The longest grams.
+ORDER = 3
 #: Bytes of text for each bucket of counts.
 BUCKET_BYTES = 32 << 20
 #: Distinct keys that a task gathers before it hands them on.
@@ -184,18 +188,29 @@ def with_ends(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.nd
 # --- the model ------------------------------------------------------------------
 
 
+Discounts = tuple[float, float, float]
+
+
+def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of word numbers; a single number stands for itself."""
+    keys = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        keys = words.mix(keys * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
+    return keys
+
+
 @dataclass
 class Model:
     """What is not in the files: where they are and the numbers that all lookups need."""
 
     root: str
     bits: int
+    order: int
     starts: list[int]  # the number of the first word of each bucket
     tokens: int
-    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    lower: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    discounts: dict[int, Discounts] = field(default_factory=dict)  # of each order
     bigrams: int = 0
-    rest: float = 1.0  # g'
+    rest: float = 1.0  # what the discounts of single words leave
 
     @property
     def types(self) -> int:
@@ -213,37 +228,55 @@ class Model:
                 out[own] = np.where(held[at] == hashes[own], at + self.starts[b], -1)
         return out
 
-    def at(self, name: str, numbers: np.ndarray) -> np.ndarray:
-        """The values of an array at sorted word numbers; 0 for -1."""
-        out = np.zeros(len(numbers), np.float64)
-        cuts = np.searchsorted(numbers, self.starts)
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            own = slice(cuts[b], cuts[b + 1])
-            out[own] = get(self.root, f"{name}-{b}")[numbers[own] - self.starts[b]]
-        return out
-
-    def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        mixed, out = words.mix(keys), np.zeros(len(keys), np.int64)
-        to = bucket_of(mixed, self.bits)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange((1 << self.bits) + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[b] : cuts[b + 1]]
-            held = get(self.root, f"pair-{b}")
-            if len(held):
-                at = np.minimum(np.searchsorted(held, keys[own]), len(held) - 1)
-                out[own] = np.where(held[at] == keys[own], get(self.root, f"pairs-{b}")[at], 0)
-        return out
+    def bucket(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """The bucket of each key of a gram of ``k`` words; in order where the keys are."""
+        if k == 1:
+            return np.searchsorted(self.starts, keys.astype(np.int64), "right") - 1
+        # grams outnumber words: a bucket for half the bytes of text where they are long
+        return bucket_of(keys, self.bits + (self.order > 2))
+
+    def look_up(self, columns: list[np.ndarray], *names: str) -> list[np.ndarray]:
+        """The values at grams (a column of numbers for each of their words) in each of the named arrays; 0 where there is none."""
+        k = len(columns)
+        known = np.logical_and.reduce([c >= 0 for c in columns])
+        keys, place = np.unique(gram_keys([c[known] for c in columns]), return_inverse=True)
+        found = [np.zeros(len(keys)) for _ in names]
+        to = self.bucket(k, keys)
+        cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            b = int(to[a])
+            if k == 1:
+                at, there = keys[a:z].astype(np.int64) - self.starts[b], slice(None)
+            elif files_of(self.root, f"key{k}-{b}"):
+                held = get(self.root, f"key{k}-{b}")
+                at = np.minimum(np.searchsorted(held, keys[a:z]), len(held) - 1)
+                there = held[at] == keys[a:z]
+                at = at[there]
+            else:
+                continue
+            for out, name in zip(found, names, strict=True):
+                out[a:z][there] = get(self.root, f"{name}{k}-{b}")[at]
+        outs = [np.zeros(len(known)) for _ in names]
+        for out, values in zip(outs, found, strict=True):
+            out[known] = values[place]
+        return outs
+
+
+@lru_cache(maxsize=65536)
+def files_of(root: str, name: str) -> bool:
+    """Whether there is such an array: a bucket without grams has none."""
+    files, path = _at(root, name)
+    return files.get_file_info(path).type == fs.FileType.File
 
 
-def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
+def discounts(ones: int, twos: int, threes: int, fours: int) -> Discounts:
     """D(1), D(2), D(3+); where a count is nought, half a count is taken off."""
     y = ones / (ones + 2 * twos) if ones else 0.0
     of = lambda k, n, m: min(max(k - (k + 1) * y * m / n, 0.0), float(k)) if n and ones else 0.5
     return of(1, ones, twos) or 0.5, of(2, twos, threes) or 0.5, of(3, threes, fours) or 0.5
 
 
-def off(d: tuple[float, float, float], counts: np.ndarray) -> np.ndarray:
+def off(d: Discounts, counts: np.ndarray) -> np.ndarray:
     return np.where(counts >= 3, d[2], np.where(counts >= 2, d[1], np.where(counts >= 1, d[0], 0.0)))
 
 
@@ -251,23 +284,121 @@ def _tally(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def pair_keys(model: Model, hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, sorted distinct words' numbers, each token's place among them, firsts); unknown words get the key 2^64 - 1."""
+def grams(model: Model, hashes: np.ndarray, firsts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns, firsts): the numbers of the words up to each token, a column for each place, its own last; -1 if unknown."""
     tokens, firsts = with_ends(hashes, firsts)
     distinct, place = np.unique(tokens, return_inverse=True)
-    numbers = model.numbers(distinct)
-    own = numbers[place]
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
+    own = model.numbers(distinct)[place]
     end = model.numbers(np.array([words.END]))[0]
-    before[firsts[:-1]] = end
-    keys = (before.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64)
-    keys[(own < 0) | (before < 0)] = np.uint64(2**64 - 1)
-    return keys, numbers, place, firsts
+    since = np.arange(len(own)) - np.repeat(firsts[:-1], np.diff(firsts))
+    columns = [own]
+    for k in range(1, model.order):
+        before = np.full_like(own, end)
+        before[k:] = own[:-k]
+        before[since < k] = end
+        columns.insert(0, before)
+    return columns, firsts
+
+
+def packed(rows: list[np.ndarray]) -> bytes:
+    """Numbers byte by byte: the high bytes are mostly nought."""
+    return pack(np.stack([small(x) for x in rows]))
+
+
+def unpacked(parts: pd.Series, n: int) -> list[np.ndarray]:
+    planes_ = [unpack(x, np.uint8).reshape(n, 8, -1) for x in parts]
+    return [np.concatenate([p[i].T.copy().view(np.int64).ravel() for p in planes_]) for i in range(n)]
+
+
+def summed(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The distinct grams in the order of their keys: keys, columns, and the sums of each of ``counts``."""
+    keys = gram_keys(columns)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    at = order[first]
+    return keys[first], [c[at] for c in columns], [np.add.reduceat(c[order], first) if len(first) else c for c in counts]
+
+
+GRAMS = "bucket long, words binary, counts binary, tally array<long>"
+
+
+def rows_of(model: Model, keys: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple]:
+    """A row for each bucket that the sorted grams fall into."""
+    to = model.bucket(len(columns), keys)
+    cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+    return [(int(to[a]), packed([c[a:z] for c in columns]), packed([c[a:z] for c in counts]), None) for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True)]
+
+
+def narrowest(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def counted(model: Model) -> Callable:
+    """A mapInArrow function: the counts of the longest grams of the texts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+
+        def together() -> tuple:
+            return summed([np.concatenate(c) for c in zip(*[x[1] for x in held], strict=True)], [np.concatenate([x[2][0] for x in held])])
 
+        def batch_of(found: tuple) -> pa.RecordBatch:
+            columns = zip(*rows_of(model, *found), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["bucket", "words", "counts", "tally"])
 
-def train(spark: SparkSession, docs: DataFrame, s: Scratch) -> Model:
+        for batch in batches:
+            for _, _, data, bounds in words.runs(batch.column("text")):
+                columns, _ = grams(model, *words.word_hashes(data, bounds))
+                held.append(summed(columns, [np.ones(len(columns[0]), np.int64)]))
+                n += len(held[-1][0])
+                if n > GATHERED:
+                    held = [together()]
+                    n = len(held[0][0])
+                    if n > GATHERED // 2:
+                        yield batch_of(held[0])
+                        held, n = [], 0
+        if n:
+            yield batch_of(together())
+
+    return each
+
+
+def added_up(model: Model, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Adds up a bucket of grams of ``k`` words, stores them, and hands on what the grams of k - 1 words need.
+
+    Counts are a(g) alone for the longest grams; else a(g), A(g), N1(g), N2(g), N3+(g).
+    """
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(pdf["bucket"].iloc[0])
+        if b < 0:  # the tallies of a higher order
+            return pd.DataFrame([(b, None, None, np.sum(pdf["tally"].tolist(), axis=0).tolist())], columns=list(pdf.columns))
+        keys, columns, counts = summed(unpacked(pdf["words"], k), unpacked(pdf["counts"], 1 if k == model.order else 5))
+        seen, *context = counts
+        if k > 1:
+            put(model.root, f"key{k}-{b}", keys)
+        for name, values in zip(("seen", "all", "once", "twice", "often"), counts, strict=False):
+            put(model.root, f"{name}{k}-{b}", narrowest(values))
+        rows = [(-k, None, None, [*_tally(seen), int((seen > 0).sum())])]
+        if k > 1:
+            there = seen > 0  # what only stands before others is no gram itself
+            columns, seen = [c[there] for c in columns], seen[there]
+            none = np.zeros_like(seen)
+            kinds = [(seen == 1).astype(np.int64), (seen == 2).astype(np.int64), (seen > 2).astype(np.int64)]
+            ends, begins = [none + 1, none, none, none, none], [none, seen, *kinds]
+            lower = [np.concatenate([x, y]) for x, y in zip(columns[1:], columns[:-1], strict=True)]
+            rows += rows_of(model, *summed(lower, [np.concatenate([x, y]) for x, y in zip(ends, begins, strict=True)]))
+        return pd.DataFrame(rows, columns=list(pdf.columns))
+
+    return each
+
+
+def train(spark: SparkSession, docs: DataFrame, s: Scratch, order: int = ORDER) -> Model:
     """Counts the rows of ``docs`` (text); the files lie in the scratch folder."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     root = s.root
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(2, (-(-size // BUCKET_BYTES) - 1).bit_length())
@@ -278,7 +409,7 @@ def train(spark: SparkSession, docs: DataFrame, s: Scratch) -> Model:
         b = int(pdf["bucket"].iloc[0])
         keys, counts = merged(pdf)
         put(root, f"hash-{b}", keys)
-        put(root, f"count-{b}", counts)
+        put(root, f"count1-{b}", counts)
         return pd.DataFrame({"bucket": [b], "types": [len(keys)], "tokens": [int(counts.sum())]})
 
     dealt = docs.select("text").mapInArrow(gathered(lambda h, f: with_ends(h, f)[0], bits, lambda k: bucket_of(k, bits)), PACKED)
@@ -287,109 +418,64 @@ def train(spark: SparkSession, docs: DataFrame, s: Scratch) -> Model:
     starts = [0]
     for b in range(buckets):
         starts.append(starts[-1] + (found[b]["types"] if b in found else 0))
-    model = Model(root, bits, starts, sum(r["tokens"] for r in found.values()))
+    model = Model(root, bits, order, starts, sum(r["tokens"] for r in found.values()))
     if not model.types:
         return model
-    if model.types >= 1 << 32:
-        raise ValueError("more than 2^32 distinct words: two 32-bit numbers no longer make a key")
 
-    # bigrams
-    def count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["bucket"].iloc[0])
-        keys, counts = merged(pdf)
-        put(root, f"pair-{b}", keys)
-        put(root, f"pairs-{b}", counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
-        before, after = (keys >> np.uint64(32)).astype(np.int64), np.sort(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        kind = np.minimum(counts, 3)
-        rows = []
-        # at each word of each bucket of words: how many follow it once, twice, more often; how many it follows
-        sides = [(after, np.ones(len(after), np.int64), 0), *((before[kind == k], np.ones((kind == k).sum(), np.int64), k) for k in (1, 2, 3))]
-        for of, ones, k in sides:
-            numbers, n = add_up(of.astype(np.uint64), ones)
-            cuts = np.searchsorted(numbers, np.array(starts, np.uint64))
-            for to in np.flatnonzero(np.diff(cuts)).tolist():
-                own = slice(cuts[to], cuts[to + 1])
-                rows.append((to, k, pack(planes(numbers[own])), pack(small(n[own])), None, 0))
-        rows.append((-1, -1, None, None, _tally(counts), len(keys)))
-        return pd.DataFrame(rows, columns=["bucket", "kind", "keys", "counts", "tally", "n"])
-
-    def keys_of(h: np.ndarray, f: np.ndarray) -> np.ndarray:
-        return pair_keys(model, h, f)[0]
-
-    dealt = docs.select("text").mapInArrow(gathered(keys_of, bits, lambda k: bucket_of(words.mix(k), bits)), PACKED)
-    sides = dealt.groupBy("bucket").applyInPandas(count_pairs, "bucket long, kind int, keys binary, counts binary, tally array<long>, n long")
-    sides = s.keep(sides, "sides")
-    seen = sides.where("bucket = -1").agg(F.sum("n"), *[F.sum(F.col("tally")[k]) for k in range(4)]).first()
-    model.bigrams, model.discounts = seen[0], discounts(*seen[1:])
-    with_pairs = {r["bucket"] for r in sides.where("bucket >= 0").select("bucket").distinct().collect()}
-
-    # words again: what goes with the discounts
-    def around(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["bucket"].iloc[0])
-        n = starts[b + 1] - starts[b]
-        by = np.zeros((4, n), np.int64)
-        for kind, own in pdf.groupby("kind"):
-            numbers, counts = merged(own)
-            by[kind, numbers.astype(np.int64) - starts[b]] = counts
-        d1, d2, d3 = model.discounts
-        put(root, f"follows-{b}", by[0])
-        put(root, f"share-{b}", (d1 * by[1] + d2 * by[2] + d3 * by[3]) / get(root, f"count-{b}"))
-        return pd.DataFrame({"tally": [_tally(by[0])], "more": [[int((by[0] >= 3).sum())]]})
-
-    assert all(b in with_pairs for b in range(buckets) if starts[b + 1] > starts[b])  # each word follows some word
-    tallies = s.keep(sides.where("bucket >= 0").groupBy("bucket").applyInPandas(around, "tally array<long>, more array<long>"), "around")
-    t = tallies.agg(*[F.sum(F.col("tally")[k]) for k in range(4)], F.sum(F.col("more")[0])).first()
-    model.lower = discounts(*t[:4])
-    model.rest = (model.lower[0] * t[0] + model.lower[1] * t[1] + model.lower[2] * t[4]) / model.bigrams
+    # grams, from the longest to single words
+    rows = docs.select("text").mapInArrow(counted(model), GRAMS)
+    for k in range(order, 0, -1):
+        rows = rows.groupBy("bucket").applyInPandas(added_up(model, k), GRAMS)
+    tallies = s.keep(rows.select(F.col("bucket").alias("k"), "tally"), "tallies")
+    sums = tallies.groupBy("k").agg(*[F.sum(F.col("tally")[i]) for i in range(5)]).collect()  # a row an order
+    tally = {-r[0]: r[1:] for r in sums}
+    model.discounts = {k: discounts(*t[:4]) for k, t in tally.items()}
+    model.bigrams = tally[2][4]
+    d, (ones, twos, _, _, every) = model.discounts[1], tally[1]
+    model.rest = (d[0] * ones + d[1] * twos + d[2] * (every - ones - twos)) / model.bigrams
     return model
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def probabilities(model: Model, columns: list[np.ndarray]) -> np.ndarray:
+    """The probability of each token after the words before it."""
+    n, own = model.order, columns[-1:]
+    if not model.types:
+        return np.ones(len(own[0]))
+    seen = model.look_up(own, "seen")[0]
+    p = (seen - off(model.discounts[1], seen)) / model.bigrams + model.rest / (model.types + 1)
+    for k in range(2, n + 1):
+        every, once, twice, often = model.look_up(columns[n - k : -1], "all", "once", "twice", "often")
+        d = model.discounts[k]
+        seen = model.look_up(columns[n - k :], "seen")[0]
+        p = np.where(every > 0, (seen - off(d, seen) + (d[0] * once + d[1] * twice + d[2] * often) * p) / np.maximum(every, 1), p)
+    return p
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The scores of each row of ``docs`` (doc_id, held_out, text), in log10."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, bounds in words.runs(batch.column("text")):
-                keys, numbers, place, firsts = pair_keys(model, *words.word_hashes(data, bounds))
-                if model.types:
-                    ordered = np.argsort(numbers, kind="stable")
-                    spread = lambda name: _spread(model.at(name, numbers[ordered]), ordered)  # noqa: B023, E731
-                    count, follows, share = spread("count"), spread("follows"), spread("share")
-                else:
-                    count = follows = share = np.zeros(len(numbers))
-                lower = (follows - off(model.lower, follows)) / max(model.bigrams, 1) + model.rest / (model.types + 1)
-                distinct, at = np.unique(keys, return_inverse=True)
-                together = model.bigram_counts(distinct).astype(np.float64)[at] if model.types else np.zeros(len(keys))
-                before = np.empty_like(place)
-                before[1:] = place[:-1]
-                before[firsts[:-1]] = place[firsts[1:] - 1]  # a text's end
-                u = count[before]
-                p = np.where(u > 0, (together - off(model.discounts, together)) / np.maximum(u, 1) + share[before] * lower[place], lower[place])
-                own = count[place]
+                columns, firsts = grams(model, *words.word_hashes(data, bounds))
+                own = model.look_up(columns[-1:], "count")[0] if model.types else np.zeros(len(columns[-1]))
                 base = np.log10((own + 1) / (model.tokens + model.types + 1))
                 sums = lambda x: np.add.reduceat(x, firsts[:-1])  # noqa: B023, E731
-                n = end - first
                 keep = lambda c: batch.column(c).slice(first, end - first)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [keep("doc_id").cast(pa.int64()), keep("held_out"), pa.array(np.diff(firsts)), pa.array(sums((own > 0).astype(np.int64))), pa.array(np.full(n, model.tokens)), pa.array(sums(base)), pa.array(sums(np.log10(p)))],
+                    [keep("doc_id").cast(pa.int64()), keep("held_out"), pa.array(np.diff(firsts)), pa.array(sums((own > 0).astype(np.int64))), pa.array(np.full(end - first, model.tokens)), pa.array(sums(base)), pa.array(sums(np.log10(probabilities(model, columns))))],
                     names=[x.split()[0] for x in SCORES.split(", ")],
                 )
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(each, SCORES)
 
 
-def _spread(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    out = np.empty(len(values))
-    out[ordered] = values
-    return out
-
-
-def op6_kneser_ney(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def op6_kneser_ney(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> DataFrame:
     d = docs.select("doc_id", "text", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
-    model = train(spark, d.where("not held_out"), Scratch(spark, "lm"))
+    model = train(spark, d.where("not held_out"), Scratch(spark, "lm"), order)
     out = score(d, model).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     # six places, so that sums in another order compare equal
     return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score", "perplexity")})
@@ -421,35 +507,47 @@ crc_steps(doc_id, id, r, k) AS (
   FROM crc_steps s JOIN crc_table t ON t.b = xor(s.r, ascii(substr(id, k + 1, 1))) & 255 WHERE k < length(id)),
 held AS (SELECT doc_id, xor(r, 4294967295) % 7 = 2 AS held_out FROM crc_steps WHERE k = length(id))"""
 
-ORACLE = rf"""
+
+def oracle(order: int = ORDER) -> str:
+    """DuckDB SQL for the scores; u1 is the word before v, u2 the one before that, and so on."""
+    before = [f"u{j}" for j in range(order - 1, 0, -1)]  # farthest first
+    words_of = {k: [*before[order - k :], "v"] for k in range(1, order + 1)}  # the words of a gram of k
+    listed = {k: ", ".join(w) for k, w in words_of.items()}
+    shifted = ", ".join(f"unnest(pad[{order - j}:len(a) + {order - 1 - j}]) AS u{j}" for j in range(1, order))
+    ctes = [f"g{order} AS (SELECT {listed[order]}, count(*) AS c FROM t WHERE NOT held_out GROUP BY ALL)"]
+    ctes += [f"g{k} AS (SELECT {listed[k]}, count(*) AS c FROM g{k + 1} GROUP BY ALL)" for k in range(order - 1, 0, -1)]
+    ctes += [_sql_discounts(f"g{k}", f"d{k}_") for k in range(1, order + 1)]
+    ctes += [f"h{k} AS (SELECT {', '.join(words_of[k][:-1])}, sum(c) AS a, sum({_off('c', f'd{k}_')}) AS g FROM g{k}, d{k}_ GROUP BY ALL)" for k in range(2, order + 1)]
+    p = f"((coalesce(g1.c, 0) - {_off('coalesce(g1.c, 0)', 'd1_')}) / tot.pairs + rest.rest / (tot.types + 1))"
+    joins = "LEFT JOIN uni ON uni.v = t.v LEFT JOIN g1 ON g1.v = t.v"
+    for k in range(2, order + 1):
+        same = lambda of, names: " AND ".join(f"{of}.{x} = t.{x}" for x in names)
+        joins += f" LEFT JOIN h{k} ON {same(f'h{k}', words_of[k][:-1])} LEFT JOIN g{k} ON {same(f'g{k}', words_of[k])}"
+        p = f"(CASE WHEN h{k}.a IS NULL THEN {p} ELSE (coalesce(g{k}.c, 0) - {_off(f'coalesce(g{k}.c, 0)', f'd{k}_')} + h{k}.g * {p}) / h{k}.a END)"
+    discounts_ = ", ".join(f"d{k}_" for k in range(1, order + 1))
+    sep = ",\n"
+    return rf"""
 WITH RECURSIVE {_CRC.strip()},
 w AS (
   SELECT doc_id, list_append(['w' || x FOR x IN regexp_extract_all(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')],
            'end') AS a
   FROM documents),
-t AS (SELECT doc_id, held_out, unnest(a) AS v, unnest(list_prepend('end', a[:-2])) AS u FROM w JOIN held USING (doc_id)),
+padded AS (SELECT doc_id, a, list_concat([{', '.join(["'end'"] * (order - 1))}], a) AS pad FROM w),
+t AS (SELECT doc_id, held_out, unnest(a) AS v, {shifted} FROM padded JOIN held USING (doc_id)),
 uni AS (SELECT v, count(*) AS c FROM t WHERE NOT held_out GROUP BY v),
-pairs AS (SELECT u, v, count(*) AS c FROM t WHERE NOT held_out GROUP BY u, v),
-follows AS (SELECT v, count(*) AS c FROM pairs GROUP BY v),
-{_sql_discounts('pairs', 'd')},
-{_sql_discounts('follows', 'e')},
-tot AS (SELECT (SELECT sum(c) FROM uni) AS n, (SELECT count(*) FROM uni) AS types, (SELECT count(*) FROM pairs) AS pairs),
-rest AS (SELECT sum({_off('c', 'e')}) / any_value(pairs) AS rest FROM follows, e, tot),
-share AS (SELECT u, sum({_off('p.c', 'd')}) / any_value(uni.c) AS share FROM pairs p JOIN uni ON uni.v = p.u, d GROUP BY u),
-p AS (
-  SELECT t.doc_id, t.held_out, uni.c AS c, tot.n, tot.types,
-         (coalesce(f.c, 0) - {_off('coalesce(f.c, 0)', 'e')}) / tot.pairs + rest.rest / (tot.types + 1) AS lower_p,
-         before.c AS before_c, share.share,
-         coalesce(pairs.c, 0) - {_off('coalesce(pairs.c, 0)', 'd')} AS together
-  FROM t LEFT JOIN uni ON uni.v = t.v LEFT JOIN follows f ON f.v = t.v LEFT JOIN uni before ON before.v = t.u
-         LEFT JOIN share ON share.u = t.u LEFT JOIN pairs ON pairs.u = t.u AND pairs.v = t.v, tot, rest, d, e),
+{sep.join(ctes)},
+tot AS (SELECT (SELECT sum(c) FROM uni) AS n, (SELECT count(*) FROM uni) AS types, (SELECT count(*) FROM g2) AS pairs),
+rest AS (SELECT sum({_off('c', 'd1_')}) / any_value(pairs) AS rest FROM g1, d1_, tot),
+p AS (SELECT t.doc_id, t.held_out, uni.c AS c, tot.n, tot.types, {p} AS p FROM t {joins}, tot, rest, {discounts_}),
 q AS (
   SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
-         sum(log10((coalesce(c, 0) + 1) / (n + types + 1))) AS base_score,
-         sum(log10(CASE WHEN before_c IS NULL THEN lower_p ELSE together / before_c + share * lower_p END)) AS score
+         sum(log10((coalesce(c, 0) + 1) / (n + types + 1))) AS base_score, sum(log10(p)) AS score
   FROM p GROUP BY doc_id)
 SELECT doc_id, held_out, n_tokens, n_known, train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score,
        round(pow(10.0, -score / n_tokens), 6) AS perplexity
 FROM q
 """
+
+
+ORACLE = oracle()

@@ -123,42 +123,43 @@ def test_word_vectors_of_all_documents(spark):
         assert np.allclose(known.vectors(hash_of(w))[0], quality.index_vectors(hash_of(w))[0] + (v / norm if norm else 0), atol=1e-6)
 
 
-def brute_lm(texts):
+def brute_lm(texts, order):
     tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    c, pairs = Counter(), Counter()
+    ends = [None] * (order - 1)
+    grams = lambda w: [tuple([*ends, *w][j : j + order]) for j in range(len(w))]
+    c, a = Counter(), {order: Counter()}
     for i, w in tokens.items():
         if not held[i]:
             c.update(w)
-            pairs.update(zip([None, *w], w, strict=False))
-    follows, kinds = Counter(v for _, v in pairs), defaultdict(lambda: [0, 0, 0])
-    for (u, _), n in pairs.items():
-        kinds[u][min(n, 3) - 1] += 1
-    of = lambda counts: (0.0, *lm.discounts(*[sum(x == k for x in counts) for k in (1, 2, 3, 4)]))
-    d, e = of(pairs.values()), of(follows.values())
-    rest = sum(e[min(n, 3)] for n in follows.values()) / len(pairs)
-
-    def lower(v):
-        return (follows[v] - e[min(follows[v], 3)]) / len(pairs) + rest / (len(c) + 1)
-
-    def p(u, v):
-        if u not in c:
-            return lower(v)
-        n = pairs.get((u, v), 0)
-        return (n - d[min(n, 3)]) / c[u] + sum(d[k + 1] * kinds[u][k] for k in range(3)) / c[u] * lower(v)
+            a[order].update(grams(w))
+    for k in range(order - 1, 0, -1):
+        a[k] = Counter(g[1:] for g in a[k + 1])
+    d, every, left = {}, defaultdict(int), defaultdict(float)
+    for k, counts in a.items():
+        d[k] = (0.0, *lm.discounts(*[sum(x == n for x in counts.values()) for n in (1, 2, 3, 4)]))
+        for g, n in counts.items():
+            every[g[:-1]] += n
+            left[g[:-1]] += d[k][min(n, 3)]
+
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / (len(c) + 1)
+        h, n = g[:-1], a[len(g)][g]
+        return (n - d[len(g)][min(n, 3)] + left[h] * below) / every[h] if h in every else below
 
     total = sum(c.values())
     out = {}
     for i, w in tokens.items():
         base = sum(math.log10((c[v] + 1) / (total + len(c) + 1)) for v in w)
-        out[i] = (held[i], len(w), sum(v in c for v in w), total, base, sum(math.log10(p(u, v)) for u, v in zip([None, *w], w, strict=False)))
-    return out, p, c
+        out[i] = (held[i], len(w), sum(v in c for v in w), total, base, sum(math.log10(p(g)) for g in grams(w)))
+    return out, p, c, a[order]
 
 
-def test_scores_against_brute_force(spark, small):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_against_brute_force(spark, small, order):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    want, p, c = brute_lm({r["doc_id"]: r["text"] for r in docs.collect()})
-    got = {r["doc_id"]: r for r in lm.op6_kneser_ney(spark, docs).collect()}
+    want, p, c, grams = brute_lm({r["doc_id"]: r["text"] for r in docs.collect()}, order)
+    got = {r["doc_id"]: r for r in lm.op6_kneser_ney(spark, docs, order).collect()}
     for i, (held, n, known, total, base, score) in want.items():
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
@@ -166,7 +167,12 @@ def test_scores_against_brute_force(spark, small):
         for got_, want_ in ((r["base_score"], base), (r["score"], score), (r["perplexity"], 10 ** (-score / n))):
             assert got_ == pytest.approx(want_, abs=6e-7, rel=1e-12)
     # probabilities of all words and of one unknown word make one
-    assert sum(p("the", v) for v in c) + p("the", "never seen") == pytest.approx(1)
+    for h in [g[:-1] for g in list(grams)[:3]] + [("never", *["seen"] * order)[: order - 1]]:
+        assert sum(p((*h, v)) for v in c) + p((*h, "never seen")) == pytest.approx(1)
+
+
+def test_unseen_ends_and_one_text(spark):
+    assert [r["n_tokens"] for r in lm.op6_kneser_ney(spark, spark.createDataFrame([(3, None), (3, "")], "doc_id long, text string"), 4).collect()] == [1, 1]
 
 
 def test_no_training_rows(spark):
