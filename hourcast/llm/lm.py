@@ -301,12 +301,14 @@ def grams(model: Model, hashes: np.ndarray, firsts: np.ndarray) -> tuple[list[np
 
 
 def packed(rows: list[np.ndarray]) -> bytes:
-    """Numbers byte by byte: the high bytes are mostly nought."""
-    return pack(np.stack([small(x) for x in rows]))
+    """Numbers byte by byte: the high bytes are mostly nought, and those of the first row, in order, repeat."""
+    raw = np.stack([small(x) for x in rows]).tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
 
 
 def unpacked(parts: pd.Series, n: int) -> list[np.ndarray]:
-    planes_ = [unpack(x, np.uint8).reshape(n, 8, -1) for x in parts]
+    size = lambda x: int.from_bytes(x[-8:], "little")
+    planes_ = [np.frombuffer(pa.decompress(x[:-8], size(x), codec="zstd", asbytes=True), np.uint8).reshape(n, 8, -1) for x in parts]
     return [np.concatenate([p[i].T.copy().view(np.int64).ravel() for p in planes_]) for i in range(n)]
 
 
@@ -327,7 +329,11 @@ def rows_of(model: Model, keys: np.ndarray, columns: list[np.ndarray], counts: l
     """A row for each bucket that the sorted grams fall into."""
     to = model.bucket(len(columns), keys)
     cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
-    return [(int(to[a]), packed([c[a:z] for c in columns]), packed([c[a:z] for c in counts]), None) for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True)]
+    rows = []
+    for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
+        order = a + np.argsort(columns[0][a:z], kind="stable")  # by first word, which then packs small
+        rows.append((int(to[a]), packed([c[order] for c in columns]), packed([c[order] for c in counts]), None))
+    return rows
 
 
 def narrowest(values: np.ndarray) -> np.ndarray:
