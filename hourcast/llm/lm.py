@@ -232,8 +232,8 @@ class Model:
         """The bucket of each key of a gram of ``k`` words; in order where the keys are."""
         if k == 1:
             return np.searchsorted(self.starts, keys.astype(np.int64), "right") - 1
-        # grams outnumber words: a bucket for half the bytes of text where they are long
-        return bucket_of(keys, self.bits + (self.order > 2))
+        # long grams outnumber words: a bucket for a quarter of the bytes of text
+        return bucket_of(keys, self.bits + 2 * (self.order > 2))
 
     def look_up(self, columns: list[np.ndarray], *names: str) -> list[np.ndarray]:
         """The values at grams (a column of numbers for each of their words) in each of the named arrays; 0 where there is none."""
@@ -359,10 +359,10 @@ def counted(model: Model) -> Callable:
                 columns, _ = grams(model, *words.word_hashes(data, bounds))
                 held.append(summed(columns, [np.ones(len(columns[0]), np.int64)]))
                 n += len(held[-1][0])
-                if n > GATHERED:
+                if n > GATHERED // model.order:  # a gram has as many columns
                     held = [together()]
                     n = len(held[0][0])
-                    if n > GATHERED // 2:
+                    if n > GATHERED // model.order // 2:
                         yield batch_of(held[0])
                         held, n = [], 0
         if n:
