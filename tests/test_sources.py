@@ -132,3 +132,30 @@ def test_empty_and_header_only_files(spark, tmp_dir):
     with open(src, "w") as f:
         f.write("a,b\n")
     assert tables.quoted_records(spark, src).count() == 0 and tables.quoted_records(spark, src).columns == ["_file", "_record", "a", "b"]
+
+
+def test_project_rows_shuffle_line_items_once(spark, tmp_dir):
+    """As the SQL says with null, repeated and unmatched keys, from one narrow shuffle of the line items."""
+    import duckdb
+
+    from hourcast.sources import fixtures
+
+    lines = [(k, p, s, n, float(q), f) for k, p, s, n, q, f in [
+        (1, 5, 7, 1, 3, "R"), (1, 5, None, 2, 4, "N"), (1, 6, 7, 3, 5, None), (1, None, 8, 4, 6, "R"),
+        (2, None, None, 1, 9, "A"), (None, 1, 1, 1, 2, "R"), (9, 1, 1, 1, 2, "R"), (4, 3, 3, None, 1, "N"), (4, 3, 3, None, 1, "N"),
+    ]]
+    orders = [(k, c, s, "1-URGENT", 1234.5 + k) for k, c, s in [(1, 1, "F"), (2, 1, "O"), (3, 2, "P"), (4, 3, "F"), (4, 3, "F"), (5, None, "F"), (6, 99, "F")]]
+    customers = [(1, "BUILDING"), (2, None), (3, "AUTO"), (3, "TOYS"), (None, "X")]
+    for name, rows, kinds in (
+        ("lineitem", lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string"),
+        ("orders", orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string, o_totalprice double"),
+        ("customer", customers, "c_custkey bigint, c_mktsegment string"),
+    ):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(os.path.join(tmp_dir, f"{name}.parquet"))
+    got = fixtures.project_rows(spark, tmp_dir)
+    con = duckdb.connect()
+    text = fixtures.projects_sql().format(**{t: f"read_parquet('{tmp_dir}/{t}.parquet/*.parquet') AS {t}" for t in ("lineitem", "orders", "customer")})
+    want = con.execute(text).fetchall()
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("RepartitionByExpression") == 1
