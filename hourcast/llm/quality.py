@@ -180,10 +180,10 @@ def held(root: str, bucket: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
 
 def put_bucket(root: str, bucket: int, keys: np.ndarray, sums: np.ndarray) -> None:
     """Writes what ``held`` reads, in one file; words without neighbours are left out."""
-    most = np.abs(sums).max(axis=1)
+    most = np.maximum(sums.max(axis=1), -sums.min(axis=1))
     small, large = (most > 0) & (most <= SMALL), most > SMALL
     normed = (sums[large] / np.linalg.norm(sums[large], axis=1, keepdims=True)).astype("<f4")
-    parts = (np.array([small.sum(), large.sum()]), keys[small], keys[large], normed, sums[small].astype(np.int8))
+    parts = (np.array([small.sum(), large.sum()]), keys[small], keys[large], normed, sums.astype(np.int8)[small])
     lm.put(root, f"words-{bucket}", np.frombuffer(b"".join(p.tobytes() for p in parts), np.uint8))
 
 
@@ -321,13 +321,17 @@ def spread(packed: bytes) -> np.ndarray:
 
 
 def added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket's distinct keys, sorted, and the sums around them."""
-    keys = np.concatenate([lm.from_planes(x) for x in pdf["keys"]])
-    sums = np.concatenate([spread(x) for x in pdf["sums"]])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(sums[order], first, axis=0, dtype=np.int64)
+    """A bucket's distinct keys, sorted, and the sums around them; one part at a time, so the parts never lie side by side."""
+    parts = [lm.from_planes(x) for x in pdf["keys"]]
+    keys = np.unique(np.concatenate(parts))
+    sums, most = np.zeros((len(keys), SIZE), np.int32), 0
+    for own, packed in zip(parts, pdf["sums"], strict=True):  # the keys of a part are distinct
+        more = spread(packed)
+        most += max(int(more.max(initial=0)), -int(more.min(initial=0)))
+        if most > np.iinfo(np.int32).max and sums.dtype == np.int32:
+            sums = sums.astype(np.int64)
+        sums[np.searchsorted(keys, own)] += more
+    return keys, sums
 
 
 def trained(docs: DataFrame, s: Scratch) -> Trained:

@@ -2,10 +2,12 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -187,3 +189,25 @@ def test_packing_round_trip():
     (_, _, data, bounds), = words.runs(pa.array(["a b", "", "c"]))
     tokens, firsts = lm.with_ends(*words.word_hashes(data, bounds))
     assert firsts.tolist() == [0, 3, 4, 6] and (tokens[[2, 3, 5]] == words.END).all()
+
+
+def test_sums_of_many_parts_are_added_one_at_a_time():
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
+    want, rows = {}, []
+    for _ in range(40):
+        keys = np.append(pool[:1], np.sort(rng.choice(pool[1:], 2000, replace=False)))
+        sums = rng.integers(-3, 4, (len(keys), quality.SIZE)).astype(np.int32)
+        sums[0] = 2**29  # more than 32 bits in all
+        for k, v in zip(keys.tolist(), sums.astype(np.int64), strict=True):
+            want[k] = want.get(k, 0) + v
+        own = ((sums << 1) ^ (sums >> 31)).astype("<u4")
+        rows.append((1, lm.pack(lm.planes(keys)), quality.squeezed(own.view(np.uint8).reshape(-1, 4).T.copy())))
+    pdf = pd.DataFrame(rows, columns=["bucket", "keys", "sums"])
+    tracemalloc.start()
+    keys, sums = quality.added(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys.tolist() == sorted(want)
+    assert (sums == np.array([want[k] for k in keys.tolist()])).all()
+    assert peak < 16 * len(keys) * quality.SIZE * 4  # 40 parts of half the words each took more side by side
