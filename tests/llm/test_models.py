@@ -5,6 +5,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from hourcast.llm import language, lm, quality, words
+from hourcast.llm.common import Scratch
 
 
 def test_language_accuracy(spark):
@@ -211,3 +213,50 @@ def test_sums_of_many_parts_are_added_one_at_a_time():
     assert keys.tolist() == sorted(want)
     assert (sums == np.array([want[k] for k in keys.tolist()])).all()
     assert peak < 16 * len(keys) * quality.SIZE * 4  # 40 parts of half the words each took more side by side
+
+
+def test_stored_keys_and_counts_are_found(tmp_path):
+    rng = np.random.default_rng(3)
+    root = str(tmp_path)
+    for n, lead in ((1, 4), (5, 4), (3000, 4), (40000, 9), (200, 60)):
+        first = rng.integers(0, 2**lead, dtype=np.uint64) << np.uint64(64 - lead)
+        drawn = rng.integers(0, 2 ** (64 - lead), 2 * n, dtype=np.uint64) | first
+        keys = np.unique(drawn[: max(1, n)])
+        asked = np.unique(drawn)
+        lm.put_keys(root, f"{n}", keys, lead)
+        which, at, stored = lm.find(root, f"{n}", asked, lead)
+        assert stored == len(keys) and (keys[at] == asked[which]).all() and len(which) == len(keys)
+    # near misses: equal in their last 32 bits
+    keys = np.unique(rng.integers(0, 2**60, 1000, dtype=np.uint64))
+    lm.put_keys(root, "near", keys, 4)
+    assert not len(lm.find(root, "near", np.setdiff1d(keys ^ np.uint64(1 << 33), keys), 4)[0])
+    for most in (2, 3, 9, 300, 2**40):
+        columns = [np.minimum(rng.geometric(0.5, 777), most), np.zeros(777, np.int64), rng.integers(0, most, 777)]
+        lm.put_counts(root, f"c{most}", columns)
+        assert (lm.counts_at(root, f"c{most}", np.arange(3 * 777)) == np.concatenate(columns)).all()
+
+
+def test_model_takes_little_disk(spark):
+    """Of N trigrams and M bigrams the files once held 9 N + 13 M bytes and more."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in np.minimum(rng.zipf(1.2, 400), 50_000)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    s = Scratch(spark, "lm")
+    model = lm.train(spark, docs, s)
+    grams = {k: {g for t in texts for w in [["", "", *t.split(), ""]] for g in zip(*[w[2 - k + 1 + j :] for j in range(k)], strict=False)} for k in (2, 3)}
+    files = [f for f in Path(s.root).iterdir() if f.name[:2] in ("2-", "3-")]
+    assert sum(f.stat().st_size - 128 for f in files) < 8 * len(grams[3]) + 10.5 * len(grams[2])
+    # frequent words have small numbers
+    (_, _, data, bounds), = words.runs(pa.array(["w1 w2 w3"]))
+    assert (model.numbers(np.sort(words.word_hashes(data, bounds)[0])) < 16 << model.bits).all()
+
+
+def test_beginnings_share_a_bucket_unless_frequent():
+    model = lm.Model("", 2, 3, [100_000] * 4, 0)
+    column = lambda *x: np.array(x, np.int64)
+    last = np.arange(5000)
+    rare = model.keys([np.full(5000, 7), np.full(5000, 300_000), last])
+    assert len(np.unique(model.bucket(3, rare))) == 1 and model.bucket(3, rare)[0] == model.bucket(2, model.keys([column(7), column(300_000)]))[0]
+    frequent = model.keys([np.full(5000, 7), np.full(5000, 8), last])
+    assert np.bincount(model.bucket(3, frequent), minlength=16).max() < 2 * 5000 / 16
+    assert len(np.unique(rare)) == len(np.unique(frequent)) == 5000
