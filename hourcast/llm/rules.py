@@ -72,11 +72,11 @@ KIND[65:91], KIND[97:123] = CAPITAL, SMALL
 
 def repeated(numbers: np.ndarray, window: int = WINDOW) -> int:
     """Words that lie in windows of ``window`` words (a power of two) found twice or more."""
+    if len(numbers) < window:
+        return 0
     ranks, size = numbers, 1
     while size < window:
         pairs = ranks[: len(ranks) - size] * (len(numbers) + 1) + ranks[size:]
-        if not len(pairs):
-            return 0
         _, ranks, counts = np.unique(pairs, return_inverse=True, return_counts=True)
         if len(counts) == len(ranks):
             return 0  # no run of this size is found twice, so no longer one is

@@ -40,6 +40,14 @@ def test_counts_of_any_text():
         assert rules.measured((t or "").encode())[0] == brute(t), t
 
 
+def test_texts_of_few_repeated_words():
+    """Also those with fewer words than a window, whose shorter stretches are found twice."""
+    for n in range(20):
+        for period in (1, 2, 3, 4):
+            t = " ".join("abcd"[k % period] for k in range(n))
+            assert rules.measured(t.encode())[0] == brute(t), t
+
+
 def test_query_counts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")
