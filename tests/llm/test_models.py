@@ -260,3 +260,14 @@ def test_beginnings_share_a_bucket_unless_frequent():
     frequent = model.keys([np.full(5000, 7), np.full(5000, 8), last])
     assert np.bincount(model.bucket(3, frequent), minlength=16).max() < 2 * 5000 / 16
     assert len(np.unique(rare)) == len(np.unique(frequent)) == 5000
+
+
+def test_many_buckets_stay_mapped_and_are_looked_up_for_long_runs(tmp_path):
+    """As many as 6 GB of text have: all arrays of a worker fit its cache, and a look into all buckets serves more text."""
+    many, few = (lm.Model(str(tmp_path), bits, 3, [0] * (1 << bits), 0) for bits in (8, 2))
+    assert lm.get.cache_info().maxsize > 10 * (1 << many.lead) + 3 * (1 << many.bits)
+    texts = pa.array(["a b c " * 100] * 20000)
+    assert many.run_bytes == 4 * words.RUN_BYTES and few.run_bytes == words.RUN_BYTES
+    runs = list(words.runs(texts, many.run_bytes))
+    assert len(runs) == 4 < len(list(words.runs(texts, few.run_bytes)))
+    assert [a for a, *_ in runs] == [0, *(z for _, z, *_ in runs[:-1])] and runs[-1][1] == len(texts)
